@@ -93,14 +93,14 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Token pieces of each document, the end id included. Documents longer than the capacity are cut so that
     all pieces but the first are full."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist()), strict=True):
-                ids += end
+                ids = np.concatenate((ids.astype("<u4"), end)).tobytes()
                 n = len(ids) // 4
                 stop, start, piece = n % capacity or capacity, 0, 0
                 while start < n:

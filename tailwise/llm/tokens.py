@@ -1,97 +1,163 @@
-"""Byte-level BPE ids of whole texts through the tokenizers library, with a bounded cache of chunks.
+"""Byte-level BPE ids of whole texts, many chunks at a time.
 
 The pre-tokeniser never joins a non-space with a following space, so a text may be cut before any space that a
-non-space follows; what stands between two cuts is encoded once and looked up afterwards. Ids are the library's
-own for every chunk it has not seen yet.
+non-space follows. Each distinct chunk is encoded once (by the library given) and kept in a bounded table; the
+chunks of a batch of texts are found, looked up and put together again as NumPy vectors. Short chunks are keyed
+by their bytes packed in an integer, longer ones by the bytes themselves, so there are no hash collisions.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
 #: White space other than space and line feed; texts with any of it are cut by the general rule.
 RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ASCII_RARE = RARE_SPACE[:8]
-CACHE = 500_000
-SLICE = 256
-#: A run of letters whose class no Unicode version disputes, then plain punctuation.
-WORD_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]+)")
-
-
-def cut(text: str) -> list[str]:
-    """Keys of the chunks of a text: a key that starts with a line feed stands for itself, one that starts with
-    a carriage return for what follows it (the first chunk), any other for a space and itself."""
+#: Bound of the table of chunks; beyond it the table starts anew.
+CHUNKS = 1_000_000
+#: Bytes of text that are encoded together.
+SLICE = 4_000_000
+#: Marks that start a new pre-token after an ASCII letter.
+MARKS = np.zeros(256, bool)
+MARKS[list(b".,;:!?#$%&*|")] = True
+LETTERS = np.zeros(256, bool)
+LETTERS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+BEFORE_WORD = re.compile(r" (?=\S)")
+
+
+def plain(text: str) -> bool:
+    """Whether the text may be cut before every space and line feed."""
     rare = ASCII_RARE if text.isascii() else RARE_SPACE
-    if "  " in text or "\n\n" in text or " \n" in text or text.endswith(" ") or any(c in text for c in rare):
-        keys = re.split(r" (?=\S)", text)
-    else:
-        keys = text.replace("\n", " \n").split(" ")
-    keys[0] = "\r" + keys[0]
-    return keys
-
-
-def unit(key: str) -> str:
-    return key if key[:1] == "\n" else key[1:] if key[:1] == "\r" else " " + key
-
-
-class ChunkCache:
-    """Maps chunks to their ids as little-endian unsigned 32-bit integers. encode takes distinct strings."""
-
-    def __init__(self, encode, bound: int = CACHE):
-        self.encode, self.bound = encode, bound
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def learn(self, keys: set[str]) -> None:
-        plain, split = {}, {}
-        for key in keys:
-            m = WORD_MARKS.fullmatch(key)
-            if m:
-                split[key] = (" " + m[1], m[2])
+    return not ("  " in text or "\n\n" in text or " \n" in text or text.endswith(" ") or any(c in text for c in rare))
+
+
+def units(text: str) -> list[str]:
+    """The chunks of any text, by the general rule."""
+    first, *rest = BEFORE_WORD.split(text)
+    return [first, *(" " + r for r in rest)]
+
+
+class BulkEncoder:
+    """encode gives, for distinct strings, all ids in order and their number for each string."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], chunks: int = CHUNKS):
+        self.encode, self.bound = encode, chunks
+        self._reset()
+
+    def _reset(self) -> None:
+        self.short: dict[int, int] = {}
+        self.long: dict[bytes, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def _learn(self, chunks: list[str]) -> range:
+        """Places of new chunks."""
+        ids, sizes = self.encode(chunks)
+        first, more = self.n, len(chunks)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        while first + more > len(self.start):
+            self.start, self.size = (np.concatenate((a, np.zeros_like(a))) for a in (self.start, self.size))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[first : first + more] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + more] = sizes
+        self.used += len(ids)
+        self.n += more
+        return range(first, self.n)
+
+    def _places(self, keys: list, table: dict, text_of: Callable) -> np.ndarray:
+        """Place of each of the distinct keys."""
+        found = list(map(table.get, keys))
+        new = [k for k, p in zip(keys, found, strict=True) if p is None]
+        if new:
+            table.update(zip(new, self._learn([text_of(k) for k in new]), strict=True))
+            found = list(map(table.__getitem__, keys))
+        return np.array(found, dtype=np.int64)
+
+    @staticmethod
+    def _short_text(key: int) -> str:
+        own = key.to_bytes(8, "little").rstrip(b"\0")
+        return (own[1:] if own[0] == 1 else b" " + own).decode()
+
+    def _bulk(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Texts that may be cut before every space and line feed; none is empty or has bytes 0 or 1.
+
+        Chunks of up to 9 bytes with a leading space are keyed by the bytes after it, others of up to 7 bytes by
+        a byte 1 and themselves, the rest by their bytes."""
+        joined = b"".join(texts)
+        data = np.frombuffer(joined + bytes(8), np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        own = data[:-8]
+        cut = (own == 32) | (own == 10)
+        cut[1:] |= MARKS[own[1:]] & LETTERS[own[:-1]]
+        cut[0] = True
+        cut[ends[:-1]] = True
+        at = np.flatnonzero(cut)
+        size = np.diff(at, append=len(joined))
+        place = np.zeros(len(at), np.int64)
+        spaced = own[at] == 32
+        n = size - spaced
+        short = n <= np.where(spaced, 8, 7)
+        short &= n > 0
+        spaced, n, s = spaced[short], n[short], (at + spaced)[short]
+        key = np.zeros(len(s), np.uint64)
+        for k in range(8):
+            key |= np.where(n > k, data[s + k], 0).astype(np.uint64) << np.uint64(8 * k)
+        key = np.where(spaced, key, (key << np.uint64(8)) | np.uint64(1))
+        distinct, back = np.unique(key, return_inverse=True)
+        place[short] = self._places(distinct.tolist(), self.short, self._short_text)[back]
+        s = at[~short]
+        longer = [joined[a:b] for a, b in zip(s.tolist(), (s + size[~short]).tolist(), strict=True)]
+        once = list(dict.fromkeys(longer))
+        number = dict(zip(once, self._places(once, self.long, bytes.decode).tolist(), strict=True))
+        place[~short] = list(map(number.__getitem__, longer))
+        count = self.size[place]
+        stop = np.cumsum(count)
+        ids = self.pool[np.repeat(self.start[place] - stop + count, count) + np.arange(stop[-1])]
+        last = np.searchsorted(at, ends) - 1
+        return np.split(ids, stop[last][:-1])
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers."""
+        out = [np.zeros(0, np.uint32)] * len(texts)
+        held: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            if self.n > self.bound:
+                self._reset()
+            if held:
+                for (k, _), ids in zip(held, self._bulk([t for _, t in held]), strict=True):
+                    out[k] = ids
+            held.clear()
+
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if plain(text) and "\0" not in text and "\x01" not in text:
+                held.append((k, text.encode()))
+                size += len(held[-1][1])
+                if size > SLICE:
+                    flush()
+                    size = 0
             else:
-                plain[key] = unit(key)
-        units = {u for pair in split.values() for u in pair} | set(plain.values())
-        new = [u for u in units if u not in self.words]
-        if len(self.words) + len(new) > self.bound:
-            self.words.clear()
-            new = list(units)
-        if len(self.known) + len(keys) > self.bound:
-            self.known.clear()
-        self.words.update(zip(new, self.encode(new), strict=True))
-        for key, u in plain.items():
-            self.known[key] = self.words[u]
-        for key, (a, b) in split.items():
-            self.known[key] = self.words[a] + self.words[b]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), SLICE):
-            parts = [cut(t) for t in texts[at : at + SLICE]]
-            while True:
-                known = self.known
-                missing: set[str] = set()
-                for keys in parts:
-                    missing.update(k for k in keys if k not in known)
-                if not missing:
-                    break
-                if len(missing) + len(known) > self.bound:  # the slice alone must fit after a clearing
-                    self.known.clear()
-                    missing = {k for keys in parts for k in keys}
-                self.learn(missing)
-                if len(missing) >= self.bound:
-                    break
-            get = self.known.__getitem__
-            out += [b"".join(map(get, keys)) for keys in parts]
+                own = units(text)
+                once = list(dict.fromkeys(own))
+                number = dict(zip(once, self._places([u.encode() for u in once], self.long, bytes.decode).tolist(), strict=True))
+                places = [number[u] for u in own]
+                out[k] = np.concatenate([self.pool[self.start[p] : self.start[p] + self.size[p]] for p in places])
+        flush()
         return out
 
 
-_encoders: dict[str, ChunkCache] = {}
+_encoders: dict[str, BulkEncoder] = {}
 
 
-def library_encoder(path: str) -> ChunkCache:
+def library_encoder(path: str) -> BulkEncoder:
     """One per process and tokenizer file; strings of special tokens are ordinary text."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -100,11 +166,14 @@ def library_encoder(path: str) -> ChunkCache:
         tk = Tokenizer.from_file(path)
         tk.encode_special_tokens = True
 
-        def encode(units: list[str]) -> list[bytes]:
-            out = []
-            for at in range(0, len(units), 5000):
-                out += [np.array(e.ids, dtype="<u4").tobytes() for e in tk.encode_batch_fast(units[at : at + 5000], add_special_tokens=False)]
-            return out
+        def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+            for at in range(0, len(strings), 20_000):
+                own = strings[at : at + 20_000]
+                found = tk.encode(own, is_pretokenized=True, add_special_tokens=False)
+                ids.append(np.array(found.ids, dtype=np.uint32))
+                sizes.append(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(own)))
+            return np.concatenate(ids), np.concatenate(sizes)
 
-        _encoders[path] = ChunkCache(encode)
+        _encoders[path] = BulkEncoder(encode)
     return _encoders[path]
