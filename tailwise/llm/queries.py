@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tailwise.llm import packing, quality
+from tailwise.llm import bytebpe, idfile, packing, quality
 from tailwise.llm.common import documents
 
 
@@ -22,9 +22,19 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bytebpe.code_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_byte_level_bpe, op5_best_fit_packing, op10_token_id_files)}
