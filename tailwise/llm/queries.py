@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tailwise.llm import bytebpe, idfile, packing, quality, secrets
+from tailwise.llm import bytebpe, idfile, ngramjoin, packing, quality, secrets
 from tailwise.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).drop("found")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(documents(spark, sf_dir))
+
+
 def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
@@ -41,4 +45,4 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_byte_level_bpe, op5_best_fit_packing, op7_secret_scans, op10_token_id_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_byte_level_bpe, op5_best_fit_packing, op7_secret_scans, op9_ngram_jaccard_join, op10_token_id_files)}
