@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tailwise.llm import bytebpe, idfile, ngramjoin, packing, quality, secrets
+from tailwise.llm import bytebpe, idfile, ngramjoin, packing, quality, resharding, secrets
 from tailwise.llm.common import documents
 
 
@@ -40,9 +41,15 @@ def op10_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From shards by source, which a hot source makes uneven, to shards of near equal bytes."""
+    by_source = F.pmod(F.xxhash64("source"), F.lit(resharding.SHARDS)).cast("int")
+    return resharding.reshard(documents(spark, sf_dir), by_source)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_byte_level_bpe, op5_best_fit_packing, op7_secret_scans, op9_ngram_jaccard_join, op10_token_id_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_byte_level_bpe, op3_min_cost_flow_resharding, op5_best_fit_packing, op7_secret_scans, op9_ngram_jaccard_join, op10_token_id_files)}
