@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailwise.llm import bytebpe, idfile, ngramjoin, packing, quality, resharding, secrets
+from tailwise.llm import bytebpe, idfile, ngramjoin, orderminhash, packing, quality, resharding, secrets
 from tailwise.llm.common import documents
 
 
@@ -29,6 +29,10 @@ def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.code_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderminhash.compare_edited(documents(spark, sf_dir))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).drop("found")
 
@@ -52,4 +56,4 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_byte_level_bpe, op3_min_cost_flow_resharding, op5_best_fit_packing, op7_secret_scans, op9_ngram_jaccard_join, op10_token_id_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_byte_level_bpe, op3_min_cost_flow_resharding, op5_best_fit_packing, op6_order_minhash, op7_secret_scans, op9_ngram_jaccard_join, op10_token_id_files)}
