@@ -106,9 +106,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     df = rows.withColumn("_next", F.lead("text").over(inside))
     # The first row of each bucket, for the bucket above it (ids descend); that of the top bucket for the lowest.
     heads = rows.groupBy("_b").agg(F.max("doc_id").alias("doc_id"))
-    heads = rows.join(heads.withColumnRenamed("doc_id", "_top").withColumnRenamed("_b", "_hb"), (F.col("_b") == F.col("_hb")) & F.col("doc_id").eqNullSafe(F.col("_top"))).groupBy("_b").agg(F.min("text").alias("_head"))
+    heads = heads.select(F.col("doc_id").alias("_top"), F.col("_b").alias("_hb"))  # BUCKETS rows at most
+    heads = rows.join(F.broadcast(heads), (F.col("_b") == F.col("_hb")) & F.col("doc_id").eqNullSafe(F.col("_top"))).groupBy("_b").agg(F.min("text").alias("_head"))
     filled = [r[0] for r in rows.select("_b").distinct().orderBy(F.desc("_b")).collect()]  # bucket numbers
-    after = docs.sparkSession.createDataFrame([(b, filled[(k + 1) % len(filled)]) for k, b in enumerate(filled)], "_of long, _from long")
+    after = docs.sparkSession.createDataFrame([(b, filled[(k + 1) % len(filled)]) for k, b in enumerate(filled)], "_of int, _from int")
     heads = heads.join(F.broadcast(after), F.col("_b") == F.col("_from")).select("_of", "_head")
     df = df.join(heads, F.col("_b") == F.col("_of"), "left").withColumn("next_text", F.coalesce("_next", "_head"))
     return df.select("doc_id", "text", "next_text")
