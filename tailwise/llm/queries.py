@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailwise.llm import bytebpe, idfile, ngramjoin, orderminhash, packing, quality, resharding, secrets
+from tailwise.llm import bytebpe, idfile, linededup, ngramjoin, orderminhash, packing, quality, resharding, revisits, secrets
 from tailwise.llm.common import documents
 
 
@@ -37,6 +37,11 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).drop("found")
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return found.withColumn("headers", revisits.printed(F.col("headers")))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(documents(spark, sf_dir))
 
@@ -51,9 +56,13 @@ def op3_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.reshard(documents(spark, sf_dir), by_source)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.join(documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_byte_level_bpe, op3_min_cost_flow_resharding, op5_best_fit_packing, op6_order_minhash, op7_secret_scans, op9_ngram_jaccard_join, op10_token_id_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_byte_level_bpe, op3_min_cost_flow_resharding, op4_line_dedup, op5_best_fit_packing, op6_order_minhash, op7_secret_scans, op8_warc_revisits, op9_ngram_jaccard_join, op10_token_id_files)}
