@@ -1,10 +1,17 @@
-"""Corpus pipeline: quality rules, line dedup, n-gram Jaccard join, secret scans, best-fit packing."""
+"""Corpus pipeline: quality rules, line dedup, n-gram Jaccard join, secret scans, best-fit packing.
+
+Each stage takes the documents that its predecessor kept and returns documents with the same columns; the last
+returns the packed pieces. A stage's decisions take effect: rejected documents go, removed lines leave the text,
+one document of each group of near copies stays, secrets are masked.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tailwise.llm import quality
+from tailwise.llm import linededup, ngramjoin, packing, quality, secrets
+from tailwise.llm.common import staged
+from tailwise.llm.queries import tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,13 +19,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_documents(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove lines that match an earlier line."""
+    return linededup.dedup_documents(docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group that links of 3/4 or more connect."""
+    return ngramjoin.keep_first(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask the secrets in the texts."""
+    return secrets.redact_documents(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the texts' tokens into sequences."""
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("secret scans", secret_scans),
+    ("best-fit packing", best_fit_packing),
+]
 
+#: The hashes of the joins and the tokenizer's ids are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
