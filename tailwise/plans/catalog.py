@@ -1,4 +1,4 @@
-"""Named queries over the driver's tables, with their SQL oracles."""
+"""Named queries over the driver's tables, each with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
@@ -7,15 +7,390 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tailwise.operators import categorical, central, dominance, grouped, hypothesis, moments, quantile, timeseries
+from tailwise.sources.tables import table
+from tailwise.streaming.windows import windowed_moments
 
-def pm_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.groupBy("l_returnflag").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+Query = Callable[[SparkSession, str], DataFrame]
+KINDS = ["click", "login", "logout", "purchase", "view"]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pm_grouped": pm_grouped}
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None):
+    def put(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
+
+    return put
+
+
+def items(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return table(spark, d, "lineitem", list(columns))
+
+
+def events(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return table(spark, d, "events", list(columns))
+
+
+def _sides(x: str, t: str, d: int) -> tuple[str, str]:
+    if d == 0:
+        return f"avg(case when {x} <= {t} then 1::double else 0::double end)", f"avg(case when {x} > {t} then 1::double else 0::double end)"
+    return f"avg(greatest(0::double, {t} - {x}) ** {d})", f"avg(greatest(0::double, {x} - {t}) ** {d})"
+
+
+def _pm_sql() -> str:
+    cols = []
+    for d in (0, 1, 2, 3):
+        low, up = _sides("l_quantity", "m", d)
+        ratio = (low, up) if d == 0 else (f"{low} / ({low} + {up})", f"{up} / ({low} + {up})")
+        cols += [f"round({e}, 6) as {n}{d}" for e, n in zip((low, up, *ratio), ("lpm", "upm", "lpm_ratio", "upm_ratio"), strict=True)]
+    return f"with r as (select l_returnflag, l_quantity, avg(l_quantity) over (partition by l_returnflag) as m from lineitem) select l_returnflag, {', '.join(cols)} from r group by 1"
+
+
+@query(_pm_sql())
+def pm_grouped(spark, d):
+    return rounded(moments.partial_moments(items(spark, d, "l_returnflag", "l_quantity"), "l_quantity", [0, 1, 2, 3], ["l_returnflag"]))
+
+
+TARGETS = [5.0, 20.0, 25.0, 40.0]
+
+
+@query(
+    "select l_returnflag, target, round({0}, 6) as lpm, round({1}, 6) as upm, round({0} / ({0} + {1}), 6) as ratio from lineitem, (values (5.0::double), (20.0), (25.0), (40.0)) t(target) group by 1, 2".format(*_sides("l_quantity", "target", 2))
+)
+def pm_ratio_targets(spark, d):
+    return rounded(moments.ratios_at(items(spark, d, "l_returnflag", "l_quantity"), "l_quantity", TARGETS, 2, ["l_returnflag"]))
+
+
+@query("select l_returnflag, round({0}, 6) as lpm2, round({1}, 6) as upm2, round({0} / ({0} + {1}), 6) as lpm_ratio2, round({1} / ({0} + {1}), 6) as upm_ratio2 from lineitem group by 1".format(*_sides("l_quantity", "(l_linenumber * 5)::double", 2)))
+def pm_moving_target(spark, d):
+    li = items(spark, d, "l_returnflag", "l_quantity", "l_linenumber")
+    return rounded(moments.partial_moments(li, "l_quantity", [2], ["l_returnflag"], F.col("l_linenumber") * 5))
+
+
+_MOM = "with r as (select event_type, value as x, avg(value) over (partition by event_type) as m from events), a as (select event_type, avg(x) as mean, avg((x - m) ** 2) as v, avg((x - m) ** 3) as s, avg((x - m) ** 4) as k, count(*)::double as n from r group by 1) "
+
+
+@query(_MOM + "select event_type, round(mean, 5) as mean, round(v, 5) as variance, round(s / v ** 1.5, 5) as skewness, round(k / v ** 2 - 3, 5) as kurtosis from a")
+def moments_population(spark, d):
+    return rounded(moments.moments(events(spark, d, "event_type", "value"), "value", ["event_type"]), 5)
+
+
+@query(
+    _MOM + "select event_type, round(mean, 5) as mean, round(v * n / (n - 1), 5) as variance, round(n / ((n - 1) * (n - 2)) * n * s / v ** 1.5, 5) as skewness, round(n * (n + 1) / ((n - 1) * (n - 2) * (n - 3)) * n * k / (v * n / (n - 1)) ** 2 - 3 * (n - 1) ** 2 / ((n - 2) * (n - 3)), 5) as kurtosis from a"
+)
+def moments_sample(spark, d):
+    return rounded(moments.moments(events(spark, d, "event_type", "value"), "value", ["event_type"], False), 5)
+
+
+_XY = "with r as (select l_returnflag, l_quantity as x, l_extendedprice / 1000 as y, l_discount * 100 as z, avg(l_quantity) over w as mx, avg(l_extendedprice / 1000) over w as my, avg(l_discount * 100) over w as mz from lineitem window w as (partition by l_returnflag)) "
+
+
+def _xyz(spark, d):
+    return items(spark, d, "l_returnflag", "l_quantity", "l_extendedprice", "l_discount").select("l_returnflag", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z"))
+
+
+_L, _U = "greatest(0::double, m{0} - {0})", "greatest(0::double, {0} - m{0})"
+
+
+def _co(a: str, b: str) -> str:
+    la, lb, ua, ub = _L.format(a), _L.format(b), _U.format(a), _U.format(b)
+    return f"round(avg({la} * {lb}), 5) as clpm, round(avg({ua} * {ub}), 5) as cupm, round(avg({ua} * {lb}), 5) as dlpm, round(avg({la} * {ub}), 5) as dupm"
+
+
+@query(_XY + f"select l_returnflag, {_co('x', 'y')} from r group by 1")
+def co_moments(spark, d):
+    return rounded(moments.co_moments(_xyz(spark, d), "x", "y", 1, 1, ["l_returnflag"]), 5)
+
+
+_P3 = "abs(x - mx) * abs(y - my) * abs(z - mz)"
+_ND = f"avg(case when x <= mx and y <= my and z <= mz then {_P3} else 0 end) as l, avg(case when x >= mx and y >= my and z >= mz then {_P3} else 0 end) as h, avg(case when not ((x < mx and y < my and z < mz) or (x > mx and y > my and z > mz)) then {_P3} else 0 end) as o"
+
+
+@query(_XY + f", a as (select l_returnflag, {_ND} from r group by 1) select l_returnflag, round(l / (l + h + o), 6) as co_lpm_nd, round(h / (l + h + o), 6) as co_upm_nd, round(o / (l + h + o), 6) as dpm_nd from a")
+def co_moments_nd(spark, d):
+    return rounded(moments.co_moments_nd(_xyz(spark, d), ["x", "y", "z"], 1, ["l_returnflag"]))
+
+
+_CELLS = " union all ".join(f"select l_returnflag, '{a}' as row, '{b}' as col, {_co(a, b)}, round(avg({_U.format(a)} * {_U.format(b)}) + avg({_L.format(a)} * {_L.format(b)}) - avg({_L.format(a)} * {_U.format(b)}) - avg({_U.format(a)} * {_L.format(b)}), 5) as covariance from r group by 1" for a in "xyz" for b in "xyz")
+
+
+@query(_XY + _CELLS)
+def pm_matrix_long(spark, d):
+    return rounded(moments.pm_matrix(_xyz(spark, d), ["x", "y", "z"], 1, 1, groups=["l_returnflag"]), 5)
+
+
+def _copula_sql(cols: str) -> str:
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    co0 = " + ".join(f"avg(case when ({a} <= m{a}) = ({b} <= m{b}) then 1::double else 0 end)" for a, b in pairs)
+    co1 = " + ".join(f"avg({_L.format(a)} * {_L.format(b)} + {_U.format(a)} * {_U.format(b)}) / avg(abs({a} - m{a}) * abs({b} - m{b}))" for a, b in pairs)
+    p = " * ".join(f"abs({c} - m{c})" for c in cols)
+    every = lambda op: " and ".join(f"{c} {op} m{c}" for c in cols)
+    apart = f"not (({every('<')}) or ({every('>')}))"
+    d0 = f"avg(case when {apart} then 1::double else 0 end)"
+    o, low, high = (f"avg(case when {t} then {p} else 0 end)" for t in (apart, every("<="), every(">=")))
+    n = len(cols)
+    fc, fd = 0.25 * (n * n - n), 1 - 0.5**n
+    return _XY + f"select l_returnflag, round(sqrt((least(abs({co0} - {fc}) / {fc}, 1) + least(abs({co1} - {fc}) / {fc}, 1) + abs({d0} - {fd}) / {fd} + abs({o} / ({o} + {low} + {high}) - {fd}) / {fd}) / 4), 6) as copula from r group by 1"
+
+
+@query(_copula_sql("xy"))
+def copula2(spark, d):
+    return rounded(moments.copula(_xyz(spark, d), ["x", "y"], ["l_returnflag"]))
+
+
+@query(_copula_sql("xyz"))
+def copula3(spark, d):
+    return rounded(moments.copula(_xyz(spark, d), ["x", "y", "z"], ["l_returnflag"]))
+
+
+def _run(tab: str, g: str, x: str) -> str:
+    return f"with b as (select {g}, {x}::double as v, count(*) as n, sum({x})::double as s, sum({x}::double * {x}) as q from {tab} group by 1, 2), c as (select {g}, v, sum(n) over w as k, sum(s) over w as s1, sum(q) over w as s2, sum(n) over (partition by {g}) as n, sum(s) over (partition by {g}) as t1, sum(q) over (partition by {g}) as t2 from b window w as (partition by {g} order by v)), f as (select *, (v * k - s1) / n as l1, (t1 - s1 - v * (n - k)) / n as u1, (v * v * k - 2 * v * s1 + s2) / n as l2, (v * v * (n - k) - 2 * v * (t1 - s1) + t2 - s2) / n as u2 from c) "
+
+
+@query(_run("lineitem", "l_returnflag", "l_quantity") + "select l_returnflag, v, round(k::double / n, 6) as CDF from f")
+def ecdf(spark, d):
+    return rounded(quantile.ecdf(items(spark, d, "l_returnflag", "l_quantity"), "l_quantity", ["l_returnflag"]))
+
+
+@query(_run("lineitem", "l_returnflag", "l_quantity") + "select l_returnflag, v, round(l1 / (l1 + u1), 6) as CDF from f")
+def cdf_deg1(spark, d):
+    return rounded(quantile.cdf(items(spark, d, "l_returnflag", "l_quantity"), "l_quantity", 1, ["l_returnflag"]))
+
+
+@query(_run("lineitem", "l_returnflag", "l_quantity") + "select l_returnflag, v, round(1 - l2 / (l2 + u2), 6) as S from f")
+def survival_deg2(spark, d):
+    return rounded(quantile.cdf(items(spark, d, "l_returnflag", "l_quantity"), "l_quantity", 2, ["l_returnflag"], "survival"))
+
+
+@query(_run("lineitem", "l_returnflag", "l_quantity") + "select l_returnflag, v, round(greatest(0, -ln(greatest(1 - k::double / n, 1e-10))), 5) as H from f")
+def cumulative_hazard(spark, d):
+    return rounded(quantile.cdf(items(spark, d, "l_returnflag", "l_quantity"), "l_quantity", 0, ["l_returnflag"], "cumulative hazard"), 5)
+
+
+@query("select event_type, round(quantile_cont(value, 0.05), 5) as var from events group by 1")
+def var_deg0(spark, d):
+    return rounded(quantile.lpm_var(events(spark, d, "event_type", "value"), "value", 0.05, 0, ["event_type"]), 5)
+
+
+_AT = ", g as (select event_type, arg_max(k, v) as k, arg_max(s1, v) as s1, arg_max(s2, v) as s2, any_value(n) as n, any_value(t1) as t1, any_value(t2) as t2 from f where l{0} / (l{0} + u{0}) <= 0.05 group by 1) "
+
+
+@query(_run("events", "event_type", "value") + _AT.format(1) + "select event_type, round((0.95 * s1 + 0.05 * (t1 - s1)) / (0.95 * k + 0.05 * (n - k)), 5) as var from g")
+def var_deg1(spark, d):
+    return rounded(quantile.lpm_var(events(spark, d, "event_type", "value"), "value", 0.05, 1, ["event_type"]), 5)
+
+
+@query(
+    _run("events", "event_type", "value") + _AT.format(2) + ", h as (select event_type, 0.95 * k - 0.05 * (n - k) as a, -2 * (0.95 * s1 - 0.05 * (t1 - s1)) as b, 0.95 * s2 - 0.05 * (t2 - s2) as c from g) select event_type, round((-b + sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a), 5) as var from h"
+)
+def var_deg2(spark, d):
+    return rounded(quantile.lpm_var(events(spark, d, "event_type", "value"), "value", 0.05, 2, ["event_type"]), 5)
+
+
+_GRAV = """with r as (select event_type, value as v, row_number() over (partition by event_type order by value) as i, count(*) over (partition by event_type) as n from events),
+s as (select event_type, any_value(n) as n, min(v) as lo, max(v) as hi, avg(v) as m,
+  max(case when i = greatest(1, floor(n * 0.25)) then v end) as f1, max(case when i = greatest(1, floor(n * 0.5)) then v end) as f2, max(case when i = greatest(1, floor(n * 0.75)) then v end) as f3,
+  max(case when i = greatest(1, ceil(n * 0.25)) then v end) as c1, max(case when i = greatest(1, ceil(n * 0.5)) then v end) as c2, max(case when i = greatest(1, ceil(n * 0.75)) then v end) as c3 from r group by 1),
+q as (select *, case when n % 2 = 0 then f1 else f1 + (n * 0.25 - floor(n * 0.25)) * (c1 - f1) end as q1, case when n % 2 = 0 then f2 else (f2 + c2) / 2 end as q2, case when n % 2 = 0 then f3 else f3 + (n * 0.75 - floor(n * 0.75)) * (c3 - f3) end as q3 from s),
+w as (select *, (q3 - q1) / sqrt(n::double) as w, floor((hi - lo) / ((q3 - q1) / sqrt(n::double)) + 1e-12) as last from q),
+b as (select r.event_type, least(floor((v - lo) / w), last) as bin, count(*) as c from r join w using (event_type) group by 1, 2),
+t as (select event_type, max(c) as top, arg_max(bin, c) as peak from b group by 1),
+u as (select b.event_type, sum(case when c = top then 1 else 0 end) as ties, sum((lo + bin * w) * c) / sum(c) as allbins, sum(case when abs(bin - peak) <= 1 then (lo + bin * w) * c end) / sum(case when abs(bin - peak) <= 1 then c end) as near from b join t using (event_type) join w using (event_type) group by 1)
+select event_type, round(0.25 * (q2 + case when ties = 1 then near else allbins end + m + 0.5 * (q1 + q3)), 5) as gravity from w join u using (event_type)"""
+
+
+@query(_GRAV)
+def gravity(spark, d):
+    return rounded(central.gravity(events(spark, d, "event_type", "value"), "value", ["event_type"]), 5)
+
+
+@query("with c as (select event_type, floor(value + 0.5)::bigint as v, count(*) as c from events group by 1, 2), t as (select *, max(c) over (partition by event_type) as top from c) select event_type, round(avg(v), 6) as mode from t where c = top group by 1")
+def mode_discrete(spark, d):
+    return rounded(central.mode_discrete(events(spark, d, "event_type", "value"), "value", ["event_type"]))
+
+
+@query("with b as (select event_type, min(value) as lo, max(value) as hi from events group by 1) select event_id, round(-1 + 2 * (value - lo) / (hi - lo), 6) as rescaled from events join b using (event_type)")
+def rescale_minmax(spark, d):
+    return rounded(central.rescale_minmax(events(spark, d, "event_id", "event_type", "value"), "value", -1, 1, ["event_type"]).select("event_id", "rescaled"))
+
+
+@query("with b as (select event_type, avg(value) as m from events group by 1) select event_id, round(value * 100 * exp(0.05 * 0.5) / m, 5) as rescaled from events join b using (event_type)")
+def rescale_riskneutral(spark, d):
+    return rounded(central.rescale_riskneutral(events(spark, d, "event_id", "event_type", "value"), "value", 100, 0.05, 0.5, groups=["event_type"]).select("event_id", "rescaled"), 5)
+
+
+def _norm_sql(linear: bool) -> str:
+    m = {c: f"(select avg({e}) from lineitem)" for c, e in (("x", "l_quantity"), ("y", "l_extendedprice / 1000"), ("z", "l_discount * 100"))}
+    e = {"x": "l_quantity", "y": "l_extendedprice / 1000", "z": "l_discount * 100"}
+    w = lambda a, b: "1" if linear or a == b else f"(select abs(corr({e[a]}, {e[b]})) from lineitem)"
+    return " union all ".join(f"select '{c}' as column, round(({' + '.join(f'{m[a]} / {m[c]} * {w(a, c)}' for a in 'xyz')}) / 3, 6) as scale" for c in "xyz").replace("as column,", 'as "column",')
+
+
+@query(_norm_sql(True))
+def norm_linear(spark, d):
+    return rounded(central.norm_scales(_xyz(spark, d), ["x", "y", "z"], True))
+
+
+@query(_norm_sql(False))
+def norm_corr(spark, d):
+    return rounded(central.norm_scales(_xyz(spark, d), ["x", "y", "z"]))
+
+
+_PAIRS = "p as (select a.event_type as x, b.event_type as y from (select distinct event_type from events) a, (select distinct event_type from events) b where a.event_type <> b.event_type)"
+_KIND = "event_type in ('" + "', '".join(KINDS) + "')"
+
+
+def _kinds(spark, d):
+    return sorted(r[0] for r in events(spark, d, "event_type").distinct().collect())
+
+
+@query(
+    f"with {_PAIRS}, c as (select event_type as t, value as v, count(*)::double as n from events group by 1, 2), k as (select *, sum(n) over (partition by t order by v) as le, sum(n) over (partition by t) as n_all from c), j as (select p.x, p.y, a.n, a.n_all, coalesce(b.le, 0) as le, coalesce(b.n, 0) as tie0, b.v as bv, a.v as av from p join k a on a.t = p.x asof left join k b on b.t = p.y and b.v <= a.v), s as (select j.x, j.y, sum(j.n * (le - case when bv = av then tie0 else 0 end)) / any_value(j.n_all) as g, sum(j.n * case when bv = av then tie0 else 0 end) / any_value(j.n_all) as e from j group by 1, 2) select s.x, s.y, round(g / m, 6) as p_gt, round(e / m, 6) as p_tie, round(g / m + 0.5 * e / m, 6) as p_star from s join (select event_type, count(*) as m from events group by 1) z on z.event_type = s.y"
+)
+def superiority(spark, d):
+    return rounded(dominance.superiority(events(spark, d, "event_type", "value"), "event_type", "value", _kinds(spark, d)))
+
+
+def _dom_sql(degree: int) -> str:
+    dev = {1: "case when e.value <= g.v then 1::double else 0 end", 2: "greatest(0::double, g.v - e.value)", 3: "greatest(0::double, g.v - e.value) ** 2"}[degree]
+    mean = "" if degree == 1 else " and x.m >= y.m"
+    return f"with e as (select l_returnflag as t, l_quantity::double as value from lineitem), g as (select distinct value as v from e), c as (select t, v, avg({dev}) as l from e, g group by 1, 2), s as (select t, min(value) as lo, avg(value) as m from e group by 1) select a.t as x, b.t as y, coalesce(bool_or(abs(a.l - b.l) > 1e-9 * abs(b.l)) and not bool_or(a.l - b.l > 1e-9 * abs(b.l)) and any_value(x.lo >= y.lo{mean}), false) as dominates from c a join c b on a.v = b.v and a.t <> b.t join s x on x.t = a.t join s y on y.t = b.t group by 1, 2"
+
+
+def _flags(spark, d, degree):
+    li = items(spark, d, "l_returnflag", "l_quantity")
+    names = sorted(r[0] for r in li.select("l_returnflag").distinct().collect())
+    return dominance.dominance(li, "l_returnflag", "l_quantity", names, degree, 1e-9)
+
+
+@query(_dom_sql(1))
+def fsd_pairs(spark, d):
+    return _flags(spark, d, 1)
+
+
+@query(_dom_sql(2))
+def ssd_pairs(spark, d):
+    return _flags(spark, d, 2)
+
+
+@query(_dom_sql(3))
+def tsd_pairs(spark, d):
+    return _flags(spark, d, 3)
+
+
+@query()
+def efficient_set(spark, d):
+    names = dominance.efficient_set(events(spark, d, "event_type", "value"), "event_type", "value", _kinds(spark, d), 2)
+    return spark.createDataFrame([(k, n) for k, n in enumerate(names)], "place int, event_type string")
+
+
+@query()
+def sd_cluster(spark, d):
+    found = dominance.clusters(events(spark, d, "event_type", "value"), "event_type", "value", _kinds(spark, d), 2)
+    return spark.createDataFrame([(k + 1, n) for k, own in enumerate(found) for n in own], "cluster int, event_type string")
+
+
+_DAY = "s as (select o_orderpriority as g, date_trunc('month', o_orderdate) as t, avg(o_totalprice) / 1000 as x from orders group by 1, 2), r as (select g, x, row_number() over (partition by g order by t) as i, count(*) over (partition by g) as n from s) "
+
+
+def _monthly(spark, d):
+    o = table(spark, d, "orders", ["o_orderpriority", "o_orderdate", "o_totalprice"])
+    return o.groupBy(F.col("o_orderpriority").alias("g"), F.date_trunc("month", "o_orderdate").alias("t")).agg((F.avg("o_totalprice") / 1000).alias("x"))
+
+
+@query(
+    "with " + _DAY + ", b as (select g, abs(stddev_samp(x) / avg(x)) as base, any_value(n) as n from r group by 1), e as (select r.g, p.p as period, s.s, abs(stddev_samp(x) / avg(x)) as c from r, (select unnest(range(1, 200)) as p) p, (values (0), (1), (2)) s(s) where p.p <= r.n // 2 and r.n - r.i - s.s >= 0 and (r.n - r.i - s.s) % p.p = 0 group by 1, 2, 3), k as (select g, period, max(coalesce(c, base)) as most, avg(coalesce(c, base)) as cv, any_value(base) as base, any_value(n) as n from e join b using (g) group by 1, 2) select g, period, round(cv, 6) as cv, round(base, 6) as baseline from k where most <= base * (1 + 1e-12) and period < n / 2"
+)
+def seasonality(spark, d):
+    return rounded(timeseries.seasonality(_monthly(spark, d), "x", "t", ["g"]))
+
+
+@query("with " + _DAY + "select g, step, round(greatest(0, forecast), 5) as forecast from (select g, c, unnest(case when c = 0 then [1, 13] else [c + 1] end) as step, mx + coalesce(b, 0) * ((step - 1) // 12 - mm) as forecast from (select g, ((i - n - 1) % 12 + 12) % 12 as c, avg(x) as mx, regr_slope(x, floor((i - n - 1) / 12.0)) as b, avg(floor((i - n - 1) / 12.0)) as mm from r group by 1, 2)) where step <= 13")
+def linear_static_arma(spark, d):
+    return rounded(timeseries.linear_static(_monthly(spark, d), "x", "t", 12, 13, ["g"]), 5)
+
+
+@query("with " + _DAY + ", l as (select g, i, x, lag(x, 1) over w as a, lag(x, 2) over w as b from r window w as (partition by g order by i)) select g, round(x, 5) as x_tau_0, round(a, 5) as x_tau_1, round(b, 5) as x_tau_2 from l where i > 2")
+def lag_matrix(spark, d):
+    return rounded(timeseries.lag_matrix(_monthly(spark, d), ["x"], "t", 2, ["g"]).drop("t"), 5)
+
+
+@query(
+    "with e as (select date_trunc('day', ts) as day, value, avg(value) over (partition by date_trunc('day', ts)) as m from events), r as (select day, sqrt(avg(greatest(0, value - m) ** 2)) / sqrt(avg(greatest(0, m - value) ** 2)) as ratio from e group by 1) select day, round(ratio, 6) as ratio, round(avg(ratio) over (order by day rows between 6 preceding and current row), 6) as signal from r"
+)
+def rolling_dispersion(spark, d):
+    e = events(spark, d, "ts", "value").select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "value")
+    return rounded(timeseries.rolling_dispersion(moments.with_group_means(e, ["value"], ["day"]), "value", "day", "mean_value", 7))
+
+
+@query()
+def anova_two(spark, d):
+    kinds = _kinds(spark, d)
+    return rounded(hypothesis.anova_pair(events(spark, d, "event_type", "value"), "event_type", "value", kinds[0], kinds[1]), 6)
+
+
+FLAGS = ["R", "N", "A"]
+
+
+@query("select l_returnflag, l_linestatus, case l_returnflag when 'R' then 1::double when 'N' then 2 when 'A' then 3 end as code, case when l_returnflag = 'N' then 1::double else 0 end as l_returnflag_N, case when l_returnflag = 'A' then 1::double else 0 end as l_returnflag_A, count(*) as n from lineitem group by all")
+def factor_codes(spark, d):
+    li = items(spark, d, "l_returnflag", "l_linestatus")
+    df = categorical.dummies(li, "l_returnflag", FLAGS).withColumn("code", categorical.factor_code("l_returnflag", FLAGS))
+    return df.groupBy("l_returnflag", "l_linestatus", "code", "l_returnflag_N", "l_returnflag_A").agg(F.count("*").alias("n"))
+
+
+@query("select r_name, n_name, round(avg(greatest(0::double, 1000 - c_acctbal)), 4) as lpm1, round(avg(greatest(0::double, c_acctbal - 1000)), 4) as upm1 from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)")
+def pm_rollup(spark, d):
+    c = table(spark, d, "customer", ["c_nationkey", "c_acctbal"])
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    df = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    from tailwise.functions.expr import lpm, upm
+
+    return rounded(df.rollup("r_name", "n_name").agg(lpm("c_acctbal", 1000, 1).alias("lpm1"), upm("c_acctbal", 1000, 1).alias("upm1")), 4)
+
+
+@query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(avg(greatest(0, 100 - value)), 5) as lpm1, round(avg(greatest(0, value - 100)), 5) as upm1 from events group by 1, 2")
+def windowed_pm(spark, d):
+    w = windowed_moments(events(spark, d, "ts", "event_type", "value"), "ts", "value", 100, "1 day", keys=["event_type"])
+    return rounded(w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "lpm1", "upm1"), 5)
+
+
+@query()
+def dependence(spark, d):
+    return rounded(grouped.dependence(_xyz(spark, d), "x", "y", ["l_returnflag"]))
+
+
+@query()
+def causation(spark, d):
+    return rounded(grouped.causation(_monthly(spark, d).withColumn("y", F.col("x") * F.month("t")), "x", "y", "t", ["g"], 1))
+
+
+@query()
+def dependence_matrix(spark, d):
+    return rounded(grouped.pair_matrix(_xyz(spark, d), ["x", "y", "z"]))
+
+
+@query()
+def partition_map(spark, d):
+    return rounded(grouped.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], centre="mean"))
+
+
+@query()
+def partition_points(spark, d):
+    return rounded(grouped.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], points=True))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracles() -> dict[str, str]:
-    return {"pm_grouped": "select l_returnflag, round(avg(l_extendedprice), 4) as mean from lineitem group by 1"}
+    return dict(_oracles)
