@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailwise.functions.expr import col
-from tailwise.kernels import stats
+from tailwise.kernels import series, stats
+
+#: Rows that nearest() sends to all tasks at most.
+TRAIN_ROWS = 100_000
 
 
 def _fields(df: DataFrame, groups: list[str]) -> str:
@@ -72,3 +76,57 @@ def partition(df: DataFrame, x: str, y: str, groups: list[str], points: bool = F
 
     tail = "prior string, x double, y double" if points else "x double, y double, quadrant string, prior string"
     return _xy(df, x, y, groups).groupBy(*groups).applyInPandas(run, _fields(df, groups) + tail)
+
+
+def mode(df: DataFrame, column: str, groups: list[str]) -> DataFrame:
+    """groups, mode: the highest smoothed peak of each group."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, float(series.mode(pdf["x"].to_numpy())))], columns=[*groups, "mode"])
+
+    return df.select(*groups, col(column).alias("x")).dropna(subset=["x"]).groupBy(*groups).applyInPandas(run, _fields(df, groups) + "mode double")
+
+
+def forecast(df: DataFrame, value: str, order: str, groups: list[str], h: int, lags: list[int], method: str = "lin", **how) -> DataFrame:
+    """groups, step, forecast: recursive forecasts of each series by weighted lags."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = series.forecast(pdf.sort_values("_o", kind="stable")["x"].to_numpy(), h, lags, method, **how)
+        return pd.DataFrame([(*key, k + 1, float(v)) for k, v in enumerate(out)], columns=[*groups, "step", "forecast"])
+
+    rows = df.select(*groups, F.col(order).alias("_o"), col(value).alias("x")).dropna(subset=["x"])
+    return rows.groupBy(*groups).applyInPandas(run, _fields(df, groups) + "step int, forecast double")
+
+
+def monte_carlo(df: DataFrame, value: str, order: str, groups: list[str], reps: int, rhos: list[float], seed: int = 0) -> DataFrame:
+    """groups, rho, rep, i, x: bootstrap replicates, a task per series and rho. Draws depend on the seed, the
+    group and rho, never on the partitioning."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        *group, rho = key
+        own = pdf.sort_values("_o", kind="stable")["x"].to_numpy()
+        number = zlib.crc32(repr((seed, [str(g) for g in group], rho)).encode())
+        m = series.maximum_entropy_bootstrap(own, reps, rho, seed=number)
+        n = len(own)
+        out = {g: [v] * (n * reps) for g, v in zip(groups, group, strict=True)}
+        return pd.DataFrame(out | {"rho": rho, "rep": np.repeat(np.arange(1, reps + 1), n), "i": np.tile(np.arange(1, n + 1), reps), "x": m.T.ravel()})
+
+    rows = df.select(*groups, F.col(order).alias("_o"), col(value).alias("x"), F.explode(F.array(*[F.lit(float(r)) for r in rhos])).alias("rho")).dropna(subset=["x"])
+    return rows.groupBy(*groups, "rho").applyInPandas(run, _fields(df, groups) + "rho double, rep int, i int, x double")
+
+
+def nearest(train: DataFrame, points: DataFrame, features: list[str], y: str, key: str, k: int | None = None, classes: bool = False) -> DataFrame:
+    """key, prediction for each point. train is the small side (regression points), bounded by TRAIN_ROWS and sent
+    to all tasks; points stream past it."""
+    rows = train.select(*[col(f).alias(f) for f in features], col(y).alias("_y")).dropna().limit(TRAIN_ROWS + 1).toPandas()
+    if len(rows) > TRAIN_ROWS:
+        raise ValueError(f"more than {TRAIN_ROWS} training rows: reduce them to regression points first")
+    sent = train.sparkSession.sparkContext.broadcast((rows[features].to_numpy(), rows["_y"].to_numpy()))
+
+    def run(frames):
+        x, v = sent.value
+        for pdf in frames:
+            yield pd.DataFrame({key: pdf[key], "prediction": [series.nearest(x, v, p, k, classes) for p in pdf[features].to_numpy()]})
+
+    own = points.select(key, *[col(f).alias(f) for f in features])
+    return own.mapInPandas(run, f"`{key}` {dict(points.dtypes)[key]}, prediction double")

@@ -388,6 +388,29 @@ def partition_points(spark, d):
     return rounded(grouped.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], points=True))
 
 
+@query()
+def mode_continuous(spark, d):
+    return rounded(grouped.mode(events(spark, d, "event_type", "value"), "value", ["event_type"]))
+
+
+@query()
+def arma_recursive(spark, d):
+    return rounded(grouped.forecast(_monthly(spark, d), "x", "t", ["g"], 6, [3, 12]))
+
+
+@query()
+def monte_carlo(spark, d):
+    return grouped.monte_carlo(_monthly(spark, d), "x", "t", ["g"], 10, [-1.0, 0.0, 0.5, 1.0])
+
+
+@query()
+def nearest_points(spark, d):
+    li = _xyz(spark, d)
+    points = li.where("l_returnflag = 'A'").groupBy("x").agg(F.avg("z").alias("z"), F.avg("y").alias("y"))
+    asked = li.where("l_returnflag <> 'A'").groupBy("x").agg(F.avg("z").alias("z")).withColumn("id", F.col("x").cast("long"))
+    return rounded(grouped.nearest(points, asked, ["x", "z"], "y", "id", 5))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

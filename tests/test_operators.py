@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tailwise.kernels import stats
+from tailwise.kernels import series, stats
 from tailwise.operators import central, dominance, moments, quantile, timeseries
 
 
@@ -84,3 +84,38 @@ def test_linear_static_continues_a_line(spark):
 def test_seasonality_finds_the_period(spark):
     df = spark.createDataFrame([(k, 10 + math.sin(2 * math.pi * k / 6)) for k in range(60)], "t int, v double")
     assert 6 in {r["period"] for r in timeseries.seasonality(df, "v", "t").collect()}
+
+
+def test_bootstrap_keeps_order_and_correlation():
+    rng = np.random.default_rng(5)
+    x = np.cumsum(rng.normal(size=80)) + 20
+    same = series.maximum_entropy_bootstrap(x, 20, 1.0, seed=1)
+    assert np.array_equal(same, series.maximum_entropy_bootstrap(x, 20, 1.0, seed=1))
+    assert np.mean([np.corrcoef(x, same[:, k])[0, 1] for k in range(20)]) > 0.8
+    assert same.mean() == pytest.approx(x.mean(), abs=0.2)
+
+
+def test_rho_grid():
+    assert np.allclose(series.rho_grid(-1, 1, 0.5), [1, 0.5, 0, -0.5, -1])
+
+
+def test_neighbours():
+    x = np.array([[0.0], [1.0], [2.0], [3.0]])
+    y = np.array([0.0, 1.0, 2.0, 3.0])
+    assert series.nearest(x, y, np.array([1.1]), 1) == 1.0
+    assert 0.5 < series.nearest(x, y, np.array([1.1]), 3) < 2
+    assert series.nearest(x, np.array([1.0, 1.0, 2.0, 2.0]), np.array([0.1]), classes=True) == 1.0
+    assert series.neighbour_weights(np.array([0.1, 0.2, 0.4])).sum() == pytest.approx(1)
+
+
+def test_forecast_of_a_line_and_a_season():
+    assert series.forecast(np.arange(1.0, 25), 3, [1]) == pytest.approx([25, 26, 27])
+    season = np.tile([1.0, 5.0, 9.0], 8)
+    assert series.forecast(season, 3, [3], "means") == pytest.approx([1, 5, 9])
+
+
+def test_modes():
+    assert series.mode(np.array([1.0, 2, 2, 3, 3]), discrete=True) == 2.5
+    rng = np.random.default_rng(0)
+    two = np.concatenate([rng.normal(0, 1, 3000), rng.normal(20, 1, 1000)])
+    assert abs(series.mode(two)) < 1
