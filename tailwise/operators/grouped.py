@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tailwise.functions.expr import col
-from tailwise.kernels import series, stats
+from tailwise.kernels import regression, series, stats
 
 #: Rows that nearest() sends to all tasks at most.
 TRAIN_ROWS = 100_000
@@ -130,3 +130,35 @@ def nearest(train: DataFrame, points: DataFrame, features: list[str], y: str, ke
 
     own = points.select(key, *[col(f).alias(f) for f in features])
     return own.mapInPandas(run, f"`{key}` {dict(points.dtypes)[key]}, prediction double")
+
+
+def fit_regression(df: DataFrame, x: str, y: str, groups: list[str], **how) -> DataFrame:
+    """groups, start, at_x, at_y, slope: the segments of each group's piecewise regression."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        rows = regression.segments(a, b, *regression.breakpoints(a, b, **how))
+        return pd.DataFrame([(*key, *r) for r in rows], columns=[*groups, "start", "at_x", "at_y", "slope"])
+
+    return _xy(df, x, y, groups).groupBy(*groups).applyInPandas(run, _fields(df, groups) + "start double, at_x double, at_y double, slope double")
+
+
+def score_regression(points: DataFrame, x: str, model: DataFrame, groups: list[str]) -> DataFrame:
+    """points with estimate. A group's segments, few whatever its rows, are one sorted array; rows pick theirs
+    without Python."""
+    keyed = model.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups]).agg(F.sort_array(F.collect_list(F.struct("start", "at_x", "at_y", "slope"))).alias("_s"))
+    out = points.join(keyed, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups], "left") if groups else points.join(F.broadcast(keyed))
+    own = F.element_at(F.filter("_s", lambda s: s["start"] <= col(x)), -1)
+    return out.withColumn("_s", own).withColumn("estimate", F.col("_s.at_y") + (col(x) - F.col("_s.at_x")) * F.col("_s.slope")).drop("_s", *[f"_g_{g}" for g in groups])
+
+
+def forecast_nonlinear(df: DataFrame, value: str, order: str, groups: list[str], h: int, lags: list[int]) -> DataFrame:
+    """groups, step, forecast: each lag's subsequence goes on along its piecewise regression."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("_o", kind="stable")["x"].to_numpy()
+        out = regression.forecast_nonlinear(own, h, lags, series.lag_weights(own, lags))
+        return pd.DataFrame([(*key, k + 1, float(v)) for k, v in enumerate(out)], columns=[*groups, "step", "forecast"])
+
+    rows = df.select(*groups, F.col(order).alias("_o"), col(value).alias("x")).dropna(subset=["x"])
+    return rows.groupBy(*groups).applyInPandas(run, _fields(df, groups) + "step int, forecast double")

@@ -411,6 +411,22 @@ def nearest_points(spark, d):
     return rounded(grouped.nearest(points, asked, ["x", "z"], "y", "id", 5))
 
 
+@query()
+def regression_segments(spark, d):
+    return grouped.fit_regression(_monthly(spark, d).withColumn("i", F.month("t")), "i", "x", ["g"])
+
+
+@query()
+def regression_fit(spark, d):
+    m = _monthly(spark, d).withColumn("i", F.month("t"))
+    return rounded(grouped.score_regression(m, "i", grouped.fit_regression(m, "i", "x", ["g"]), ["g"]))
+
+
+@query()
+def arma_nonlinear(spark, d):
+    return rounded(grouped.forecast_nonlinear(_monthly(spark, d), "x", "t", ["g"], 4, [12]))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tailwise.kernels import series, stats
-from tailwise.operators import central, dominance, moments, quantile, timeseries
+from tailwise.kernels import regression, series, stats
+from tailwise.operators import central, dominance, grouped, moments, quantile, timeseries
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +119,24 @@ def test_modes():
     rng = np.random.default_rng(0)
     two = np.concatenate([rng.normal(0, 1, 3000), rng.normal(20, 1, 1000)])
     assert abs(series.mode(two)) < 1
+
+
+def test_two_point_regression():
+    x, y = np.array([1.0, 2.0]), np.array([148.0, 135.0])
+    px, py = regression.breakpoints(x, y)
+    assert py.tolist()[0] == 148.0 and 135.0 <= py.min()
+
+
+def test_regression_follows_a_curve(spark):
+    x = np.linspace(-2, 2, 300)
+    y = x**3
+    rows = regression.segments(x, y, *regression.breakpoints(x, y))
+    assert 1 - np.var(regression.predict(rows, x) - y) / np.var(y) > 0.97
+    df = spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(x, y, strict=True)], "g string, x double, y double")
+    got = grouped.score_regression(df, "x", grouped.fit_regression(df, "x", "y", ["g"]), ["g"]).orderBy("x").collect()
+    assert [r["estimate"] for r in got] == pytest.approx(regression.predict(rows, x))
+
+
+def test_nonlinear_forecast_of_a_season():
+    season = np.tile([1.0, 5.0, 9.0], 8)
+    assert regression.forecast_nonlinear(season, 3, [3], np.ones(1)) == pytest.approx([1, 5, 9])
