@@ -13,7 +13,8 @@ from tailwise.llm.common import documents
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    found = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return found.withColumn("llr", F.round("llr", 6))
 
 
 def tokenizer_file(name: str) -> str:
@@ -57,7 +58,7 @@ def op3_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.join(documents(spark, sf_dir))
+    return linededup.join(documents(spark, sf_dir)).withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
