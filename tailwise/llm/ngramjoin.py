@@ -2,8 +2,9 @@
 
 Words are lower-cased (A-Z), a document's set is its distinct 5-word shingles as 64-bit hashes. Documents with
 equal sets form a class, and one stands for it. Sets are ordered globally, rare shingles first; two sets that
-reach the threshold share a shingle of their prefixes, so sorting all prefix shingles and chaining neighbours
-whose sizes are compatible gives clusters outside which there are no links. Within a cluster the sets are stored
+reach the threshold share a shingle of their prefixes, so sorting all prefix shingles brings candidates together.
+Those whose sizes are compatible and whose parity bitmaps (which bound the symmetric difference from below) don't
+rule the pair out are connected to clusters, outside which there are no links. Within a cluster the sets are stored
 in a trie; each set walks it once, sharing the overlap of common paths, and leaves subtrees that are too short
 to reach the threshold or whose sets it is already connected with. Large clusters are split in chunks, and every
 pair of chunks is a task of its own.
@@ -35,12 +36,20 @@ WORDS = 5
 #: Jaccard similarity of 3 / 4: links when 4 * intersection >= 3 * union.
 NUMERATOR, DENOMINATOR = 3, 4
 #: A task reports shingles that it has counted this often among so many.
-OFTEN, COUNTED = 8, 4_000_000
+OFTEN, COUNTED = 3, 4_000_000
 #: Frequent shingles sent to all tasks, at most; more would only be faster.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
+#: Bits of a parity bitmap.
+PARITY = 1024
+#: Sets of more shingles have a longer bitmap besides, for the pairs that the short one lets pass.
+BIG, BIG_PARITY = 1400, 16_384
+#: Members of a run that are compared side by side with those next to them; longer runs are joined by groups.
+NEAR = 32
 #: Sets of a chunk; a task joins two chunks at most.
 CHUNK = 1000
 SLICE = 4_000_000
+#: Rows of cluster members that are broadcast at most (24 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 U = np.uint64
 _rng = np.random.default_rng(20_240_607)
@@ -113,6 +122,12 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little")
 
 
+def parity(s: np.ndarray, classes: int = PARITY) -> bytes:
+    """Which of the classes hold an odd number of shingles. Two sets differ in at least as many shingles as
+    their bitmaps do in bits."""
+    return np.packbits(np.bincount((s % U(classes)).astype(np.int64), minlength=classes) & 1 == 1).tobytes()
+
+
 def prefix_length(n: int) -> int:
     """Least number of shingles, first in the order, of which two linked sets share one."""
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
@@ -125,19 +140,19 @@ def _scan(docs: DataFrame) -> DataFrame:
         held: list[np.ndarray] = []
         known: set[tuple[int, int]] = set()
         size = 0
-        names = ["doc_id", "text_hash", "s1", "s2", "n", "often"]
+        names = ["doc_id", "text_hash", "s1", "s2", "n", "often", "bits", "more"]
 
         def often() -> pa.RecordBatch:
             value, count = np.unique(np.concatenate(held) if held else np.zeros(0, U), return_counts=True)
             some = count >= OFTEN
             void = pa.nulls(int(some.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([void, void, pa.array(value[some].view(np.int64)), void, void, pa.array(count[some])], names)
+            return pa.RecordBatch.from_arrays([void, void, pa.array(value[some].view(np.int64)), void, void, pa.array(count[some]), pa.nulls(int(some.sum()), pa.binary()), pa.nulls(int(some.sum()), pa.binary())], names)
 
         for batch in batches:
             sets = shingle_sets(batch.column(2).to_pylist())
             keys = [signature(s) if len(s) else (None, None) for s in sets]
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), n, pa.nulls(len(sets), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), n, pa.nulls(len(sets), pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary()), pa.array([parity(s, BIG_PARITY) if len(s) > BIG else None for s in sets], pa.binary())], names)
             for s, key in zip(sets, keys, strict=True):
                 if len(s) and key not in known:
                     known.add(key)
@@ -151,7 +166,7 @@ def _scan(docs: DataFrame) -> DataFrame:
         yield often()
 
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return staged(rows.mapInArrow(read, "doc_id long, text_hash long, s1 long, s2 long, n long, often long"), "shingles")
+    return staged(rows.mapInArrow(read, "doc_id long, text_hash long, s1 long, s2 long, n long, often long, bits binary, more binary"), "shingles")
 
 
 def frequent_order(scan: DataFrame, bound: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -193,22 +208,106 @@ def _postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataF
     return docs.select("text").mapInArrow(read, "shingle long, s1 long, c long")
 
 
-def _chained(postings: DataFrame) -> DataFrame:
-    """Edges between sets that follow each other, by size, among those with a common prefix shingle."""
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings whose shingle another set of compatible size has in its prefix."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 3  # the last row so far, and whether it has been sent
+        sent = False
         for batch in batches:
-            t, a, c = (np.concatenate((x, y.to_numpy())) for x, y in zip(last, batch.columns, strict=True))
-            last = [t[-1:], a[-1:], c[-1:]]
-            small, large = c[:-1] >> 32, c[1:] >> 32
-            link = (t[:-1] == t[1:]) & ((a[:-1] != a[1:]) | (c[:-1] != c[1:])) & (small * DENOMINATOR >= large * NUMERATOR)
-            at = np.flatnonzero(link)
-            pairs = np.unique(np.stack([a[at], c[at], a[at + 1], c[at + 1]], axis=1), axis=0) if len(at) else np.zeros((0, 4), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)], ["a1", "ac", "b1", "bc"])
+            t, a, c = (np.concatenate((x, y.to_numpy())) for x, y in zip(held, batch.columns, strict=True))
+            if not len(t):
+                continue
+            n = c >> 32
+            link = (t[:-1] == t[1:]) & ((a[:-1] != a[1:]) | (c[:-1] != c[1:])) & (n[:-1] * DENOMINATOR >= n[1:] * NUMERATOR)
+            some = np.r_[link, False] | np.r_[False, link]
+            last = bool(some[-1])
+            if sent:
+                some[0] = False
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (t, a, c)], ["shingle", "s1", "c"])
+            sent = last or (sent and len(t) == 1)
+            held = [t[-1:], a[-1:], c[-1:]]
+
+    return postings.repartition("shingle").sortWithinPartitions("shingle", "c", "s1").mapInArrow(read, "shingle long, s1 long, c long")
+
+
+def apart(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Whether sizes (nx <= ny) or bitmaps rule out a link."""
+    d = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    # Links have 7 |difference| <= |x| + |y| for a threshold of 3 / 4.
+    return (nx * DENOMINATOR < ny * NUMERATOR) | (d * (DENOMINATOR + NUMERATOR) > (DENOMINATOR - NUMERATOR) * (nx + ny))
+
+
+def run_edges(shingle: np.ndarray, n: np.ndarray, rep: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Rows (a, b, firm) of reps: edges that connect, within each run of equal shingles (n ascending), all pairs
+    not ruled out. An edge that is not firm stands for its own pair only; firm ones stand for others too."""
+    pairs = [np.zeros((0, 3), np.int64)]
+    for d in range(1, min(NEAR, len(shingle) - 1) + 1):
+        same = np.flatnonzero(shingle[:-d] == shingle[d:])
+        if not len(same):
+            break
+        ok = same[~apart(bits[same], bits[same + d], n[same], n[same + d])]
+        pairs.append(np.stack([rep[ok], rep[ok + d], np.zeros(len(ok), np.int64)], axis=1))
+        if d % 8 == 0:
+            pairs = [np.unique(np.concatenate(pairs), axis=0)]
+    starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+    ends = np.r_[starts[1:], len(shingle)]
+    for a, b in zip(starts[ends - starts > NEAR].tolist(), ends[ends - starts > NEAR].tolist(), strict=True):
+        group = np.arange(b - a)
+        found = []
+        single = b - a <= 8 * NEAR
+        for k in range(1, b - a):
+            other = np.flatnonzero(group[:k] != group[k])
+            other = other[n[a : a + k][other] * DENOMINATOR >= n[a + k] * NUMERATOR]
+            ok = other[~apart(bits[a + other], bits[a + k], n[a + other], n[a + k])]
+            if single and n[a + k] > BIG:
+                big = n[a + ok] > BIG
+                found += [(rep[a + y], rep[a + k], 0) for y in ok[big]]
+                ok = ok[~big]
+            for g, at in zip(*np.unique(group[ok], return_index=True), strict=True):
+                found.append((rep[a + ok[at]], rep[a + k], 1))
+                group[group == g] = group[k]
+        pairs.append(np.array(found, np.int64).reshape(-1, 3))
+    return np.unique(np.concatenate(pairs), axis=0)
+
+
+def _connected(shared: DataFrame) -> DataFrame:
+    """(shingle, c, rep, bits) to edges (a, b) between reps that may be linked."""
 
-    ordered = postings.repartition("shingle").sortWithinPartitions("shingle", "c")
-    return ordered.mapInArrow(read, "a1 long, ac long, b1 long, bc long").distinct()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None
+        for batch in batches:
+            bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+            own = [batch.column(0).to_numpy(), batch.column(1).to_numpy() >> 32, batch.column(2).to_numpy(), bits]
+            own = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+            cut = int(np.searchsorted(own[0], own[0][-1])) if len(own[0]) else 0  # the last run may go on
+            held = [x[cut:] for x in own]
+            if cut:
+                pairs = run_edges(*(x[:cut] for x in own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(3)], ["a", "b", "firm"])
+        if held is not None and len(held[0]):
+            pairs = run_edges(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(3)], ["a", "b", "firm"])
+
+    return shared.repartition("shingle").sortWithinPartitions("shingle", "c", "rep").mapInArrow(read, "a long, b long, firm long").distinct()
+
+
+def _sifted(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """edges without those of two big sets that are not firm and that the longer bitmaps rule out."""
+    big = classes.where("more is not null and rep is not null").select("rep", "n", "more")
+    for side in "ab":
+        edges = edges.join(big.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("more").alias(f"more{side}")), side, "left")
+    both = F.col("morea").isNotNull() & F.col("moreb").isNotNull() & (F.col("firm") == 0)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (np.array(batch.column(k).to_pylist(), np.int64) for k in (2, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BIG_PARITY // 64) for k in (3, 5))
+            ok = ~apart(x, y, np.minimum(na, nb), np.maximum(na, nb))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
+
+    soft = edges.where(both).select("a", "b", "na", "morea", "nb", "moreb").mapInArrow(read, "a long, b long")
+    return soft.unionByName(edges.where(~both).select("a", "b"))
 
 
 class Groups:
@@ -349,16 +448,17 @@ def _members(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of each row of docs (doc_id, text not null)."""
     scan = _scan(docs)
     rows = scan.where("often is null")
-    classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_hash"))["text_hash"].alias("rep_hash"), F.max("n").alias("n"))
+    classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_hash"))["text_hash"].alias("rep_hash"), F.max("n").alias("n"), F.first("bits").alias("bits"), F.first("more").alias("more"))
     classes = staged(classes, "classes")
-    edges = _chained(_postings(docs, frequent_order(scan)))
-    keyed = classes.where("rep is not null").select("s1", (F.shiftleft("n", 32).bitwiseOR(F.col("s2"))).alias("c"), "rep")
-    for side in "ab":
-        edges = edges.join(keyed.select(F.col("s1").alias(f"{side}1"), F.col("c").alias(f"{side}c"), F.col("rep").alias(side)), [f"{side}1", f"{side}c"])
-    clusters = staged(components(edges.select("a", "b")), "clusters")
+    keyed = classes.where("rep is not null").select("s1", (F.shiftleft("n", 32).bitwiseOR(F.col("s2"))).alias("c"), "rep", "bits")
+    shared = _shared(_postings(docs, frequent_order(scan))).join(keyed, ["s1", "c"]).select("shingle", "c", "rep", "bits")
+    clusters = staged(components(_sifted(staged(_connected(shared), "pairs"), classes)), "clusters")
     wanted = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("rep_hash"))
-    clustered = wanted.join(classes.select("rep", "rep_hash"), "rep").join(texts, ["rep", "rep_hash"]).select("rep", "cluster", "text")
+    wanted = staged(wanted.join(classes.select("rep", "rep_hash"), "rep"), "wanted")
+    # Three numbers a row; sent to all tasks up to a bound, beyond it joined by shuffling the texts.
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    clustered = texts.join(wanted, ["rep", "rep_hash"]).select("rep", "cluster", "text")
     links = staged(_verified(clustered), "links")
     found = components(links)
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
