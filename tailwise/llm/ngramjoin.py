@@ -451,7 +451,7 @@ def _members(docs: DataFrame) -> DataFrame:
     classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_hash"))["text_hash"].alias("rep_hash"), F.max("n").alias("n"), F.first("bits").alias("bits"), F.first("more").alias("more"))
     classes = staged(classes, "classes")
     keyed = classes.where("rep is not null").select("s1", (F.shiftleft("n", 32).bitwiseOR(F.col("s2"))).alias("c"), "rep", "bits")
-    shared = _shared(_postings(docs, frequent_order(scan))).join(keyed, ["s1", "c"]).select("shingle", "c", "rep", "bits")
+    shared = staged(_shared(_postings(docs, frequent_order(scan))), "shared").join(keyed, ["s1", "c"]).select("shingle", "c", "rep", "bits")
     clusters = staged(components(_sifted(staged(_connected(shared), "pairs"), classes)), "clusters")
     wanted = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("rep_hash"))
