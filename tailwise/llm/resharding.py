@@ -3,28 +3,32 @@
 Old shards with their sizes on one side, new shards with their capacities on the other; a byte that stays in its
 shard costs nothing, one that moves costs one. The flow says how many bytes go from which shard to which. A
 shard's rows are laid out in a fixed order and its byte range is cut into blocks, the staying one first; a row
-belongs to the block that holds its middle byte. rewrite_shards then writes the shards whose rows change and
-leaves the others alone.
+belongs to the block that holds its middle byte. rewrite_shards then writes the shards whose rows change, texts
+and all, and leaves the others alone; what reshard returns of the written ones is read back from their files.
 
 Defined cases: a null text has no bytes and its own 8 bytes of overhead; rows with a null shard key are of old
-shard 0; equal texts and repeated rows are placed one by one; an empty table gives an empty result; further
-columns are ignored.
+shard 0; equal texts, repeated ids and repeated rows are placed and written one by one; an empty table gives an
+empty result; further columns are carried along.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tailwise.llm.common import staged
+from tailwise.llm.common import shared_dir, staged
 
 SHARDS = 24
 OVERHEAD = 8
 #: Rows whose places are counted together.
 BUCKET_ROWS = 5_000
+#: Of rows in a bucket; rows that tie have the same size.
+ORDER = ["doc_id", "size", "text_crc32"]
 
 
 def min_cost_flow(supply: list[int], room: list[int], cost) -> dict[tuple[int, int], int]:
@@ -107,24 +111,32 @@ def _running(rows: DataFrame, keys: list[str], order: list[str], value: str, nam
     return rows.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(base, [*keys, "_bucket"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_base", "_in")
 
 
-def reshard(docs: DataFrame, old_shard, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, old_shard, shard, slot, grown_shard for each row. old_shard is a Column of
-    0 .. shards - 1, where the rows are now."""
+def _sizes(old_shard, id_col: str, text_col: str) -> dict[str, Column]:
+    """The columns by which rows are placed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"),
-    )
+    return {
+        "doc_id": F.col(id_col).cast("long"),
+        "size": (F.octet_length(text) + OVERHEAD).cast("long"),
+        "text_crc32": F.crc32(text.cast("binary")),
+        "old_shard": F.coalesce(old_shard, F.lit(0)).cast("int"),
+    }
+
+
+def _bucket(buckets: int, doc_id) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
+
+
+def place(docs: DataFrame, old_shard, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """doc_id, size, text_crc32, old_shard, _bucket, _at, shard, slot for each row, from the sizes alone, and the number of
+    buckets. old_shard is a Column of 0 .. shards - 1, where the rows are now."""
+    rows = docs.select(*(c.alias(k) for k, c in _sizes(old_shard, id_col, text_col).items()))
     rows = staged(rows, "sizes")
     found = rows.groupBy("old_shard").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row per shard
     moves = blocks({r["old_shard"]: r["size"] for r in found}, shards)
     spark = docs.sparkSession
     buckets = max(1, -(-max((r["n"] for r in found), default=0) // BUCKET_ROWS))
-    order = ["doc_id", "size", "text_crc32"]
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    rows = _running(rows, ["old_shard"], order, "size", "_at")
+    rows = rows.withColumn("_bucket", _bucket(buckets, F.col("doc_id")))
+    rows = _running(rows, ["old_shard"], ORDER, "size", "_at")
     if moves:
         table = spark.createDataFrame([(o, (o << 48) + a, (o << 48) + b, n) for o, a, b, n in moves], "o int, _from long, _to long, shard int").select(F.array_sort(F.collect_list(F.struct("_from", "_to", "shard")).over(Window.partitionBy("o"))).alias("b"), "o").distinct()
     else:
@@ -132,7 +144,7 @@ def reshard(docs: DataFrame, old_shard, shards: int = SHARDS, id_col: str = "doc
     # A row per old shard: its blocks. The row's middle byte picks one.
     rows = rows.join(F.broadcast(table), F.col("old_shard") == F.col("o"))
     rows = rows.withColumn("shard", F.expr("element_at(filter(b, x -> x._to > (cast(old_shard as long) << 48) + _at + size div 2), 1).shard")).drop("b", "o")
-    rows = _running(rows.withColumn("_one", F.lit(1).cast("long")), ["shard", "old_shard"], order, "_one", "_slot")
+    rows = _running(rows.withColumn("_one", F.lit(1).cast("long")), ["shard", "old_shard"], ORDER, "_one", "_slot")
     counts = {(r["shard"], r["old_shard"]): r["n"] for r in rows.groupBy("shard", "old_shard").agg(F.count("*").alias("n")).collect()}  # shards * shards rows at most
     starts, total = [], defaultdict(int)
     for (new, old), n in sorted(counts.items()):
@@ -140,14 +152,48 @@ def reshard(docs: DataFrame, old_shard, shards: int = SHARDS, id_col: str = "doc
         total[new] += n
     base = spark.createDataFrame(starts, "shard int, old_shard int, _start long")
     rows = rows.join(F.broadcast(base), ["shard", "old_shard"])
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "old_shard", "shard", (F.col("_start") + F.col("_slot")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select("doc_id", "size", "text_crc32", "old_shard", "_bucket", "_at", "shard", (F.col("_start") + F.col("_slot")).alias("slot")), buckets
+
 
+def rewrite_shards(docs: DataFrame, old_shard, placed: DataFrame, buckets: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
+    """Write the rows of the affected shards (those that gain or lose rows), with all columns of docs under row, to
+    path/shard=k, and return these shards. placed and buckets are from place().
 
-def rewrite_shards(spark: SparkSession, docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
-    """Write the rows of the affected shards (those that gain or lose rows) under path/shard=k and return them."""
+    A bucket's rows of one new shard follow each other in the bucket's order and in the shard, so a row's number in
+    its bucket says where it goes: texts are dealt once, by bucket, and repeated rows stay single."""
+    spark = docs.sparkSession
     affected = sorted(r[0] for r in placed.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard"))).distinct().collect())  # shard numbers
-    if affected:
-        moved = placed.where(F.col("shard").isin(affected)).select(F.col("doc_id").alias("_id"), "shard", "slot")
-        rows = docs.join(moved, docs[id_col].eqNullSafe(F.col("_id"))).drop("_id")
-        rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    if not affected:
+        return affected
+    runs = placed.where(F.col("old_shard").isin(affected)).groupBy("old_shard", "_bucket", "shard").agg(F.min("_at").alias("_at"), F.count("*").alias("n"), F.min("slot").alias("slot"))
+    before = Window.partitionBy("old_shard", "_bucket").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    runs = staged(runs.groupBy("old_shard", "_bucket").agg(F.array_sort(F.collect_list(F.struct("_first", "slot", "shard"))).alias("_runs")), "runs")
+    # A row of an affected old shard stays in it or moves, so it goes to an affected shard.
+    rows = docs.select(*(c.alias(k) for k, c in _sizes(old_shard, id_col, text_col).items()), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.where(F.col("old_shard").isin(affected)).withColumn("_bucket", _bucket(buckets, F.col("doc_id")))
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy("old_shard", "_bucket").orderBy(*ORDER)).cast("long") - 1)
+    rows = rows.join(runs, ["old_shard", "_bucket"]).withColumn("_run", F.expr("element_at(filter(_runs, x -> x._first <= _i), -1)"))
+    rows = rows.select("row", "old_shard", (F.col("_run.slot") + F.col("_i") - F.col("_run._first")).alias("slot"), F.col("_run.shard").alias("shard"))
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return affected
+
+
+def reshard(docs: DataFrame, old_shard, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, law, old_shard, shard, slot, grown_shard for each row: of the affected shards as
+    read back from their new files, of the others as they are."""
+    spark = docs.sparkSession
+    placed, buckets = place(docs, old_shard, shards, id_col, text_col)
+    placed = staged(placed, "placed")
+    path = f"{shared_dir(spark)}/tailwise/shards-{uuid.uuid4().hex}"
+    affected = rewrite_shards(docs, old_shard, placed, buckets, path, id_col, text_col)
+    columns = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
+    found = placed.where(~F.col("old_shard").isin(affected)).select(columns)
+    if affected:
+        kind = StructType([StructField("row", docs.schema), StructField("old_shard", IntegerType()), StructField("slot", LongType()), StructField("shard", IntegerType())])
+        new = spark.read.schema(kind).parquet(path)
+        if new.count() != placed.where(F.col("old_shard").isin(affected)).count():
+            raise RuntimeError("the new files have other rows than were placed: the input changed between two reads")
+        of_row = _sizes(F.col("old_shard"), f"row.`{id_col}`", f"row.`{text_col}`")
+        found = found.unionByName(new.select(*(c.alias(k) for k, c in of_row.items()), "shard", "slot"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "old_shard", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -168,6 +168,40 @@ def test_resharding(spark, docs, rows, none):
     assert resharding.reshard(none, F.lit(0)).count() == 0
 
 
+def test_resharding_writes_shards(spark, rows, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(resharding, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(resharding, "BUCKET_ROWS", 7)
+    many = [(d, t, d % 3, "s") for d, t in rows] + [(1, "other text", 0, "s"), (1, "other text", 0, "s"), (1, None, 2, "s"), (None, "no id", 1, "s"), (None, "no id", None, "s")]
+    docs = spark.createDataFrame(many, "doc_id long, text string, slot int, `old.shard` string")
+    got = [tuple(r) for r in resharding.reshard(docs, F.col("slot"), shards=5).select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot").collect()]
+    files = spark.read.parquet(*map(str, tmp_path.glob("tailwise/shards-*"))).collect()
+    key = lambda r: tuple((x is not None, x or 0) if not isinstance(x, str) else (True, x) for x in r)
+    assert sorted((tuple(r["row"]) for r in files), key=lambda r: str(r)) == sorted(many, key=lambda r: str(r))
+    raw = lambda t: (t or "").encode()
+    want = [(r["row"]["doc_id"], len(raw(r["row"]["text"])) + 8, zlib.crc32(raw(r["row"]["text"])), r["row"]["slot"] or 0, r["shard"], r["slot"]) for r in files]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r[4]].append(r[5])
+    assert len(slots) == 5 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # The plan of the sizes says the same.
+    plan = resharding.place(docs, F.col("slot"), shards=5)[0].select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
+    assert sorted((tuple(r) for r in plan.collect()), key=key) == sorted(got, key=key)
+
+
+def test_resharding_leaves_even_shards(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(resharding, "shared_dir", lambda _: f"file://{tmp_path}")
+    docs = spark.createDataFrame([(k, "x" * 10, 0 if k < 2 else 1 if k < 8 else 2 if k < 12 else 3) for k in range(16)], "doc_id long, text string, s int")
+    got = resharding.reshard(docs, F.col("s"), shards=4).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(16))
+    assert {p.name for p in tmp_path.glob("tailwise/shards-*/shard=*")} == {"shard=0", "shard=1"}
+    assert all(r["shard"] == r["old_shard"] for r in got if r["old_shard"] > 1)
+
+
 def test_flow_moves_least():
     for _ in range(50):
         sizes = {k: RNG.randint(0, 500) for k in range(6)}
