@@ -14,7 +14,8 @@ most frequent are sent to all. The order decides the speed, never the result.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing, its component is its doc_id;
 fewer words than five are one shingle; equal texts are in one component; repeated rows count as equal texts, of
-which keep_first keeps one; a null doc_id stands for its class only if no other does; an empty table gives an
+which keep_first keeps one; a null doc_id stands for its class only if no other does; a component without ids has a
+null component_id, and keep_first keeps one of its rows; an empty table gives an
 empty result; further columns are ignored by join and passed through by keep_first.
 """
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailwise.llm.common import free_name, staged
@@ -48,8 +49,10 @@ NEAR = 32
 #: Sets of a chunk; a task joins two chunks at most.
 CHUNK = 1000
 SLICE = 4_000_000
-#: Rows of cluster members that are broadcast at most (24 bytes each).
+#: Rows of cluster members that are broadcast at most (32 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Lots in which classes without ids are numbered.
+LOTS = 1024
 
 U = np.uint64
 _rng = np.random.default_rng(20_240_607)
@@ -415,9 +418,9 @@ def trie_links(sets: list[np.ndarray], sides: list[int] | None = None) -> list[t
     return links
 
 
-def _verified(clustered: DataFrame) -> DataFrame:
-    """(rep, cluster, text) to links (a, b) between reps."""
-    size = clustered.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
+def _verified(clustered: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, cluster, text) to links (a, b) between reps. wanted has a row for each rep, clustered more for repeated rows."""
+    size = wanted.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
     dealt = clustered.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("rep"), "k").cast("int"))
     other = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
     dealt = dealt.withColumn("other", F.explode(other)).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "text")
@@ -436,6 +439,8 @@ def _verified(clustered: DataFrame) -> DataFrame:
                     if reps:
                         yield linked(reps, texts)
                     key, reps, texts = (c, i, j), [], []
+                elif rep == reps[-1]:
+                    continue
                 reps.append(rep)
                 texts.append(text)
         if reps:
@@ -444,25 +449,46 @@ def _verified(clustered: DataFrame) -> DataFrame:
     return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep").mapInArrow(read, "a long, b long")
 
 
+def _named(classes: DataFrame) -> tuple[DataFrame, int | None]:
+    """classes with rep: the class's least id, or where it has null ids only, a number above all these; and the bound
+    from which numbers are no ids, if there are such classes."""
+    found = classes.agg(F.max("rep_id").alias("most"), F.count("*").alias("n"), F.count("rep_id").alias("known")).first()
+    if found["n"] == found["known"]:
+        return classes.withColumn("rep", F.col("rep_id")), None
+    bound = (-1 if found["most"] is None else found["most"]) + 1
+    lot = F.pmod("s1", F.lit(LOTS))
+    number = (F.row_number().over(Window.partitionBy(lot).orderBy("s1", "s2")).cast("long") - 1) * LOTS + lot + F.lit(bound)
+    return classes.where("rep_id is not null").withColumn("rep", F.col("rep_id")).unionByName(classes.where("rep_id is null").withColumn("rep", number)), bound
+
+
 def _members(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id of each row of docs (doc_id, text not null)."""
+    """doc_id, text_hash, n_shingles, component_id, first of each row of docs (doc_id, text not null). component_id is
+    null where links reach null ids only; first says whether the row stands for its component."""
     scan = _scan(docs)
     rows = scan.where("often is null")
-    classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_hash"))["text_hash"].alias("rep_hash"), F.max("n").alias("n"), F.first("bits").alias("bits"), F.first("more").alias("more"))
-    classes = staged(classes, "classes")
-    keyed = classes.where("rep is not null").select("s1", (F.shiftleft("n", 32).bitwiseOR(F.col("s2"))).alias("c"), "rep", "bits")
+    own = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+    classes = rows.where("s1 is not null").groupBy("s1", "s2").agg(own["doc_id"].alias("rep_id"), F.coalesce(own["text_hash"], F.min("text_hash")).alias("rep_hash"), F.max("n").alias("n"), F.first("bits").alias("bits"), F.first("more").alias("more"))
+    classes, bound = _named(staged(classes, "classes"))
+    keyed = classes.select("s1", (F.shiftleft("n", 32).bitwiseOR(F.col("s2"))).alias("c"), "rep", "bits")
     shared = staged(_shared(_postings(docs, frequent_order(scan))), "shared").join(keyed, ["s1", "c"]).select("shingle", "c", "rep", "bits")
     clusters = staged(components(_sifted(staged(_connected(shared), "pairs"), classes)), "clusters")
     wanted = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("text").alias("rep_hash"))
-    wanted = staged(wanted.join(classes.select("rep", "rep_hash"), "rep"), "wanted")
-    # Three numbers a row; sent to all tasks up to a bound, beyond it joined by shuffling the texts.
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    clustered = texts.join(wanted, ["rep", "rep_hash"]).select("rep", "cluster", "text")
-    links = staged(_verified(clustered), "links")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    wanted = staged(wanted.join(classes.select("rep", "rep_id", "rep_hash"), "rep"), "wanted")
+    # Four numbers a row; sent to all tasks up to a bound, beyond it joined by shuffling the texts.
+    held = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    same = (F.col("text_hash") == F.col("rep_hash")) & (F.col("doc_id").eqNullSafe(F.col("rep_id")) if bound is not None else F.col("doc_id") == F.col("rep_id"))
+    clustered = texts.join(held, same).select("rep", "cluster", "text")
+    links = staged(_verified(clustered, wanted), "links")
     found = components(links)
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    return rows.join(named, ["s1", "s2"], "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("s1", "s2", "rep", "rep_hash", F.coalesce("component", "rep").alias("component"))
+    members = rows.join(named, ["s1", "s2"], "left")
+    component, first = F.coalesce("component", "doc_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id"))
+    if bound is not None:
+        no_id = F.coalesce(F.col("component") >= bound, F.lit(False))
+        component = F.when(~no_id, component)
+        first = F.when(no_id, (F.col("component") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).otherwise(first)
+    return members.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), first.alias("first"))
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -471,20 +497,19 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach) for each row."""
-    return _members(_read(docs, id_col, text_col)).drop("text_hash")
+    return _members(_read(docs, id_col, text_col)).drop("text_hash", "first")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those linked, over any path, with a row of lesser doc_id; of repeated rows one."""
+    """The rows of docs without those linked, over any path, with a row of lesser doc_id; of repeated rows one,
+    and one of rows without ids that links reach no id from."""
     h, own = free_name(docs.columns, "_text_hash"), free_name(docs.columns, "_own")
-    first = _members(_read(docs, id_col, text_col)).where("doc_id <=> component_id")
+    first = _members(_read(docs, id_col, text_col)).where("first")
     first = first.groupBy("doc_id", "text_hash").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies")).alias("f")
     rows = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     kept = rows.join(first, rows[id_col].cast("long").eqNullSafe(F.col("f.doc_id")) & (rows[h] == F.col("f.text_hash")))
     single = kept.where("f.copies = 1 or f.n_shingles = 0").select(*[rows[c] for c in docs.columns])
     # Rows that share id and text are few; only they need an order among themselves.
-    from pyspark.sql import Window
-
     again = kept.where("f.copies > 1 and f.n_shingles > 0").withColumn(own, F.row_number().over(Window.partitionBy(rows[id_col], rows[h]).orderBy(F.lit(1))))
     return single.unionByName(again.where(F.col(own) == 1).select(*[rows[c] for c in docs.columns]))
 

@@ -231,6 +231,19 @@ def test_ngram_join(spark, docs, rows, none):
     assert ngramjoin.join(none).count() == 0 and ngramjoin.keep_first(none).count() == 0
 
 
+def test_ngram_join_links_null_ids(spark):
+    words = lambda k: [f"w{k}x{i}" for i in range(60)]
+    a, b, c = (" ".join(words(k)) for k in range(3))
+    rows = [(7, a), (None, a.upper()), (None, a.replace(" ", "  ")), (9, a + " more"), (None, b), (None, b.upper()), (None, b), (None, b + " tail"), (None, b + " tail"), (None, c), (-4, "on its own"), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in ngramjoin.join(docs).collect()), key=str)
+    assert got == sorted([(7, 7), (None, 7), (None, 7), (9, 7), (-4, -4)] + [(None, None)] * 8, key=str)
+    kept = [tuple(r) for r in ngramjoin.keep_first(docs).collect()]
+    of_b = [t for d, t in kept if t and t.lower().startswith("w1x")]
+    assert len(of_b) == 1
+    assert sorted(((d, t) for d, t in kept if t not in of_b), key=str) == sorted([(7, a), (None, c), (-4, "on its own"), (None, ""), (None, None)], key=str)
+
+
 def test_trie_links_connect_as_all_pairs_do():
     for _ in range(150):
         base = np.arange(RNG.randint(3, 40)).astype(np.uint64)
