@@ -4,7 +4,8 @@ Three kinds of secrets are matched by pattern. Beside them, runs of key characte
 character class (hex, upper or base64); a window of WINDOW characters slides over each, with character counts
 and the sum of count * log2(count) updated from the character that enters and the one that leaves. Windows whose
 Shannon entropy reaches the class's threshold are hot; a candidate's span reaches from its first hot window to
-the end of its last. Allow-listed candidates and those that touch a pattern's span add nothing. Sums are
+the end of its last. Allow-listed candidates add nothing. Of a candidate that touches a pattern's span, scan takes
+nothing more; redact_documents scans what the spans leave of it, so that a second secret is masked too. Sums are
 integers in units of 2**-20 bit, so every engine finds the same windows.
 
 Defined cases: a null or empty text has no spans; offsets count code points; equal texts get equal spans;
@@ -80,7 +81,7 @@ def hot_part(s: str, window: int = WINDOW) -> str:
     return f"transform(array(named_struct('k', {codes}, 'm', {limit})), q -> aggregate({steps}, {state}, (a, x) -> {merged}, a -> named_struct('first', a.first, 'last', a.last)))[0]"
 
 
-def spans(text: str) -> dict[str, str]:
+def spans(text: str, rest: bool = False) -> dict[str, str]:
     """SQL for the base spans, then for all spans, of a column of non-null texts without marks of their own."""
     base = ", ".join(
         (
@@ -89,19 +90,30 @@ def spans(text: str) -> dict[str, str]:
             matches(text, HEX, 2),
         )
     )
-    candidates = matches(text, CANDIDATE % WINDOW, 3, f"not x rlike {_quoted(ALLOWED)}")
+    # Pieces of a candidate are looked up in the allow list one by one.
+    candidates = matches(text, CANDIDATE % WINDOW, 3, "true" if rest else f"not x rlike {_quoted(ALLOWED)}")
     return {"base": f"array_sort(concat({base}))", "candidates": candidates}
 
 
-def scanned(df: DataFrame, text_col: str, name: str) -> DataFrame:
-    """df with a column name: struct of base and all (arrays of start, kind, end, own), in order of start, kind."""
+def _pieces(cand: str, base: str) -> str:
+    """SQL for the parts of WINDOW or more characters that the sorted base spans leave of the candidates."""
+    piece = lambda to: f"named_struct('start', a.p, 'kind', 3, 'end', {to}, 'own', substring(c.own, a.p - c.start + 1, {to} - a.p))"
+    with_piece = lambda to: f"if({to} - a.p >= {WINDOW}, concat(a.s, array({piece(to)})), a.s)"
+    cut = f"""aggregate(filter(`{base}`, b -> b.start < c.end and c.start < b.end), named_struct('p', c.start, 's', cast(array() as {_SPANS})),
+        (a, b) -> named_struct('p', greatest(a.p, b.end), 's', {with_piece("b.start")}), a -> {with_piece("c.end")})"""
+    return f"flatten(transform(`{cand}`, c -> {cut}))"
+
+
+def scanned(df: DataFrame, text_col: str, name: str, rest: bool = False) -> DataFrame:
+    """df with a column name: struct of base and all (arrays of start, kind, end, own), in order of start, kind. With
+    rest, what base spans leave of a candidate is scanned too; else a candidate that touches one adds nothing."""
     taken = [*df.columns, name]
     clean = free_name(taken, "_clean")
     base, cand, hot = (free_name([*taken, clean], n) for n in ("_base", "_candidates", "_hot"))
-    sql = spans(f"`{clean}`")
+    sql = spans(f"`{clean}`", rest)
     df = df.withColumn(clean, F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), OPEN + CLOSE, OTHER + OTHER))
     df = df.withColumn(base, F.expr(sql["base"])).withColumn(cand, F.expr(sql["candidates"]))
-    df = df.withColumn(cand, F.expr(f"filter(`{cand}`, c -> not exists(`{base}`, b -> b.start < c.end and c.start < b.end))"))
+    df = df.withColumn(cand, F.expr(f"filter({_pieces(cand, base)}, c -> not c.own rlike {_quoted(ALLOWED)})" if rest else f"filter(`{cand}`, c -> not exists(`{base}`, b -> b.start < c.end and c.start < b.end))"))
     df = df.withColumn(
         hot,
         F.expr(
@@ -138,7 +150,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str |
     """docs with every span replaced by MASK (overlapping spans by one). Null texts stay null. length_col, if the
     table has it, is set to the new number of code points where the text has changed."""
     name = free_name(docs.columns, "_found")
-    df = scanned(docs, text_col, name)
+    df = scanned(docs, text_col, name, rest=True)
     text = f"`{text_col}`"
     masked = f"""aggregate(`{name}`.all, named_struct('p', 0, 's', ''),
         (a, x) -> if(x.start >= a.p, named_struct('p', x.end, 's', concat(a.s, substring({text}, a.p + 1, x.start - a.p), '{MASK}')), named_struct('p', greatest(a.p, x.end), 's', a.s)),

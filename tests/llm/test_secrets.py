@@ -59,3 +59,16 @@ def test_redaction_keeps_columns_and_clean_rows(spark):
     got = {r["_found"]: (r["text"], r["n_chars"]) for r in out.collect()}
     assert got == {"a": ("clean text", 10), "b": (None, None), "c": ("x [SECRET] y", 12), "d": ("[SECRET]!", 9)}
     assert S.redact_documents(docs.limit(0)).count() == 0
+
+
+def test_redaction_masks_what_patterns_leave(spark):
+    rng = random.Random(8)
+    key = lambda n, a=S.ALPHABET[:62]: "".join(rng.choice(a) for _ in range(n))
+    access, hexa = "AKIA" + key(16, "ABCDEFGH0123"), key(30, "0123456789abcdef")
+    one, two, three = (key(40) for _ in range(3))
+    texts = [f"{access}/{one} x", f"a {hexa}_{one}", f"{one}/{hexa}/{two}/{access}/{three} é", f"{access}/short", f"{one} {two}", f"{hexa}_{key(30)}EXAMPLE", f"é password={one} {two}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in S.redact_documents(docs, length_col=None).collect()}
+    for i in (0, 1, 2, 4, 6):
+        assert not any(x[8:-8] in got[i] for x in (one, two, three, access, hexa)), got[i]
+    assert got[3] == "[SECRET]/short" and got[5].startswith("[SECRET]_") and got[5].endswith("EXAMPLE")
