@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,29 +10,50 @@ from pyspark.sql import functions as F
 
 #: Separators of words: space and the five ASCII controls from tab to carriage return.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
+#: Folder of this driver's intermediate tables, under the shared one.
+_RUN = uuid.uuid4().hex
+_made: set[str] = set()
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of the path, and the path as it wants it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.conf.get("spark.tailwise.scratch", None)
+    """A folder that all executors share, under spark.checkpoint.dir; it goes when the driver ends. Where that is unset,
+    a local one in local mode (as in tests), and an error on a cluster."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tailwise.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tailwise-")
         spark.conf.set("spark.tailwise.scratch", found)
-    return found.rstrip("/")
+    folder = f"{found.rstrip('/')}/tailwise/{_RUN}"
+    if folder not in _made:
+        fs, at = _file_system(spark, folder)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _made.add(folder)
+    return folder
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tailwise/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # Shuffle files of the finished job go once nothing refers to its plan; don't wait for the driver's next collection.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what staged has written for these frames, once nothing will read it again."""
+    for df in frames:
+        fs, at = _file_system(df.sparkSession, df._staged_at)
+        fs.delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

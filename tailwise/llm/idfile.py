@@ -100,6 +100,6 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write the documents' ids to the shared folder and read them back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tailwise/ids-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(docs, path, tokenizer, end_id)
     return read_ids(spark, path)

@@ -185,7 +185,7 @@ def reshard(docs: DataFrame, old_shard, shards: int = SHARDS, id_col: str = "doc
     spark = docs.sparkSession
     placed, buckets = place(docs, old_shard, shards, id_col, text_col)
     placed = staged(placed, "placed")
-    path = f"{shared_dir(spark)}/tailwise/shards-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     affected = rewrite_shards(docs, old_shard, placed, buckets, path, id_col, text_col)
     columns = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
     found = placed.where(~F.col("old_shard").isin(affected)).select(columns)
