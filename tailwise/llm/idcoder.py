@@ -1,16 +1,20 @@
-"""Adaptive context-mixing range coder for token ids, many blocks at a time.
-
-A block holds up to BLOCK ids and is coded on its own, with fresh models. For each id three models predict: the
-leading id of the block so far (order 0), the last id seen after the previous id (order 1), and after the
-previous two (order 2). One symbol says whether the order-2, the order-1 or the order-0 prediction is right, or
-none is; its probability mixes three sets of adaptive counts, chosen by the confidence of each model, with
-weights that follow how well each has predicted. An id that no model predicts takes its share of the fourth
-outcome's interval, so an id is one coding step in any case.
-
-Blocks don't depend on each other, so all blocks of a batch advance together, one id a step, as NumPy vectors;
-the arithmetic is on integers only, so any machine decodes what another has encoded. Format of a block, all
-numbers little-endian: "TWI1", number of ids (4 bytes), CRC-32 of the ids (4 bytes), length of the coded bytes
-(4 bytes), coded bytes.
+"""Context-mixing range coder for token ids, many blocks at a time.
+
+Three models predict each id: the frequencies of a segment's ids (order 0, stored once before the segment's blocks),
+the last id seen after the previous id (order 1), and after the previous two (order 2). Their mixture drives the
+coder: shares of the interval go to the order-2 id, the order-1 id and the order-0 distribution, by mixing three sets
+of adaptive counts, chosen by the confidence of the two contexts and by the last outcome, with weights that follow
+how well each has predicted. Within the third share an id has its part of the order-0 distribution, so an id is one
+coding step in any case.
+
+A block holds up to BLOCK ids and starts with fresh counts, weights and contexts; it needs the segment's frequencies
+and no other block. So all blocks of a segment advance together, one id a step, as NumPy vectors; the arithmetic is
+on integers only, so any machine decodes what another has encoded. Ids have up to 32 bits.
+
+Format of a segment, all numbers little-endian: "TWF2", number of distinct ids (4 bytes), bits of a frequency
+(4 bytes), CRC-32 of the table (4 bytes), the ids in order (4 bytes each), their frequencies (4 bytes each), both
+compressed by zlib after their length (4 bytes); then the blocks. A block: "TWB2", number of ids (4 bytes), CRC-32 of
+the ids (4 bytes), length of the coded bytes (4 bytes), coded bytes.
 """
 
 from __future__ import annotations
@@ -20,20 +24,63 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-MAGIC = b"TWI1"
-#: Bits of an id, of an outcome's share, and slots of a block's prediction tables.
-ID_BITS, SHARE_BITS, SLOTS = 16, 12, 512
-BITS = ID_BITS + SHARE_BITS
+BLOCK = 4096
+TABLE, MAGIC = b"TWF2", b"TWB2"
+#: Bits of an order-0 frequency at least, bits of an outcome's share at most, and slots of a block's contexts.
+LEAST_BITS, SHARE_BITS, SLOTS = 18, 12, 2048
+#: Of both together: the coder's range has 32 bits or more.
+BITS = 32
+ORDER2, ORDER1, ORDER0 = range(3)
 HALF = np.uint64(32)
 LOW_HALF = np.uint64((1 << 32) - 1)
 U, I, J = np.uint64, np.int64, np.int32
 
 
+class Prior:
+    """Order-0 frequencies of a segment; ids are known by their places in it."""
+
+    def __init__(self, values: np.ndarray, freq: np.ndarray, bits: int):
+        self.values, self.freq, self.bits = values, freq, bits
+        self.start = np.concatenate((np.zeros(1, I), np.cumsum(freq)))
+        self.share_bits = min(SHARE_BITS, BITS - bits)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Prior:
+        values, count = np.unique(ids, return_counts=True)
+        bits = max(LEAST_BITS, len(values).bit_length() + 1)
+        freq = 1 + count * ((1 << bits) - len(values)) // count.sum()
+        freq[np.argmax(freq)] += (1 << bits) - freq.sum()
+        return cls(values, freq, bits)
+
+    def pack(self) -> bytes:
+        raw = self.values.astype("<u4").tobytes() + self.freq.astype("<u4").tobytes()
+        body = zlib.compress(raw)
+        return TABLE + struct.pack("<IIII", len(self.values), self.bits, zlib.crc32(raw), len(body)) + body
+
+    @classmethod
+    def unpack(cls, data: bytes) -> tuple[Prior, int]:
+        """The table at the start of a segment, and where its blocks begin."""
+        if len(data) < 20 or data[:4] != TABLE:
+            raise ValueError("not a segment of ids")
+        n, bits, crc, size = struct.unpack("<IIII", data[4:20])
+        try:
+            raw = zlib.decompress(data[20 : 20 + size])
+        except zlib.error as e:
+            raise ValueError("a segment's table is damaged") from e
+        if zlib.crc32(raw) != crc or len(raw) != 8 * n:
+            raise ValueError("a segment's table has a wrong checksum")
+        return cls(np.frombuffer(raw, "<u4", n).astype(I), np.frombuffer(raw, "<u4", offset=4 * n).astype(I), bits), 20 + size
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """Which id's part of the distribution holds each place."""
+        return np.searchsorted(self.start, places, side="right") - 1
+
+
 class Coder:
     """Vector range coder on 64 bits that moves 32 bits at a time; the range stays above 2**32 without carries."""
 
-    def __init__(self, lanes: int, words: np.ndarray | None = None, room: int = 0):
+    def __init__(self, lanes: int, bits: int, words: np.ndarray | None = None, room: int = 0):
+        self.bits = bits
         self.low = np.zeros(lanes, U)
         self.range = np.full(lanes, ~U(0), U)
         self.at = np.zeros(lanes, I)
@@ -45,8 +92,8 @@ class Coder:
 
     def where(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Of the first n lanes, the unit of the range and the code's place in it."""
-        unit = self.range[:n] >> U(BITS)
-        return unit, np.minimum((self.code[:n] - self.low[:n]) // unit, U((1 << BITS) - 1)).astype(I)
+        unit = self.range[:n] >> U(self.bits)
+        return unit, np.minimum((self.code[:n] - self.low[:n]) // unit, U((1 << self.bits) - 1)).astype(I)
 
     def narrow(self, n: int, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         low, rng = self.low[:n], self.range[:n]
@@ -75,38 +122,37 @@ class Coder:
 
 
 class Model:
-    """Predictions and adaptive counts of each lane; a step works on the first n lanes."""
+    """Contexts and adaptive counts of each lane; a step works on the first n lanes. Ids are places in the prior."""
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=J)
+    def __init__(self, lanes: int, share_bits: int):
+        self.lane, self.top = np.arange(lanes, dtype=J), 1 << share_bits
         # Entry: id * 4 + confidence.
-        self.after = np.zeros((2, lanes * SLOTS), J)
-        self.lead, self.votes = np.zeros(lanes, J), np.zeros(lanes, J)
-        self.seen = np.ones((3 * 4 * lanes, 4), J)
+        self.after = np.zeros((2, lanes * SLOTS), I)
+        self.seen = np.ones((3 * 4 * lanes, 3), J)
         self.offset = ((np.arange(3, dtype=J) * lanes)[:, None] + self.lane) * 4
         self.weight = np.full((3, lanes), 8, J)
-        self.prev, self.prev2 = np.zeros(lanes, J), np.zeros(lanes, J)
+        self.prev, self.prev2, self.last = np.zeros(lanes, I), np.zeros(lanes, I), np.full(lanes, ORDER0, J)
 
     def predict(self, n: int) -> np.ndarray:
         """Where the shares of the outcomes begin, and where the last ends."""
-        base, prev = self.lane[:n] * SLOTS, self.prev[:n] * J(73)
-        self.slots = np.stack([base + ((prev >> 2) & (SLOTS - 1)), base + (((prev ^ (self.prev2[:n] * J(181))) >> 1) & (SLOTS - 1))])
+        base, prev = self.lane[:n] * SLOTS, self.prev[:n] * 40_503
+        self.slots = np.stack([base + ((prev >> 4) & (SLOTS - 1)), base + (((prev ^ (self.prev2[:n] * 25_717)) >> 3) & (SLOTS - 1))])
         entry = np.stack([self.after[0][self.slots[0]], self.after[1][self.slots[1]]])
-        self.guess, self.sure = entry >> 2, entry & 3
+        self.guess, self.sure = entry >> 2, (entry & 3).astype(J)
         self.row = self.offset[:, :n].copy()
-        self.row[0] += np.minimum(self.votes[:n] >> 2, 3)
+        self.row[0] += self.last[:n]
         self.row[1:] += self.sure
         self.counts = self.seen[self.row]
-        mixed = np.einsum("knc,kn->cn", self.counts, self.weight[:, :n])
-        mixed = mixed * J((1 << SHARE_BITS) - 8) // mixed.sum(axis=0) + 2
-        ends = np.zeros((5, n), I)
+        mixed = np.einsum("knc,kn->cn", self.counts, self.weight[:, :n]).astype(I)
+        mixed = mixed * (self.top - 6) // mixed.sum(axis=0) + 1
+        ends = np.zeros((4, n), I)
         np.cumsum(mixed, axis=0, out=ends[1:])
-        ends[4] = 1 << SHARE_BITS
+        ends[3] = self.top
         return ends
 
     def update(self, n: int, ids: np.ndarray, what: np.ndarray, step: int) -> None:
         flat, total = self.seen.reshape(-1), self.counts.sum(axis=2)
-        at = self.row * 4 + what
+        at = self.row * 3 + what.astype(J)
         was = flat[at]
         flat[at] = was + 24
         w = self.weight[:, :n]
@@ -117,49 +163,57 @@ class Model:
         sure = np.where(self.guess == ids, np.minimum(self.sure + 1, 3), 0)
         new = (ids << 2) + sure
         self.after[0][self.slots[0]], self.after[1][self.slots[1]] = new[0], new[1]
-        lead, votes = self.lead[:n], self.votes[:n]
-        same = lead == ids
-        np.copyto(lead, ids, where=votes == 0)
-        votes += np.where(same | (votes == 0), 1, -1).astype(J)
-        self.prev2[:n], self.prev[:n] = self.prev[:n], ids
+        self.prev2[:n], self.prev[:n], self.last[:n] = self.prev[:n], ids, what
 
 
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Blocks of ids, in order. The last may be shorter; no ids, no blocks. Ids have 16 bits at most."""
+def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """A table of frequencies and the blocks of ids, in order. The last block may be shorter; no ids, no bytes."""
     ids = np.asarray(ids, dtype=I)
-    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << ID_BITS:
-        raise ValueError("ids have 16 bits at most")
+    if not len(ids):
+        return b""
+    if not 0 <= int(ids.min()) <= int(ids.max()) < 1 << 32:
+        raise ValueError("ids are unsigned and have 32 bits at most")
+    prior = Prior.of(ids)
+    block = min(block, len(ids))
     lanes = -(-len(ids) // block)
-    if not lanes:
-        return []
-    grid = np.zeros(lanes * block, J)
-    grid[: len(ids)] = ids
+    grid = np.zeros(lanes * block, I)
+    grid[: len(ids)] = np.searchsorted(prior.values, ids)
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
     last = len(ids) - (lanes - 1) * block
-    coder, model = Coder(lanes, room=block * 2 + 8), Model(lanes)
+    bits = prior.share_bits + prior.bits
+    coder, model = Coder(lanes, bits, room=block * 2 + 8), Model(lanes, prior.share_bits)
     for t in range(block):
         n = lanes if t < last else lanes - 1
         if not n:
             break
         x, ends = grid[t, :n], model.predict(n)
-        what = np.where(x == model.guess[1], 0, np.where(x == model.guess[0], 1, np.where(x == model.lead[:n], 2, 3)))
+        what = np.where(x == model.guess[1], ORDER2, np.where(x == model.guess[0], ORDER1, ORDER0))
         start, size = np.take_along_axis(ends, np.stack([what, what + 1]), axis=0)
         size -= start
-        own = what == 3
-        begin = (start << ID_BITS) + np.where(own, x * size, 0)
-        coder.narrow(n, coder.range[:n] >> U(BITS), begin, np.where(own, size, size << ID_BITS))
+        own = what == ORDER0
+        begin = (start << prior.bits) + np.where(own, prior.start[x] * size, 0)
+        coder.narrow(n, coder.range[:n] >> U(bits), begin, np.where(own, prior.freq[x] * size, size << prior.bits))
         model.update(n, x, what, t)
     sizes = coder.finish()
-    out = []
+    out = [prior.pack()]
     for k in range(lanes):
         own = ids[k * block : (k + 1) * block].astype("<u4").tobytes()
         body = coder.words[k, : sizes[k]].astype("<u4").tobytes()
         out.append(MAGIC + struct.pack("<III", len(own) // 4, zlib.crc32(own), len(body)) + body)
-    return out
+    return b"".join(out)
 
 
-def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
-    """Ids of each block. Blocks may differ in length. A damaged block raises ValueError."""
+def split_blocks(data: bytes) -> list[bytes]:
+    blocks, at = [], 0
+    while at < len(data):
+        size = 16 + struct.unpack("<I", data[at + 12 : at + 16])[0] if at + 16 <= len(data) else 16
+        blocks.append(data[at : at + size])
+        at += size
+    return blocks
+
+
+def decode_blocks(prior: Prior, blocks: list[bytes]) -> list[np.ndarray]:
+    """Ids of each block, whichever blocks of a segment these are. A damaged block raises ValueError."""
     if not blocks:
         return []
     heads = []
@@ -175,27 +229,36 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     words = np.zeros((len(blocks), max(h[2] for h in heads) // 4 + 4), np.uint32)
     for row, k in enumerate(order):
         words[row, : heads[k][2] // 4] = np.frombuffer(blocks[k], "<u4", offset=16)
-    coder, model, grid = Coder(len(blocks), words=words), Model(len(blocks)), np.zeros((steps, len(blocks)), J)
-    room = words.shape[1]
+    coder, model = Coder(len(blocks), prior.share_bits + prior.bits, words=words), Model(len(blocks), prior.share_bits)
+    grid, room, most = np.zeros((steps, len(blocks)), I), words.shape[1], len(prior.values) - 1
     for t in range(steps):
         n = int(np.searchsorted(-counts, -t, side="left"))
         ends = model.predict(n)
         unit, at = coder.where(n)
-        share = at >> ID_BITS
-        what = (share >= ends[1]).astype(I) + (share >= ends[2]) + (share >= ends[3])
+        share = at >> prior.bits
+        what = (share >= ends[1]).astype(I) + (share >= ends[2])
         start, size = np.take_along_axis(ends, np.stack([what, what + 1]), axis=0)
         size -= start
-        own = what == 3
-        literal = np.minimum((at - (start << ID_BITS)) // size, (1 << ID_BITS) - 1)
-        x = np.where(own, literal, np.where(what == 0, model.guess[1], np.where(what == 1, model.guess[0], model.lead[:n]))).astype(J)
-        coder.narrow(n, unit, (start << ID_BITS) + np.where(own, x * size, 0), np.where(own, size, size << ID_BITS))
+        own = what == ORDER0
+        x = np.where(what == ORDER2, model.guess[1], model.guess[0])
+        x[own] = prior.at((at[own] - (start[own] << prior.bits)) // size[own])
+        np.clip(x, 0, most, out=x)  # of a damaged block, which its checksum tells
+        coder.narrow(n, unit, (start << prior.bits) + np.where(own, prior.start[x] * size, 0), np.where(own, prior.freq[x] * size, size << prior.bits))
         np.minimum(coder.at, room - 1, out=coder.at)
         model.update(n, x, what, t)
         grid[t, :n] = x
     out: list[np.ndarray] = [np.zeros(0, I)] * len(blocks)
     for row, k in enumerate(order):
-        ids = grid[: heads[k][0], row].astype(I)
+        ids = prior.values[grid[: heads[k][0], row]]
         if zlib.crc32(ids.astype("<u4").tobytes()) != heads[k][1]:
             raise ValueError("a block's checksum is wrong")
         out[k] = ids
     return out
+
+
+def decode_segment(data: bytes) -> np.ndarray:
+    """The ids of a segment."""
+    if not data:
+        return np.zeros(0, I)
+    prior, at = Prior.unpack(data)
+    return np.concatenate(decode_blocks(prior, split_blocks(data[at:])))

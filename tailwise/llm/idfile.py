@@ -3,7 +3,7 @@
 A file set is a folder of Parquet parts that Spark's committer writes, so lost executors leave no half files and
 any store that Spark knows will do. A row is a segment of whole documents: part (place of the partition in
 doc_id order), part_start (ids before it in its part), doc_ids and counts (its directory), and blocks, the coded
-blocks of idcoder one after the other. Readers need only the totals of the parts to know every start.
+segment of idcoder: its table and its blocks one after the other. Readers need only the totals of the parts to know every start.
 
 Defined cases: a null or empty text has the end id alone; rows with equal doc_id are kept, ordered by text; a
 null doc_id comes first and stays null; an empty table gives an empty file set and an empty result; further
@@ -12,7 +12,6 @@ columns are ignored; a damaged block raises ValueError.
 
 from __future__ import annotations
 
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,7 +43,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segme
         doc_ids: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            blocks = b"".join(idcoder.encode_blocks(np.concatenate([x for own in ids for x in (own, end)])))
+            blocks = idcoder.encode_segment(np.concatenate([x for own in ids for x in (own, end)]))
             row = (part, start, n, doc_ids, [len(x) + 1 for x in ids], blocks)
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
@@ -61,19 +60,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segme
         if doc_ids:
             yield flush()
 
-    ordered = id_text(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, SCHEMA).write.parquet(path)
 
 
-def split_blocks(data: bytes) -> list[bytes]:
-    blocks, at = [], 0
-    while at < len(data):
-        size = 16 + struct.unpack("<I", data[at + 12 : at + 16])[0] if at + 16 <= len(data) else 16
-        blocks.append(data[at : at + size])
-        at += size
-    return blocks
-
-
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the files; with_ids adds ids (binary)."""
     rows = spark.read.schema(SCHEMA).parquet(path)
@@ -87,7 +77,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
         for batch in batches:
             for k in range(batch.num_rows):
                 part, start, _, doc_ids, counts, blocks = (c[k].as_py() for c in batch.columns)
-                ids = np.concatenate(idcoder.decode_blocks(split_blocks(blocks))).astype("<u4").tobytes()
+                ids = idcoder.decode_segment(blocks).astype("<u4").tobytes()
                 ends = np.cumsum(counts)
                 begins = ends - counts
                 own = [ids[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]

@@ -138,19 +138,38 @@ def test_id_files(docs, rows, none):
     assert idfile.round_trip(none, tokenizer_file("byte_bpe_50k.json")).count() == 0
 
 
-@pytest.mark.parametrize("n", [0, 1, 7, 2047, 2048, 2049, 9000])
+@pytest.mark.parametrize("n", [0, 1, 7, 4095, 4096, 4097, 9000])
 def test_id_coder_round_trip(n):
     rng = np.random.default_rng(n)
-    for ids in (rng.integers(0, 65_536, n), rng.zipf(1.3, n) % 65_536, np.full(n, 65_535)):
-        blocks = idcoder.encode_blocks(ids)
-        assert np.array_equal(np.concatenate([np.zeros(0, int), *idcoder.decode_blocks(blocks)]), ids)
+    for ids in (rng.integers(0, 1 << 32, n), rng.zipf(1.3, n) % 65_536, np.full(n, 65_535), np.arange(n) % 3):
+        segment = idcoder.encode_segment(ids)
+        assert np.array_equal(idcoder.decode_segment(segment), ids)
     if n:
-        bad = bytearray(blocks[0])
-        bad[8] ^= 1
-        with pytest.raises(ValueError, match="checksum"):
-            idcoder.decode_blocks([bytes(bad)])
+        prior, at = idcoder.Prior.unpack(segment)
+        blocks = idcoder.split_blocks(segment[at:])
+        alone = idcoder.decode_blocks(prior, blocks[-1:])  # a block needs no other
+        assert np.array_equal(alone[0], ids[-len(alone[0]) :])
+        for place, what in ((at + 8, "checksum"), (12, "checksum"), (0, "segment")):
+            bad = bytearray(segment)
+            bad[place] ^= 1
+            with pytest.raises(ValueError, match=what):
+                idcoder.decode_segment(bytes(bad))
         with pytest.raises(ValueError):
-            idcoder.decode_blocks([blocks[0][:-1]])
+            idcoder.decode_segment(segment[:-1])
+    with pytest.raises(ValueError):
+        idcoder.encode_segment(np.array([1 << 32]))
+
+
+def test_id_coder_mixes_orders():
+    rng = np.random.default_rng(1)
+    follow = rng.integers(0, 200, (200, 2))
+    ids = [1]
+    for k in rng.integers(0, 10, 20_000):
+        ids.append(int(follow[ids[-1], 0] if k < 6 else rng.zipf(1.5) % 200))
+    ids = np.array(ids)
+    p = np.bincount(ids) / len(ids)
+    order0 = -(p[p > 0] * np.log2(p[p > 0])).sum()
+    assert 8 * len(idcoder.encode_segment(ids)) / len(ids) < 0.8 * order0
 
 
 def test_resharding(spark, docs, rows, none):
