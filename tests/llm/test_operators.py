@@ -302,6 +302,34 @@ def test_order_minhash(spark, docs, rows, none):
     assert orderminhash.compare_edited(none).count() == 0
 
 
+def test_order_minhash_equals_brute_force(spark, docs, rows, monkeypatch):
+    more = ["a b " * 100, "a b " * 3, "a b", "a", "b a b a b a c", " ".join(RNG.choice(WORDS) for _ in range(20_000))]
+    texts = [t for _, t in rows] + more
+    table = spark.createDataFrame([(k if k % 5 else None, t) for k, t in enumerate(texts)] + [(7, texts[7]), (7, "again"), (8, None)], "`the.id` long, text string")
+    got = defaultdict(set)
+    for r in orderminhash.fingerprints(table.withColumn("t", orderminhash.F.col("text")).select("t", "`the.id`"), "the.id", "t").collect():
+        got[r["doc_id"]].add(tuple((e >> 32, e & 0xFFFFFFFF) for e in r["entries"]))
+    for k, t in enumerate(texts):
+        assert tuple(sorted(orderminhash.brute_force(t).items())) in got[k if k % 5 else None]
+    few, many = orderminhash.brute_force("a b " * 3), orderminhash.brute_force("a b " * 100)
+    assert sum(few[b] == many.get(b) for b in few) < len(many) and few != many
+    # The next row, with null and repeated ids, in buckets of a row or two and divided ones.
+    want = None
+    for size, most in ((1000, 10), (2, 10), (1, 3), (1, 1)):
+        monkeypatch.setattr(orderminhash, "BUCKET_ROWS", size)
+        monkeypatch.setattr(orderminhash, "BUCKETS", most)
+        found = sorted((tuple(r) for r in orderminhash.compare_edited(table, "the.id").collect()), key=repr)
+        want = want or found
+        assert found == want and len(found) == len(texts) + 3
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(((r["the.id"], r["text"] or "") for r in table.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest(r[1].encode(), 42)), r[1]))
+    alike = lambda a, b: sum(a.get(k) == v for k, v in b.items()) / len(a | b) if a or b else 1.0
+    likeness = sorted(alike(orderminhash.brute_force(t), orderminhash.brute_force(order[(k + 1) % len(order)][1])) for k, (_, t) in enumerate(order))
+    assert np.allclose(likeness, sorted(r[6] for r in want))
+
+
 def test_revisits(spark):
     h = lambda **k: {n.replace("_", "-"): v for n, v in k.items()}
     rows = [
