@@ -238,6 +238,29 @@ def test_line_dedup(spark, docs, rows, none):
     assert linededup.dedup_documents(docs).columns == docs.columns and linededup.join(none).count() == 0 and linededup.dedup_documents(none).count() == 0
 
 
+def test_line_dedup_of_copies(spark):
+    line, other = "a line that is in every single document of this small table", "b line that is in no more than one document of the table"
+    near = lambda k: " ".join([f"n{i}" for i in range(40)] + [f"k{k}"])
+    rows = [(k, f"{line}\n{near(k)}\nown words of number {k} are here to stay w{k} x{k} y{k}") for k in range(300)]
+    rows += [(3, rows[3][1]), (4, f"{other}\n{line}"), (None, other), (None, None), (5, None)]
+    docs = spark.createDataFrame(rows, "`doc.id` long, text string").withColumn("removed", linededup.F.lit(1))
+    got = [(r["doc_id"], r["n_lines"], r["removed"]) for r in linededup.join(docs, "doc.id").collect()]
+    # A null id is first; rows of one id are in order of text; a row that is there twice counts once.
+    want, seen = [], [None]
+    for d, t in rows:
+        gone = []
+        if t == rows[0][1]:
+            gone = []
+        elif d is not None and t:
+            for k, x in enumerate(t.split("\n")):
+                if x == line or x.startswith("n0 ") or x == other:
+                    gone.append(k)
+        want.append((d, len(t.split("\n")) if t else 0, gone))
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    out = linededup.dedup_documents(docs, "doc.id")
+    assert out.columns == docs.columns and out.count() == len(rows)
+
+
 def test_ngram_join(spark, docs, rows, none):
     got = {d: (r["n_shingles"], r["component_id"]) for d, r in by_id(ngramjoin.join(docs)).items()}
     want = ngramjoin.brute_force(dict(rows))
