@@ -42,10 +42,11 @@ def units(text: str) -> list[str]:
 
 
 class BulkEncoder:
-    """encode gives, for distinct strings, all ids in order and their number for each string."""
+    """encode gives, for distinct strings, all ids in order and their number for each string. Texts that special
+    matches may not be cut; whole gives their ids."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], chunks: int = CHUNKS):
-        self.encode, self.bound = encode, chunks
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], chunks: int = CHUNKS, special: re.Pattern | None = None, whole: Callable[[str], list[int]] | None = None):
+        self.encode, self.bound, self.special, self.whole = encode, chunks, special, whole
         self._reset()
 
     def _reset(self) -> None:
@@ -138,7 +139,9 @@ class BulkEncoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if plain(text) and "\0" not in text and "\x01" not in text:
+            if self.special and self.special.search(text):
+                out[k] = np.array(self.whole(text), np.uint32)
+            elif plain(text) and "\0" not in text and "\x01" not in text:
                 held.append((k, text.encode()))
                 size += len(held[-1][1])
                 if size > SLICE:
@@ -158,13 +161,13 @@ _encoders: dict[str, BulkEncoder] = {}
 
 
 def library_encoder(path: str) -> BulkEncoder:
-    """One per process and tokenizer file; strings of special tokens are ordinary text."""
+    """One per process and tokenizer file; as the library does by default, it reads strings of added tokens as these."""
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tk = Tokenizer.from_file(path)
-        tk.encode_special_tokens = True
+        added = [t.content for t in tk.get_added_tokens_decoder().values()]
 
         def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
             ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
@@ -175,5 +178,6 @@ def library_encoder(path: str) -> BulkEncoder:
                 sizes.append(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(own)))
             return np.concatenate(ids), np.concatenate(sizes)
 
-        _encoders[path] = BulkEncoder(encode)
+        special = re.compile("|".join(map(re.escape, added))) if added else None
+        _encoders[path] = BulkEncoder(encode, special=special, whole=lambda text: tk.encode(text, add_special_tokens=False).ids)
     return _encoders[path]
