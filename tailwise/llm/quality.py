@@ -205,4 +205,5 @@ def keep_documents(docs: DataFrame, weights: np.ndarray, threshold: float = THRE
         for batch in batches:
             yield batch.filter(pa.array([_judge(t or "", w, threshold)[-2] for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(judge, docs.schema)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots can't be passed
+    return plain.mapInArrow(judge, plain.schema).toDF(*docs.columns)
