@@ -62,19 +62,26 @@ def signed_copula(x: np.ndarray, y: np.ndarray) -> float:
     return size * float(np.sign(slope))
 
 
+def cells_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of their cells, where each cell starts there, its size, and its code."""
+    order = np.argsort(code, kind="stable")
+    own = code[order]
+    start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    return order, start, np.diff(np.r_[start, len(own)]), own[start]
+
+
 def x_cells(x: np.ndarray, least: int) -> np.ndarray:
     """Cells of x, split at their gravity while they have more than least members."""
     cell, depth = np.zeros(len(x), np.int64), math.floor(math.log2(max(1, len(x))))
     for _ in range(depth):
-        ids, place, count = np.unique(cell, return_inverse=True, return_counts=True)
+        order, start, count, _ = cells_of(cell)
         big = np.flatnonzero(count > least)
         if not len(big):
             break
         cell = cell * 3
         for k in big:
-            own = place == k
+            own = order[start[k] : start[k] + count[k]]
             cell[own] += 1 + (x[own] > gravity(x[own]))
-        del ids
     return cell
 
 
@@ -152,26 +159,55 @@ def causation(x: np.ndarray, y: np.ndarray, tau: int = 0) -> tuple[float, float,
 CENTRES = {"off": gravity, "mean": lambda v: float(v.mean()), "median": lambda v: float(np.median(v))}
 
 
+def _centres(v: np.ndarray, start: np.ndarray, count: np.ndarray, centre: str) -> np.ndarray:
+    """The centre of each cell of v, whose cells follow each other."""
+    if centre == "mean":
+        return np.add.reduceat(v, start) / count
+    return np.array([CENTRES[centre](v[a : a + n]) for a, n in zip(start.tolist(), count.tolist(), strict=True)])
+
+
+def cell_name(code: int) -> str:
+    """q, then the digits of a code in base 5."""
+    digits = ""
+    while code:
+        code, d = divmod(code, 5)
+        digits = str(d) + digits
+    return "q" + digits
+
+
 def partition(x: np.ndarray, y: np.ndarray, x_only: bool = False, order: int | None = None, least: int = 8, stop: bool = True, centre: str = "off"):
-    """(depth, quadrant labels, labels before the last split, regression points by those labels)."""
-    n, c = len(x), CENTRES[centre]
+    """(depth, quadrant labels, labels before the last split, regression points by those labels). Cells are numbers
+    while they are split, a digit a round; their rows are sorted side by side, so a round costs one sort."""
+    n = len(x)
     deepest = min(max(1, math.ceil(math.log2(max(1, n)))) if order is None else max(1, order), math.floor(math.log2(max(1, n))))
-    label, prior, depth = np.full(n, "q", object), np.full(n, "pq", object), 0
+    code, prior, depth = np.zeros(n, np.int64), np.full(n, -1, np.int64), 0
     while depth < deepest:
-        ids, place, count = np.unique(label.astype(str), return_inverse=True, return_counts=True)
-        big = np.flatnonzero(count > least)
-        if not len(big):
+        rows, start, count, _ = cells_of(code)
+        big = count > least
+        if not big.any():
             break
-        for k in big:
-            own = place == k
-            cx = c(x[own])
-            digit = 1 + (x[own] > cx) if x_only else 1 + (x[own] <= cx) + 2 * (y[own] <= c(y[own]))
-            prior[own] = ids[k]
-            label[own] = [ids[k] + str(v) for v in digit]
+        own = rows[np.repeat(big, count)]
+        size = count[big]
+        first = np.cumsum(size) - size
+        cx = np.repeat(_centres(x[own], first, size, centre), size)
+        if x_only:
+            digit = 1 + (x[own] > cx)
+        else:
+            digit = 1 + (x[own] <= cx) + 2 * (y[own] <= np.repeat(_centres(y[own], first, size, centre), size))
+        prior[own] = code[own]
+        code[own] = code[own] * 5 + digit
         depth += 1
-        if stop and np.unique(label.astype(str), return_counts=True)[1].min() <= least:
+        if stop and cells_of(code)[2].min() <= least:
             break
-    points = [(q, c(x[prior == q]), c(y[prior == q])) for q in sorted(set(prior))]
+    rows, start, count, ids = cells_of(prior)
+    px, py = (_centres(v[rows], start, count, centre) for v in (x, y))
     if np.all(x == np.floor(x)):
-        points = [(q, math.floor(a + 0.5), b) for q, a, b in points]
-    return depth, label, prior, points
+        px = np.floor(px + 0.5)
+    name = lambda c: "pq" if c < 0 else cell_name(int(c))
+    points = sorted((name(c), float(a), float(b)) for c, a, b in zip(ids, px, py, strict=True))
+
+    def names(codes: np.ndarray) -> np.ndarray:
+        value, place = np.unique(codes, return_inverse=True)
+        return np.array([name(c) for c in value], object)[place]
+
+    return depth, names(code), names(prior), points

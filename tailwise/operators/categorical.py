@@ -25,3 +25,15 @@ def down_sample(df: DataFrame, column: str, seed: int = 0, keys: list[str] = ())
     h = F.xxhash64(F.lit(seed), *[F.col(k) for k in (keys or df.columns)])
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(column).orderBy(h, *(keys or df.columns))))
     return ranked.where(F.col("_r") <= least).drop("_r")
+
+
+def up_sample(df: DataFrame, column: str, seed: int = 0, keys: list[str] = ()) -> DataFrame:
+    """As many rows of each class as the largest has: a class's rows all stay, and as many as are missing come again, each
+    as often as any other or once more, those with the least hash of keys (all columns if none) first."""
+    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
+    sizes = counts.withColumn("_most", F.lit((counts.agg(F.max("_n")).first()[0]) or 0)).withColumnRenamed(column, "_c")
+    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in (keys or df.columns)])
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(column).orderBy(h, *(keys or df.columns))) - 1)
+    times = F.floor(F.col("_most") / F.col("_n")) + F.when(F.col("_r") < F.col("_most") % F.col("_n"), 1).otherwise(0)
+    out = ranked.join(F.broadcast(sizes), F.col(column).eqNullSafe(F.col("_c"))).withColumn("_t", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    return out.drop("_r", "_n", "_most", "_c", "_t")

@@ -78,14 +78,14 @@ def peel(order: list[str], edges: set[tuple[str, str]]) -> list[str]:
     return kept
 
 
-def efficient_set(df: DataFrame, group: str, value: str, names: list[str], degree: int) -> list[str]:
-    edges = {(r["x"], r["y"]) for r in dominance(df, group, value, names, degree).where("dominates").collect()}  # pairs of names
+def efficient_set(df: DataFrame, group: str, value: str, names: list[str], degree: int, tolerance: float = 0.0) -> list[str]:
+    edges = {(r["x"], r["y"]) for r in dominance(df, group, value, names, degree, tolerance).where("dominates").collect()}  # pairs of names
     return peel(efficient_order(df, group, value, names, degree), edges)
 
 
-def clusters(df: DataFrame, group: str, value: str, names: list[str], degree: int, min_cluster: int = 1) -> list[list[str]]:
+def clusters(df: DataFrame, group: str, value: str, names: list[str], degree: int, min_cluster: int = 1, tolerance: float = 0.0) -> list[list[str]]:
     """Efficient sets taken off one after another; a last part below min_cluster joins the one before."""
-    edges = {(r["x"], r["y"]) for r in dominance(df, group, value, names, degree).where("dominates").collect()}
+    edges = {(r["x"], r["y"]) for r in dominance(df, group, value, names, degree, tolerance).where("dominates").collect()}
     left, out = list(names), []
     while left:
         own = peel(efficient_order(df, group, value, left, degree), edges)

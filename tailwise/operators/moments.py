@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from tailwise.functions.expr import col, lower_dev, lpm, lpm_ratio, safe_ratio,
 
 #: Groups up to this many are sent to all tasks when rows need their group's mean; else the join shuffles.
 BROADCAST_GROUPS = 100_000
+#: Columns from which matrices are made of products in batches rather than of an expression a cell.
+WIDE = 16
 
 
 def with_group_means(df: DataFrame, columns: list[str], groups: list[str]) -> DataFrame:
@@ -61,14 +65,16 @@ def moments(df: DataFrame, column: str, groups: list[str] = (), population: bool
     return base.select(*groups, "mean", var.alias("variance"), skew.alias("skewness"), kurt.alias("kurtosis"))
 
 
-def co_moments(df: DataFrame, x: str, y: str, degree_lpm: float, degree_upm: float, groups: list[str] = (), target_x=None, target_y=None) -> DataFrame:
-    """clpm, cupm, dlpm (x above, y below) and dupm (x below, y above); targets default to the group's means."""
+def co_moments(df: DataFrame, x: str, y: str, degree_lpm: float, degree_upm: float, groups: list[str] = (), target_x=None, target_y=None, degree_y: float | None = None) -> DataFrame:
+    """clpm, cupm, dlpm (x above, y below) and dupm (x below, y above); targets default to the group's means. degree_y is
+    y's degree in clpm and cupm where it isn't x's."""
     if target_x is None or target_y is None:
         df = with_group_means(df, [x, y], list(groups))
     tx = F.col(f"mean_{x}") if target_x is None else target_x
     ty = F.col(f"mean_{y}") if target_y is None else target_y
     lx, ly, ux, uy = lower_dev(x, tx, degree_lpm), lower_dev(y, ty, degree_lpm), upper_dev(x, tx, degree_upm), upper_dev(y, ty, degree_upm)
-    return df.groupBy(*groups).agg(F.avg(lx * ly).alias("clpm"), F.avg(ux * uy).alias("cupm"), F.avg(ux * ly).alias("dlpm"), F.avg(lx * uy).alias("dupm"))
+    own_l, own_u = (ly, uy) if degree_y is None else (lower_dev(y, ty, degree_y), upper_dev(y, ty, degree_y))
+    return df.groupBy(*groups).agg(F.avg(lx * own_l).alias("clpm"), F.avg(ux * own_u).alias("cupm"), F.avg(ux * ly).alias("dlpm"), F.avg(lx * uy).alias("dupm"))
 
 
 def nd_terms(columns: list[str], targets: list[Column], degree: float) -> tuple[Column, Column, Column]:
@@ -91,29 +97,73 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
-def co_moments_nd(df: DataFrame, columns: list[str], degree: float, groups: list[str] = (), norm: bool = True) -> DataFrame:
-    """co_lpm_nd, co_upm_nd, dpm_nd around the group's means; norm divides degrees above 0 by their sum."""
-    df = with_group_means(df, columns, list(groups))
-    low, high, other = (F.avg(t) for t in nd_terms(columns, [F.col(f"mean_{c}") for c in columns], degree))
+def co_moments_nd(df: DataFrame, columns: list[str], degree: float, groups: list[str] = (), norm: bool = True, targets: list | None = None) -> DataFrame:
+    """co_lpm_nd, co_upm_nd, dpm_nd around targets (numbers or columns), the group's means by default; norm divides
+    degrees above 0 by their sum."""
+    if targets is None:
+        df = with_group_means(df, columns, list(groups))
+        targets = [F.col(f"mean_{c}") for c in columns]
+    low, high, other = (F.avg(t) for t in nd_terms(columns, [t if isinstance(t, Column) else F.lit(float(t)) for t in targets], degree))
     if norm and degree > 0:
         total = low + high + other
         low, high, other = (F.coalesce(safe_ratio(v, total), F.lit(0.0)) for v in (low, high, other))
     return df.groupBy(*groups).agg(low.alias("co_lpm_nd"), high.alias("co_upm_nd"), other.alias("dpm_nd"))
 
 
+def _averages(df: DataFrame, low: dict, up: dict, columns: list[str], groups: list[str]) -> DataFrame:
+    """An average for each cell in one code-generated aggregate; a cell and its mirror share theirs."""
+    kinds = {"clpm": (low, low), "cupm": (up, up), "dlpm": (up, low)}
+    aggs = [F.avg(f[a] * g[b]).alias(f"{k}|{a}|{b}") for k, (f, g) in kinds.items() for i, a in enumerate(columns) for j, b in enumerate(columns) if k == "dlpm" or i <= j]
+    wide = df.groupBy(*groups).agg(F.count("*").cast("double").alias("_n"), *aggs)
+
+    def cell(k: str, a: str, b: str) -> Column:
+        if k == "dupm":
+            return F.col(f"`dlpm|{b}|{a}`")
+        return F.col(f"`{k}|{a}|{b}`" if k == "dlpm" or columns.index(a) <= columns.index(b) else f"`{k}|{b}|{a}`")
+
+    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), *[cell(k, a, b).alias(k) for k in ("clpm", "cupm", "dlpm", "dupm")]) for a in columns for b in columns]))
+    return wide.select(*groups, "_n", cells.alias("_c")).select(*groups, "_n", "_c.*")
+
+
+def _products(df: DataFrame, low: dict, up: dict, columns: list[str], groups: list[str]) -> DataFrame:
+    """The same from matrix products of each batch of rows, summed: the plan doesn't grow with the columns. Rows with a
+    null count as 0 where they have none."""
+    d, names = len(columns), [f"_g{k}" for k in range(len(groups))]
+    rows = df.select(*[F.col(g).alias(n) for g, n in zip(groups, names, strict=True)], F.array(*[F.coalesce(low[c], F.lit(0.0)) for c in columns]).alias("l"), F.array(*[F.coalesce(up[c], F.lit(0.0)) for c in columns]).alias("u"))
+    fields = "".join(f"{n} {t}, " for n, t in zip(names, (dict(df.dtypes)[g] for g in groups), strict=True))
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            lo, hi = (np.asarray(batch.column(len(names) + k).flatten()).reshape(n, d) for k in (0, 1))
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(names))), strict=True)) if names else [()] * n
+            place: dict = {}
+            own = np.array([place.setdefault(k, len(place)) for k in keys])
+            for key, g in place.items():
+                a, b = lo[own == g], hi[own == g]
+                out = [a.T @ a, b.T @ b, b.T @ a]
+                cols = [pa.array([v] * (d * d), batch.schema.field(k).type) for k, v in enumerate(key)]
+                cols += [pa.array(np.repeat(np.arange(d), d), pa.int32()), pa.array(np.tile(np.arange(d), d), pa.int32()), pa.array(np.full(d * d, len(a)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(m.ravel()) for m in out], [*names, "i", "j", "n", "clpm", "cupm", "dlpm"])
+
+    sums = rows.mapInArrow(run, fields + "i int, j int, n long, clpm double, cupm double, dlpm double")
+    each = sums.groupBy(*names, "i", "j").agg(F.sum("n").cast("double").alias("_n"), *[(F.sum(k) / F.sum("n")).alias(k) for k in ("clpm", "cupm", "dlpm")])
+    mirror = each.select(*[F.col(n).alias(f"_m{n}") for n in names], F.col("i").alias("_j"), F.col("j").alias("_i"), F.col("dlpm").alias("dupm"))
+    on = [F.col(n).eqNullSafe(F.col(f"_m{n}")) for n in names]
+    both = each.join(mirror, [F.col("i") == F.col("_i"), F.col("j") == F.col("_j"), *on])
+    label = F.array(*[F.lit(c) for c in columns])
+    return both.select(*[F.col(n).alias(g) for n, g in zip(names, groups, strict=True)], "_n", F.get(label, F.col("i")).alias("row"), F.get(label, F.col("j")).alias("col"), "clpm", "cupm", "dlpm", "dupm")
+
+
 def pm_matrix(df: DataFrame, columns: list[str], degree_lpm: float, degree_upm: float, pop_adj: bool = False, norm: bool = False, groups: list[str] = ()) -> DataFrame:
     """Long form of the partial-moment matrices: row and column names, clpm, cupm, dlpm, dupm, covariance. One
-    pass over the data whatever the number of columns; its d * d averages become rows afterwards."""
+    pass over the data whatever the number of columns; the d * d averages become rows afterwards."""
     df = with_group_means(df, columns, list(groups))
     low = {c: lower_dev(c, F.col(f"mean_{c}"), degree_lpm) for c in columns}
     up = {c: upper_dev(c, F.col(f"mean_{c}"), degree_upm) for c in columns}
-    aggs = []
-    for a in columns:
-        for b in columns:
-            aggs += [F.avg(low[a] * low[b]).alias(f"clpm|{a}|{b}"), F.avg(up[a] * up[b]).alias(f"cupm|{a}|{b}"), F.avg(up[a] * low[b]).alias(f"dlpm|{a}|{b}"), F.avg(low[a] * up[b]).alias(f"dupm|{a}|{b}")]
-    wide = df.groupBy(*groups).agg(F.count("*").cast("double").alias("_n"), *aggs)
-    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), *[F.col(f"`{k}|{a}|{b}`").alias(k) for k in ("clpm", "cupm", "dlpm", "dupm")]) for a in columns for b in columns]))
-    long = wide.select(*groups, "_n", cells.alias("_c")).select(*groups, "_n", "_c.*")
+    long = _products(df, low, up, columns, list(groups)) if len(columns) > WIDE else _averages(df, low, up, columns, list(groups))
     kinds = ("clpm", "cupm", "dlpm", "dupm")
     if pop_adj and degree_lpm > 0 and degree_upm > 0:
         long = long.withColumns({k: F.when(F.col("_n") > 1, F.col(k) * F.col("_n") / (F.col("_n") - 1)).otherwise(F.col(k)) for k in kinds})

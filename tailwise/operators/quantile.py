@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailwise.functions.expr import col, finite, safe_ratio
-from tailwise.operators.cumulative import lpm_at, power_sums
+from tailwise.functions.expr import col, finite, lpm_ratio, safe_ratio
+from tailwise.operators.cumulative import cumulative, lpm_at, power_sums
+from tailwise.operators.moments import nd_terms, with_group_means
 
 
 def cdf(df: DataFrame, column: str, degree: int = 0, groups: list[str] = (), kind: str = "CDF") -> DataFrame:
@@ -23,28 +24,131 @@ def ecdf(df: DataFrame, column: str, groups: list[str] = ()) -> DataFrame:
     return cdf(df, column, 0, groups)
 
 
-def lpm_var(df: DataFrame, column: str, p: float, degree: int, groups: list[str] = ()) -> DataFrame:
-    """The target at which the lower ratio of the degree is p: interpolated quantile for degree 0, closed forms on
-    the located interval for 1 and 2. Non-finite values are dropped."""
-    p = min(max(p, 0.0), 1.0)
+#: Halvings of an interval of values; doubles have no more bits.
+HALVINGS = 60
+
+
+def _powers(degree: int) -> list[str]:
+    return ["n", *(f"s{k}" for k in range(1, degree + 1))]
+
+
+def _root(degree: int, p: float, sums: Column, low: Column, high: Column) -> Column:
+    """Where (1 - p) * L - p * U of the degree changes sign between low and high, by halving. sums has the power sums up
+    to (<k>_le) and beyond (<k>_gt) the interval."""
+    binomial = [1]
+    for k in range(degree):
+        binomial.append(binomial[-1] * (degree - k) // (k + 1))
+
+    def side(t: Column, which: str) -> Column:
+        # Sum of (t - x) ** degree over the rows; beyond the interval of (x - t) ** degree.
+        out = F.lit(0.0)
+        for k, name in enumerate(_powers(degree)):
+            sign = (-1) ** k if which == "le" else (-1) ** (degree - k)
+            out = out + sign * binomial[k] * sums[f"{name}_{which}"] * F.pow(t, F.lit(float(degree - k)))
+        return out
+
+    def step(a: Column, _: Column) -> Column:
+        t = (a["a"] + a["b"]) / 2
+        below = (1 - p) * side(t, "le") - p * side(t, "gt") <= 0
+        return F.struct(F.when(below, t).otherwise(a["a"]).alias("a"), F.when(below, a["b"]).otherwise(t).alias("b"))
+
+    ends = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.struct(low.cast("double").alias("a"), high.cast("double").alias("b")), step)
+    return (ends["a"] + ends["b"]) / 2
+
+
+def lpm_vars(df: DataFrame, column: str, shares: dict[str, float], degree: int, groups: list[str] = ()) -> DataFrame:
+    """groups, and for each name the target at which the lower ratio of the degree (1, 2, ...) is its share: one sort of
+    the values for all shares. Closed forms on the located interval for degrees 1 and 2, halving beyond, of values
+    centred at their group's mean. Non-finite values are dropped."""
+    groups = list(groups)
     df = df.where(finite(column))
-    if degree == 0:
-        return df.groupBy(*groups).agg(F.percentile(col(column), F.lit(p)).alias("var"))
-    sums = power_sums(df, column, list(groups))
-    low = lpm_at(degree)
-    ratio = F.coalesce(safe_ratio(low, low + lpm_at(degree, False)), F.lit(0.0))
-    row = F.struct("v", "n_le", "s1_le", "s2_le", "n_all", "s1_all", "s2_all")
-    at = sums.where(ratio <= p).groupBy(*groups).agg(F.max(row).alias("r"))
-    n, s1, s2 = (F.col(f"r.{k}_le") for k in ("n", "s1", "s2"))
-    m, t1, t2 = (F.col(f"r.{k}_all") - F.col(f"r.{k}_le") for k in ("n", "s1", "s2"))
-    a = (1 - p) * n - p * m
-    if degree == 1:
-        var = safe_ratio((1 - p) * s1 + p * t1, (1 - p) * n + p * m)
+    centred = degree > 2
+    if centred:
+        df = with_group_means(df, [column], groups)
+        df = df.select(*groups, F.col(f"mean_{column}").alias("_m"), (col(column) - F.col(f"mean_{column}")).alias("_x"))
+        x = F.col("_x")
     else:
-        b, c = -2 * ((1 - p) * s1 - p * t1), (1 - p) * s2 - p * t2
-        var = F.when(F.abs(a) < 1e-12, -safe_ratio(c, b)).otherwise(safe_ratio(-b + F.sqrt(F.greatest(b * b - 4 * a * c, F.lit(0.0))), 2 * a))
-    return at.select(*groups, F.when(m == 0, F.col("r.v")).otherwise(var).alias("var"))
+        df = df.select(*groups, F.lit(0.0).alias("_m"), col(column).alias("_x"))
+        x = F.col("_x")
+    names = _powers(degree)
+    measures = {"n": F.lit(1).cast("long")} | {f"s{k}": F.pow(x, F.lit(float(k))) if k > 2 else x if k == 1 else x * x for k in range(1, degree + 1)}
+    sums = cumulative(df, "_x", groups, measures)
+    after = F.lead("v").over(Window.partitionBy(*[F.col(g) for g in groups]).orderBy("v")) if centred else F.lit(None).cast("double")
+    sums = sums.withColumn("v_after", after)
+    v = F.col("v")
+
+    def moment(le: bool) -> Column:
+        own = {k: F.col(f"{k}_le") if le else F.col(f"{k}_all") - F.col(f"{k}_le") for k in names}
+        out, c = F.lit(0.0), 1
+        for k, name in enumerate(names):
+            sign = (-1) ** k if le else (-1) ** (degree - k)
+            out = out + sign * c * own[name] * F.pow(v, F.lit(float(degree - k)))
+            c = c * (degree - k) // (k + 1)
+        return out
+
+    low = moment(True)
+    ratio = F.coalesce(safe_ratio(low, low + moment(False)), F.lit(0.0))
+    sums = sums.withColumn("_ratio", ratio)
+    row = F.struct("v", *[f"{k}_le" for k in names], *[(F.col(f"{k}_all") - F.col(f"{k}_le")).alias(f"{k}_gt") for k in names], "v_after")
+    at = sums.groupBy(*groups).agg(*[F.max(F.when(F.col("_ratio") <= min(max(p, 0.0), 1.0) + 1e-15, row)).alias(f"_r_{k}") for k, p in shares.items()], F.min("v").alias("_low"))
+    means = df.groupBy(*groups).agg(F.max("_m").alias("_m")).withColumnsRenamed({g: f"_g_{g}" for g in groups})
+    at = at.join(means, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]) if groups else at.join(F.broadcast(means))
+
+    def var(name: str, p: float) -> Column:
+        p, r = min(max(p, 0.0), 1.0), F.col(f"_r_{name}")
+        if degree > 2:
+            value = _root(degree, p, r, r["v"], r["v_after"])
+        elif degree == 1:
+            value = safe_ratio((1 - p) * r["s1_le"] + p * r["s1_gt"], (1 - p) * r["n_le"] + p * r["n_gt"])
+        else:
+            a, b, c = (1 - p) * r["n_le"] - p * r["n_gt"], -2 * ((1 - p) * r["s1_le"] - p * r["s1_gt"]), (1 - p) * r["s2_le"] - p * r["s2_gt"]
+            value = F.when(F.abs(a) < 1e-12, -safe_ratio(c, b)).otherwise(safe_ratio(-b + F.sqrt(F.greatest(b * b - 4 * a * c, F.lit(0.0))), 2 * a))
+        return F.coalesce(F.when(r["n_gt"] == 0, r["v"]).otherwise(value), F.col("_low")) + F.col("_m")
+
+    return at.select(*groups, *[var(k, p).alias(k) for k, p in shares.items()])
+
+
+def lpm_var(df: DataFrame, column: str, p: float, degree: int, groups: list[str] = ()) -> DataFrame:
+    """groups, var: the target at which the lower ratio of the degree is p; the interpolated quantile for degree 0, from
+    the order statistics of sorted values, so no group's values meet in one task."""
+    p = min(max(p, 0.0), 1.0)
+    if degree:
+        return lpm_vars(df, column, {"var": p}, degree, groups)
+    rows = cumulative(df.where(finite(column)), column, list(groups), {"n": F.lit(1).cast("long")})
+    place = (F.col("n_all") - 1) * p
+    at = lambda k: F.min(F.when(F.col("n_le") > k, F.col("v")))
+    found = rows.groupBy(*groups).agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"), F.max(place - F.floor(place)).alias("f"))
+    return found.select(*groups, (F.col("a") + F.col("f") * (F.col("b") - F.col("a"))).alias("var"))
 
 
 def upm_var(df: DataFrame, column: str, p: float, degree: int, groups: list[str] = ()) -> DataFrame:
     return lpm_var(df, column, 1 - p, degree, groups)
+
+
+#: Targets of a multivariate CDF that meet the rows at once.
+BLOCK = 10_000
+
+
+def cdf_nd(df: DataFrame, columns: list[str], targets: DataFrame, key: str, degree: int = 0, kind: str = "CDF") -> DataFrame:
+    """key, value for each row of targets (key, columns): the share of df's rows at or below it in every column, for
+    degree > 0 the normalised co-moment; survival and cumulative hazard follow from it and the columns' own ratios.
+
+    Every row meets every target, which is the operator's nature: targets are sent to all tasks in blocks, rows are
+    reduced where they are, so only a row a target and task is shuffled."""
+    rows = df.select(*[col(c).alias(c) for c in columns]).dropna()
+    points = targets.select(F.col(key).alias("_k"), *[col(c).alias(f"_t_{c}") for c in columns]).dropna()
+    blocks = -(-points.count() // BLOCK)
+    parts = []
+    for b in range(max(1, blocks)):
+        own = points.where(F.pmod(F.xxhash64("_k"), F.lit(max(1, blocks))) == b)
+        met = rows.join(F.broadcast(own))
+        low, high, other = (F.avg(t) for t in nd_terms(columns, [F.col(f"_t_{c}") for c in columns], degree))
+        whole = low if degree == 0 else F.coalesce(safe_ratio(low, low + high + other), F.lit(0.0))
+        single = [lpm_ratio(c, F.col(f"_t_{c}"), degree) for c in columns]
+        survival = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - sum(single[1:], single[0]) + whole))
+        value = {"CDF": whole, "survival": survival, "cumulative hazard": -F.log(F.greatest(survival, F.lit(1e-10)))}[kind]
+        parts.append(met.groupBy("_k").agg(value.alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(F.col("_k").alias(key), "value")

@@ -24,12 +24,16 @@ def lag_matrix(df: DataFrame, columns: list[str], order: str, tau: int, series:
 def seasonality(df: DataFrame, value: str, order: str, series: list[str] = ()) -> DataFrame:
     """series, period, cv, baseline: periods whose subsequences, taken backwards from the end, from the last but
     one and from the last but two, all vary no more than the series. A row meets only the periods that divide its
-    distance from the end, so rows grow as n log n. Series with mean 0 or below 5 values give period 0 and none."""
+    distance from the end, so rows grow as n log n; its divisors are found up to its root. Series with mean 0 or below 5 values give period 0 and none."""
     rows = indexed(df, value, order, series)
     base = rows.groupBy(*series).agg(F.abs(safe_ratio(F.stddev_samp("x"), F.avg("x"))).alias("baseline"), F.max("n").alias("n"))
     shift = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("s")
     from_end = rows.select(*series, "n", "x", "i", shift).withColumn("d", F.col("n") - F.col("i") - F.col("s")).where("d >= 0")
-    periods = F.filter(F.sequence(F.lit(1).cast("long"), F.greatest((F.col("n") / 2).cast("long"), F.lit(1).cast("long"))), lambda p: F.col("d") % p == 0)
+    most = F.greatest((F.col("n") / 2).cast("long"), F.lit(1).cast("long"))
+    small = F.filter(F.sequence(F.lit(1).cast("long"), F.greatest(F.floor(F.sqrt(F.col("d").cast("double"))), F.lit(1))), lambda p: F.col("d") % p == 0)
+    divisors = F.filter(F.array_union(small, F.transform(small, lambda p: F.floor(F.col("d") / p))), lambda p: p <= most)
+    # Every period divides 0.
+    periods = F.when(F.col("d") == 0, F.sequence(F.lit(1).cast("long"), most)).otherwise(divisors)
     parts = from_end.select(*series, "x", "s", F.explode(periods).alias("period"))
     stats = parts.groupBy(*series, "period", "s").agg(F.abs(safe_ratio(F.stddev_samp("x"), F.avg("x"))).alias("c"))
     keyed = base.withColumnsRenamed({c: f"_g_{c}" for c in series})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tailwise.operators import categorical, central, dominance, grouped, hypothesis, moments, quantile, timeseries
@@ -195,6 +195,57 @@ def var_deg2(spark, d):
     return rounded(quantile.lpm_var(events(spark, d, "event_type", "value"), "value", 0.05, 2, ["event_type"]), 5)
 
 
+@query(_run("events", "event_type", "value") + _AT.format(1).replace("<= 0.05", "<= 0.95") + "select event_type, round((0.05 * s1 + 0.95 * (t1 - s1)) / (0.05 * k + 0.95 * (n - k)), 5) as var from g")
+def upm_var_deg1(spark, d):
+    return rounded(quantile.upm_var(events(spark, d, "event_type", "value"), "value", 0.05, 1, ["event_type"]), 5)
+
+
+@query(
+    "with recursive e as (select l_returnflag as g, l_quantity as x, count(*) as c from lineitem group by 1, 2), s(g, i, a, b) as (select g, 0, min(x), max(x) from e group by 1 union all select s.g, any_value(i) + 1, any_value(case when ok then t else a end), any_value(case when ok then b else t end) from (select s.g, i, a, b, (a + b) / 2 as t, (select sum(c * greatest(0, (a + b) / 2 - x) ** 3) * 0.75 <= sum(c * greatest(0, x - (a + b) / 2) ** 3) * 0.25 from e where e.g = s.g) as ok from s where i < 60) s group by s.g) select g as l_returnflag, round(any_value(a), 5) as var from s where i = 60 group by 1"
+)
+def var_deg3(spark, d):
+    return rounded(quantile.lpm_var(items(spark, d, "l_returnflag", "l_quantity"), "l_quantity", 0.25, 3, ["l_returnflag"]), 5)
+
+
+_MONTHS = "p as (select o_orderpriority as g, date_trunc('month', o_orderdate) as t, avg(o_totalprice) / 1000 as x, count(*)::double as y from orders group by 1, 2), k as (select row_number() over (order by g, t) as id, x, y from p)"
+
+
+def _months(spark, d):
+    o = table(spark, d, "orders", ["o_orderpriority", "o_orderdate", "o_totalprice"])
+    m = o.groupBy(F.col("o_orderpriority").alias("g"), F.date_trunc("month", "o_orderdate").alias("t")).agg((F.avg("o_totalprice") / 1000).alias("x"), F.count("*").cast("double").alias("y"))
+    return m.withColumn("id", F.row_number().over(Window.orderBy("g", "t")).cast("long"))
+
+
+@query(f"with {_MONTHS} select a.id, round(avg(case when b.x <= a.x and b.y <= a.y then 1::double else 0 end), 6) as value from k a, k b group by 1")
+def cdf_multivariate(spark, d):
+    m = _months(spark, d)
+    return rounded(quantile.cdf_nd(m, ["x", "y"], m, "id"))
+
+
+_CO1 = "abs(b.x - a.x) * abs(b.y - a.y)"
+_SHARE = "avg(greatest(0, a.{0} - b.{0})) / nullif(avg(abs(b.{0} - a.{0})), 0)"
+
+
+@query(
+    f"with {_MONTHS}, c as (select a.id, avg(case when b.x <= a.x and b.y <= a.y then {_CO1} else 0 end) as l, avg(case when b.x >= a.x and b.y >= a.y then {_CO1} else 0 end) as h, avg(case when not ((b.x < a.x and b.y < a.y) or (b.x > a.x and b.y > a.y)) then {_CO1} else 0 end) as o, {_SHARE.format('x')} as rx, {_SHARE.format('y')} as ry from k a, k b group by 1) select id, round(least(1, greatest(0, 1 - rx - ry + coalesce(l / nullif(l + h + o, 0), 0))), 6) as value from c"
+)
+def survival_multivariate(spark, d):
+    m = _months(spark, d)
+    return rounded(quantile.cdf_nd(m, ["x", "y"], m, "id", 1, "survival"))
+
+
+@query(_XY + f"select l_returnflag, round(avg({_L.format('x')} * case when y <= my then 1::double else 0 end), 5) as clpm, round(avg({_U.format('x')} * case when y > my then 1::double else 0 end), 5) as cupm from r group by 1")
+def co_moments_two_degrees(spark, d):
+    return rounded(moments.co_moments(_xyz(spark, d), "x", "y", 1, 1, ["l_returnflag"], degree_y=0).select("l_returnflag", "clpm", "cupm"), 5)
+
+
+@query("with c as (select o_orderstatus, count(*) as n from orders group by 1) select o_orderstatus, (select min(n) from c) as down, (select max(n) from c) as up from c")
+def balanced_classes(spark, d):
+    o = table(spark, d, "orders", ["o_orderkey", "o_orderstatus"])
+    down, up = (f(o, "o_orderstatus", 1, ["o_orderkey"]).groupBy("o_orderstatus").agg(F.count("*").alias(n)) for f, n in ((categorical.down_sample, "down"), (categorical.up_sample, "up")))
+    return down.join(up, "o_orderstatus")
+
+
 _GRAV = """with r as (select event_type, value as v, row_number() over (partition by event_type order by value) as i, count(*) over (partition by event_type) as n from events),
 s as (select event_type, any_value(n) as n, min(v) as lo, max(v) as hi, avg(v) as m,
   max(case when i = greatest(1, floor(n * 0.25)) then v end) as f1, max(case when i = greatest(1, floor(n * 0.5)) then v end) as f2, max(case when i = greatest(1, floor(n * 0.75)) then v end) as f3,
@@ -286,15 +337,23 @@ def tsd_pairs(spark, d):
     return _flags(spark, d, 3)
 
 
-@query()
+_RUNS = _run("events", "event_type", "value").removeprefix("with ").rstrip()
+
+
+def _ssd_sql() -> str:
+    return f"with {_RUNS}, ev as (select event_type as t, value::double as value from events), gv as (select distinct v from f), cv as (select n.t, gv.v, gv.v * coalesce(a.k, 0) - coalesce(a.s1, 0) as up from gv cross join (select distinct t from ev) n asof left join (select event_type as t, v, k, s1 from f) a on a.t = n.t and a.v <= gv.v), lv as (select cv.t, cv.v, cv.up / z.n as l from cv join (select event_type as t, any_value(n) as n from f group by 1) z on z.t = cv.t), sv as (select t, min(value) as lo, avg(value) as m, avg(((select max(value) from events) - value) ** 2) as top from ev group by 1), dom as (select a.t as x, b.t as y from lv a join lv b on a.v = b.v and a.t <> b.t join sv x on x.t = a.t join sv y on y.t = b.t group by 1, 2 having bool_or(abs(a.l - b.l) > 1e-9 * abs(b.l)) and not bool_or(a.l - b.l > 1e-9 * abs(b.l)) and any_value(x.lo >= y.lo and x.m >= y.m))"
+
+
+@query(_ssd_sql() + " select (row_number() over (order by top, t) - 1)::int as place, t as event_type from sv where t not in (select y from dom)")
 def efficient_set(spark, d):
-    names = dominance.efficient_set(events(spark, d, "event_type", "value"), "event_type", "value", _kinds(spark, d), 2)
+    # Dominance is transitive, so what the set keeps is what nothing dominates.
+    names = dominance.efficient_set(events(spark, d, "event_type", "value"), "event_type", "value", _kinds(spark, d), 2, 1e-9)
     return spark.createDataFrame([(k, n) for k, n in enumerate(names)], "place int, event_type string")
 
 
-@query()
+@query(_ssd_sql().replace("with ", "with recursive ", 1) + ", rv(t, depth) as (select t, 1 from sv union select dom.y, depth + 1 from rv join dom on dom.x = rv.t) select max(depth)::int as cluster, t as event_type from rv group by t")
 def sd_cluster(spark, d):
-    found = dominance.clusters(events(spark, d, "event_type", "value"), "event_type", "value", _kinds(spark, d), 2)
+    found = dominance.clusters(events(spark, d, "event_type", "value"), "event_type", "value", _kinds(spark, d), 2, tolerance=1e-9)
     return spark.createDataFrame([(k + 1, n) for k, own in enumerate(found) for n in own], "cluster int, event_type string")
 
 
@@ -331,12 +390,48 @@ def rolling_dispersion(spark, d):
     return rounded(timeseries.rolling_dispersion(moments.with_group_means(e, ["value"], ["day"]), "value", "day", "mean_value", 7))
 
 
-@query()
+def _anova_sql(pairwise: bool, medians: bool, means_only: bool) -> str:
+    tails = {"u25": 0.75, "l25": 0.25, "u125": 0.875, "l125": 0.125}
+    at = lambda p: f"select event_type, ({1 - p} * s1 + {p} * (t1 - s1)) / ({1 - p} * k + {p} * (n - k)) as t from (select event_type, arg_max(k, v) as k, arg_max(s1, v) as s1, any_value(n) as n, any_value(t1) as t1 from f where l1 / (l1 + u1) <= {p} group by 1)"
+    centre = "quantile_cont(value, 0.5)" if medians else "avg(value)"
+    each = f"each as (select g.event_type as g, g.n, g.m, {', '.join(f'{k}.t as {k}' for k in tails)} from (select event_type, count(*)::double as n, {centre} as m from events group by 1) g " + " ".join(f"join v_{k} {k} on {k}.event_type = g.event_type" for k in tails) + ")"
+    grand = "(a.n * a.m + b.n * b.m) / (a.n + b.n)" if pairwise else "(select avg(m) from each)"
+    target = lambda k: f"(a.{k} + b.{k}) / 2" if pairwise else f"(select avg({k}) from each)"
+    pairs = f"pairs as (select a.g as a, b.g as b, a.n + b.n as n, a.m as control, b.m as treatment, {grand} as t_m, {', '.join(f'{target(k)} as t_{k}' for k in tails)} from each a join each b on a.g < b.g)"
+    ratio = lambda low, t: f"avg(greatest(0, {f'{t} - value' if low else f'value - {t}'})) / avg(abs(value - {t}))"
+    cdf = "avg(case when value <= t_m then 1::double else 0 end)" if medians else ratio(True, "t_m")
+    side = lambda s: f"{s} as (select p.a, p.b, {cdf} as cdf, {', '.join(f'{ratio(k[0] == chr(108), f"t_{k}")} as {k}' for k in tails)} from pairs p join events e on e.event_type = p.{s[1]} group by 1, 2)"
+    share = lambda k, p: f"(({p} - least({p}, greatest(abs(x.{k} - {p}), abs(y.{k} - {p})))) / {p}) ** 2"
+    rho = share("cdf", 0.5)
+    if not means_only:
+        rho = f"({rho} + 0.5 * {share('u25', 0.25)} + 0.5 * {share('l25', 0.25)} + 0.25 * {share('u125', 0.125)} + 0.25 * {share('l125', 0.125)}) / 2.5"
+    return f"with {_RUNS}, {', '.join(f'v_{k} as ({at(p)})' for k, p in tails.items())}, {each}, {pairs}, {side('sa')}, {side('sb')}, done as (select p.a, p.b, control, treatment, t_m as grand, x.cdf as control_cdf, y.cdf as treatment_cdf, least(1, {rho} * ((n - 2) / n) ** 2) as certainty from pairs p join sa x on x.a = p.a and x.b = p.b join sb y on y.a = p.a and y.b = p.b) "
+
+
+_ANOVA = ", ".join(f"round({c}, 6) as {c}" for c in ("control", "treatment", "grand", "control_cdf", "treatment_cdf", "certainty"))
+
+
+@query(_anova_sql(True, False, False) + f"select {_ANOVA} from done order by a, b limit 1")
 def anova_two(spark, d):
     kinds = _kinds(spark, d)
     return rounded(hypothesis.anova_pair(events(spark, d, "event_type", "value"), "event_type", "value", kinds[0], kinds[1]), 6)
 
 
+@query(_anova_sql(True, False, False) + f"select a, b, {_ANOVA} from done")
+def anova_pairwise(spark, d):
+    return rounded(hypothesis.anova(events(spark, d, "event_type", "value"), "event_type", "value"))
+
+
+@query(_anova_sql(False, False, False) + "select round(avg(certainty), 6) as certainty from done")
+def anova_groups(spark, d):
+    return rounded(hypothesis.anova_all(events(spark, d, "event_type", "value"), "event_type", "value"))
+
+
+@query(_anova_sql(False, True, True) + f"select a, b, {_ANOVA} from done")
+def anova_medians_only(spark, d):
+    return rounded(hypothesis.anova(events(spark, d, "event_type", "value"), "event_type", "value", False, True, True))
+
+
 FLAGS = ["R", "N", "A"]
 
 
@@ -383,6 +478,22 @@ def partition_map(spark, d):
     return rounded(grouped.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], centre="mean"))
 
 
+def _partition_sql(rounds: int) -> str:
+    """Unrolled rounds of the partition at means; a group stops after a round that leaves a cell of 8 rows or fewer."""
+    ctes = ["r0 as (select row_number() over () as id, l_returnflag as g, l_quantity as x, l_extendedprice / 1000 as y, 'q' as c, 'pq' as p, true as go from lineitem)"]
+    for k in range(rounds):
+        ctes.append(f"m{k} as (select *, count(*) over w as n, avg(x) over w as cx, avg(y) over w as cy from r{k} window w as (partition by g, c))")
+        ctes.append(f"s{k} as (select id, g, x, y, case when go and n > 8 then c || (1 + (x <= cx)::int + 2 * (y <= cy)::int) else c end as c, case when go and n > 8 then c else p end as p, go and max(n) over (partition by g) > 8 as go from m{k})")
+        ctes.append(f"t{k} as (select *, count(*) over (partition by g, c) as n from s{k})")
+        ctes.append(f"r{k + 1} as (select id, g, x, y, c, p, go and min(n) over (partition by g) > 8 as go from t{k})")
+    return "with " + ", ".join(ctes) + f" select g as l_returnflag, round(x, 6) as x, round(y, 6) as y, c as quadrant, p as prior from r{rounds}"
+
+
+@query(_partition_sql(4))
+def partition_map_order4(spark, d):
+    return rounded(grouped.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], centre="mean", order=4))
+
+
 @query()
 def partition_points(spark, d):
     return rounded(grouped.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], points=True))
