@@ -122,9 +122,19 @@ def next_value(part: np.ndarray) -> float:
     return float(part[-1]) + (float((py[-1] - py[:-1]) @ w) / run if run else 0.0)
 
 
-def forecast_nonlinear(x: np.ndarray, h: int, lags: list[int], weights: np.ndarray) -> np.ndarray:
-    """Recursive forecasts, never below 0."""
+def forecast_nonlinear(x: np.ndarray, h: int, lags: list[int], weights: np.ndarray, negative: bool = False, both: bool = False, shrink: bool = False) -> np.ndarray:
+    """Recursive forecasts, below 0 only if negative; with both each step is the mean of this and the linear one."""
     buffer = np.concatenate([x, np.zeros(h)])
+    floor = -math.inf if negative else 0.0
     for t in range(len(x), len(x) + h):
-        buffer[t] = float(np.maximum(0.0, [next_value(buffer[t % lag : t : lag]) for lag in lags]) @ weights)
+        parts = [buffer[t % lag : t : lag] for lag in lags]
+        own = np.array([next_value(p) for p in parts])
+        if shrink:
+            own = (own + [p.mean() for p in parts]) / 2
+        value = float(np.maximum(floor, own) @ weights)
+        if both:
+            fits = [(len(p), float(p.mean()), *line(np.arange(1, len(p) + 1.0), p)) for p in parts]
+            flat = np.array([((a + b * (n + 1)) + m) / 2 if shrink else a + b * (n + 1) for n, m, a, b in fits])
+            value = (value + max(floor, float(flat @ weights))) / 2
+        buffer[t] = value
     return buffer[len(x) :]

@@ -538,6 +538,59 @@ def arma_nonlinear(spark, d):
     return rounded(grouped.forecast_nonlinear(_monthly(spark, d), "x", "t", ["g"], 4, [12]))
 
 
+def _panel(spark, d):
+    """Months of each priority with three features."""
+    return _months(spark, d).select("id", "g", F.month("t").cast("double").alias("month"), F.months_between("t", F.lit("1990-01-01")).alias("time"), "y", "x")
+
+
+_FEATURES = ["month", "time", "y"]
+
+
+@query()
+def surface_regression(spark, d):
+    return rounded(grouped.fitted_by(_panel(spark, d), _FEATURES, "x", "id", ["g"], confidence=0.95))
+
+
+@query()
+def line_regression(spark, d):
+    m = _panel(spark, d)
+    return rounded(grouped.predict_by(m, m.withColumn("time", F.col("time") + 1), _FEATURES, "x", "id", ["g"], "line"))
+
+
+@query()
+def stacked_regression(spark, d):
+    m = _panel(spark, d)
+    return rounded(grouped.predict_by(m, m.where("month = 12").withColumn("time", F.col("time") + 12), _FEATURES, "x", "id", ["g"], "stack"))
+
+
+@query()
+def boosted_shares(spark, d):
+    return rounded(grouped.feature_shares(_panel(spark, d), _FEATURES, "x", ["g"]))
+
+
+@query()
+def boosted_regression(spark, d):
+    m = _panel(spark, d)
+    return rounded(grouped.predict_by(m, m.where("month = 12"), _FEATURES, "x", "id", ["g"], "boost"))
+
+
+@query()
+def arma_best(spark, d):
+    return rounded(grouped.forecast_best(_monthly(spark, d), "x", "t", ["g"], 6, [2, 3, 6, 12]))
+
+
+@query()
+def regression_intervals(spark, d):
+    m = _monthly(spark, d).withColumn("i", F.month("t"))
+    return rounded(grouped.regression_table(m, "i", "x", grouped.fit_regression(m, "i", "x", ["g"]), ["g"]))
+
+
+@query()
+def overall_slope(spark, d):
+    m = _monthly(spark, d).withColumn("i", F.month("t"))
+    return rounded(grouped.mean_slope(m, "i", grouped.fit_regression(m, "i", "x", ["g"]), ["g"]))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
