@@ -86,3 +86,23 @@ def choose(x: np.ndarray, held: int, lags: list[int], negative: bool = False, li
     shrink = relative_error(predict(train, held, chosen, method, weights, negative, True), actual) < error
     width = abs(float(np.quantile(errors, 1 - (1 - interval) / 2))) + abs(bias)
     return Choice(chosen, method, weights, error, shrink, bias, width)
+
+
+def seasonal_lags(x: np.ndarray, most: int | None = 1) -> tuple[list[int], np.ndarray]:
+    """Periods whose subsequences vary no more than the series, the most steadiest of them (None: all), and their
+    weights; 1 if there is none."""
+
+    def spread(v: np.ndarray) -> float:
+        return abs(float(np.std(v, ddof=1)) / float(np.mean(v))) if len(v) > 1 and np.mean(v) else math.nan
+
+    n, base, back, found = len(x), spread(x), x[::-1], []
+    for p in range(1, n // 2 + 1) if n >= 5 and math.isfinite(base) else ():
+        own = [spread(back[s::p]) for s in range(3)]
+        own = [v if math.isfinite(v) else base for v in own]
+        if max(own) <= base * (1 + 1e-12) and p < n / 2:
+            found.append((float(np.mean(own)), p))
+    if not found:
+        return [1], np.ones(1)
+    cv, lags = (np.array(v) for v in zip(*sorted(found)[:most], strict=True))
+    w = (base - cv) / np.sqrt(lags)
+    return lags.astype(int).tolist(), w / w.sum() if w.sum() else np.zeros(len(w))

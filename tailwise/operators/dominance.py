@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailwise.functions.expr import col
@@ -95,3 +97,51 @@ def clusters(df: DataFrame, group: str, value: str, names: list[str], degree: in
         else:
             out.append(own)
     return out
+
+
+def _layers(names: list[str], samples: list[np.ndarray], degree: int, tolerance: float) -> list[list[str]]:
+    """clusters() of samples in memory."""
+    grid = np.unique(np.concatenate(samples))
+    curves = []
+    for v in samples:
+        s = np.sort(v)
+        k = np.searchsorted(s, grid, side="right")
+        n, a, b = k.astype(float), np.r_[0, np.cumsum(s)][k], np.r_[0, np.cumsum(s * s)][k]
+        curves.append({1: n, 2: grid * n - a, 3: grid * grid * n - 2 * grid * a + b}[degree] / len(s))
+    order = sorted(range(len(names)), key=lambda i: (float(np.mean((grid[-1] - samples[i]) ** degree)), i))
+
+    def dominates(i: int, j: int) -> bool:
+        gap = curves[i] - curves[j]
+        slack = tolerance * np.abs(curves[j])
+        ok = not (gap > slack).any() and (np.abs(gap) > slack).any() and samples[i].min() >= samples[j].min()
+        return ok and (degree == 1 or samples[i].mean() >= samples[j].mean())
+
+    edges = {(names[i], names[j]) for i in order for j in order if i != j and dominates(i, j)}
+    left, out = [names[i] for i in order], []
+    while left:
+        out.append(peel(left, edges))
+        left = [n for n in left if n not in out[-1]]
+    return out
+
+
+def rolling_clusters(df: DataFrame, window: str, group: str, value: str, degree: int, tolerance: float = 0.0) -> DataFrame:
+    """window, group, cluster (1: the efficient set) in each window; a task per window. Rows of overlapping windows come
+    once for each."""
+    kinds = dict(df.dtypes)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = {n: v.to_numpy() for n, v in pdf.groupby("_g", sort=True)["_v"]}
+        found = _layers(list(parts), list(parts.values()), degree, tolerance)
+        return pd.DataFrame([(key[0], n, k + 1) for k, own in enumerate(found) for n in own], columns=[window, group, "cluster"])
+
+    rows = df.select(window, F.col(group).alias("_g"), col(value).alias("_v")).dropna()
+    return rows.groupBy(window).applyInPandas(run, f"`{window}` {kinds[window]}, `{group}` {kinds[group]}, cluster int")
+
+
+def turnover(sets: DataFrame, window: str, group: str) -> DataFrame:
+    """window, size, turnover: of each window's set, and the share of names of it and the set before that are not in
+    both. sets: window, group. Windows are few beside rows."""
+    each = sets.groupBy(window).agg(F.collect_set(group).alias("_s"))
+    before = F.lag("_s").over(Window.orderBy(window))
+    share = 1 - F.size(F.array_intersect("_s", before)) / F.size(F.array_union("_s", before))
+    return each.select(window, F.size("_s").alias("size"), share.alias("turnover"))

@@ -88,11 +88,12 @@ def mode(df: DataFrame, column: str, groups: list[str]) -> DataFrame:
     return df.select(*groups, col(column).alias("x")).dropna(subset=["x"]).groupBy(*groups).applyInPandas(run, _fields(df, groups) + "mode double")
 
 
-def forecast(df: DataFrame, value: str, order: str, groups: list[str], h: int, lags: list[int], method: str = "lin", **how) -> DataFrame:
-    """groups, step, forecast: recursive forecasts of each series by weighted lags."""
+def forecast(df: DataFrame, value: str, order: str, groups: list[str], h: int, lags: list[int] | None = None, method: str = "lin", **how) -> DataFrame:
+    """groups, step, forecast: recursive forecasts of each series by weighted lags; None: its steadiest period."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = series.forecast(pdf.sort_values("_o", kind="stable")["x"].to_numpy(), h, lags, method, **how)
+        own = pdf.sort_values("_o", kind="stable")["x"].to_numpy()
+        out = series.forecast(own, h, lags or forecasts.seasonal_lags(own)[0], method, **how)
         return pd.DataFrame([(*key, k + 1, float(v)) for k, v in enumerate(out)], columns=[*groups, "step", "forecast"])
 
     rows = df.select(*groups, F.col(order).alias("_o"), col(value).alias("x")).dropna(subset=["x"])
@@ -154,12 +155,13 @@ def score_regression(points: DataFrame, x: str, model: DataFrame, groups: list[s
     return out.withColumn("_s", own).withColumn("estimate", F.col("_s.at_y") + (col(x) - F.col("_s.at_x")) * F.col("_s.slope")).drop("_s", *[f"_g_{g}" for g in groups])
 
 
-def forecast_nonlinear(df: DataFrame, value: str, order: str, groups: list[str], h: int, lags: list[int]) -> DataFrame:
-    """groups, step, forecast: each lag's subsequence goes on along its piecewise regression."""
+def forecast_nonlinear(df: DataFrame, value: str, order: str, groups: list[str], h: int, lags: list[int] | None = None, **how) -> DataFrame:
+    """groups, step, forecast: each lag's subsequence goes on along its piecewise regression. None: the steadiest period."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values("_o", kind="stable")["x"].to_numpy()
-        out = regression.forecast_nonlinear(own, h, lags, series.lag_weights(own, lags))
+        used, weights = (lags, series.lag_weights(own, lags)) if lags else forecasts.seasonal_lags(own)
+        out = regression.forecast_nonlinear(own, h, used, weights, **how)
         return pd.DataFrame([(*key, k + 1, float(v)) for k, v in enumerate(out)], columns=[*groups, "step", "forecast"])
 
     rows = df.select(*groups, F.col(order).alias("_o"), col(value).alias("x")).dropna(subset=["x"])

@@ -200,3 +200,11 @@ def copula(df: DataFrame, columns: list[str], groups: list[str] = (), continuous
         co1, n1 = co0, n0
     value = F.sqrt((clip(co0) + clip(co1) + F.abs(n0 - free_d) / free_d + F.abs(n1 - free_d) / free_d) / 4)
     return base.select(*groups, F.when((co0 == 0) | (co0 == 1), 1.0).otherwise(value).alias("copula"))
+
+
+def downside_stress(df: DataFrame, assets: list[str], market: str, degrees: list[int], target: float = 0.0) -> DataFrame:
+    """asset, degree, co_lpm of each asset with the market, both below the target, over the rows given (such as those of a
+    falling market). One pass for all assets and degrees."""
+    own = lambda c, k: lower_dev(c, F.lit(target), k) * lower_dev(market, F.lit(target), k)
+    cells = [F.struct(F.lit(c).alias("asset"), F.lit(k).alias("degree"), F.avg(own(c, k)).alias("co_lpm")) for c in assets for k in degrees]
+    return df.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")

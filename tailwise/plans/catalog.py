@@ -591,6 +591,31 @@ def overall_slope(spark, d):
     return rounded(grouped.mean_slope(m, "i", grouped.fit_regression(m, "i", "x", ["g"]), ["g"]))
 
 
+@query()
+def rolling_sets(spark, d):
+    e = events(spark, d, "ts", "event_type", "value").withColumn("week", F.date_trunc("week", "ts").cast("timestamp_ntz"))
+    return dominance.rolling_clusters(e, "week", "event_type", "value", 1, 1e-9)
+
+
+@query()
+def set_turnover(spark, d):
+    return rounded(dominance.turnover(rolling_sets(spark, d).where("cluster = 1"), "week", "event_type"))
+
+
+_STRESS = "with s as (select l_tax * 100 - 4 as a, l_quantity - 25 as b, l_discount * 100 - 5 as m from lineitem where l_discount * 100 - 5 <= -1) "
+
+
+@query(_STRESS + " union all ".join(f"select '{c}' as asset, {k} as degree, round(avg(greatest(0, -{c}) ** {k} * greatest(0, -m) ** {k}), 5) as co_lpm from s" for c in "ab" for k in (1, 2)))
+def downside_stress(spark, d):
+    s = items(spark, d, "l_tax", "l_quantity", "l_discount").select((F.col("l_tax") * 100 - 4).alias("a"), (F.col("l_quantity") - 25).alias("b"), (F.col("l_discount") * 100 - 5).alias("m")).where("m <= -1")
+    return rounded(moments.downside_stress(s, ["a", "b"], "m", [1, 2]), 5)
+
+
+@query()
+def arma_auto(spark, d):
+    return rounded(grouped.forecast_nonlinear(_monthly(spark, d), "x", "t", ["g"], 4))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
