@@ -260,6 +260,24 @@ def test_line_dedup_of_copies(spark):
     assert out.columns == docs.columns and out.count() == len(rows)
 
 
+def test_line_dedup_of_long_and_near_lines(spark, monkeypatch):
+    rng = random.Random(17)
+    base = [[f"v{rng.randrange(400)}" for _ in range(rng.choice([4, 5, 6, 9, 20, 60, 150]))] for _ in range(25)]
+    rows = []
+    for k in range(60):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, "\n".join([" ".join(words), " ".join(rng.choice(base))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = linededup.brute_force(rows)
+    assert {r["doc_id"]: list(r["removed"]) for r in linededup.join(docs).collect()} == want and sum(map(len, want.values())) > 20
+    # Sizes and places beyond what a posting holds.
+    for name, value in (("MOST", 15), ("LAST_PLACE", 7)):
+        monkeypatch.setattr(linededup, name, value)
+    assert {r["doc_id"]: list(r["removed"]) for r in linededup.join(docs).collect()} == want
+
+
 def test_ngram_join(spark, docs, rows, none):
     got = {d: (r["n_shingles"], r["component_id"]) for d, r in by_id(ngramjoin.join(docs)).items()}
     want = ngramjoin.brute_force(dict(rows))
