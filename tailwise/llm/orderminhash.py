@@ -32,6 +32,8 @@ BINS = 1 << SKETCH_BITS
 HASH_BITS = SKETCH_BITS + ORDER_BITS
 #: Rows of a bucket of consecutive ids, about, and quantiles that bound buckets at most.
 BUCKET_ROWS, BUCKETS = 250, 10_000
+#: Buckets (three numbers each) that are sent to all tasks at most; beyond, the texts are shuffled once more.
+BROADCAST_BUCKETS = 500_000
 
 
 def _packed(words: str) -> str:
@@ -101,8 +103,8 @@ def _below(array: str, n: int) -> str:
     return f"aggregate(array({', '.join(map(str, steps))}), 0, (a, s) -> if(a + s <= {n} and get({array}, a + s - 1) < doc_id, a + s, a))"
 
 
-def _bucketed(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text_hash) with _b and _s: buckets that ascend with doc_id. Rows of null ids are dealt, after all
+def _bucketed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows (doc_id, text_hash) with _b and _s, buckets that ascend with doc_id, and how many there are at most. Rows of null ids are dealt, after all
     others, by the hash that orders them."""
     found = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("known"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
     n, known = found["n"], found["known"]
@@ -118,14 +120,14 @@ def _bucketed(rows: DataFrame) -> DataFrame:
     part = f"least({parts - 1}L, cast((doc_id - {low} - 1) / greatest({high} - {low}, 1L) * {parts} as bigint))" if parts > 1 else "0L"
     # Hashes ascend where ids descend.
     null_part = f"-cast((shiftright(text_hash, 1) / 9223372036854775808D + 0.5D) * {of_null} as bigint)" if of_null > 1 else "0L"
-    return df.withColumn("_s", F.expr(f"if(doc_id is null, {null_part}, {part})"))
+    return df.withColumn("_s", F.expr(f"if(doc_id is null, {null_part}, {part})")), (len(bounds) + 1) * parts + of_null + 1
 
 
 def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
     """rows (doc_id, text, text_hash, carried; only doc_id may be null) with next_<c> for each carried column: that of
     the next row by descending doc_id, after the last of the first. For the last row of a bucket these are null, and
     head_text has the next one's text; elsewhere head_text means nothing."""
-    rows = _bucketed(rows)
+    rows, buckets = _bucketed(rows)
     order = [F.col("doc_id").desc_nulls_last(), F.col("text_hash"), F.col("text")]
     inside = Window.partitionBy("_b", "_s").orderBy(*order)
     df = rows
@@ -133,7 +135,9 @@ def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
         df = df.withColumn(f"next_{c}", F.lead(c).over(inside))
     # The first row of each bucket, for the bucket above it; that of the top bucket for the lowest.
     ids = rows.groupBy("_b", "_s").agg(F.max("doc_id").alias("_top"))
-    heads = rows.select("_b", "_s", "doc_id", "text_hash", "text").join(ids.select(F.col("_b").alias("_hb"), F.col("_s").alias("_hs"), "_top"), (F.col("_b") == F.col("_hb")) & (F.col("_s") == F.col("_hs")) & F.col("doc_id").eqNullSafe(F.col("_top")))
+    tops = ids.select(F.col("_b").alias("_hb"), F.col("_s").alias("_hs"), "_top")
+    tops = F.broadcast(tops) if buckets <= BROADCAST_BUCKETS else tops
+    heads = rows.select("_b", "_s", "doc_id", "text_hash", "text").join(tops, (F.col("_b") == F.col("_hb")) & (F.col("_s") == F.col("_hs")) & F.col("doc_id").eqNullSafe(F.col("_top")))
     heads = heads.groupBy("_b", "_s").agg(F.min(F.struct("text_hash", "text"))["text"].alias("head_text"))
     tops = ids.groupBy("_b").agg(F.max("_s").alias("_first"))  # BUCKETS rows at most
     round_b = Window.orderBy(F.desc("_b"))
