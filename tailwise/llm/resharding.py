@@ -179,13 +179,14 @@ def rewrite_shards(docs: DataFrame, old_shard, placed: DataFrame, buckets: int,
     return affected
 
 
-def reshard(docs: DataFrame, old_shard, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def reshard(docs: DataFrame, old_shard, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, old_shard, shard, slot, grown_shard for each row: of the affected shards as
-    read back from their new files, of the others as they are."""
+    read back from their new files, of the others as they are. The files are in path; without one they are in the
+    shared folder and go when the driver ends."""
     spark = docs.sparkSession
     placed, buckets = place(docs, old_shard, shards, id_col, text_col)
     placed = staged(placed, "placed")
-    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     affected = rewrite_shards(docs, old_shard, placed, buckets, path, id_col, text_col)
     columns = ["doc_id", "size", "text_crc32", "old_shard", "shard", "slot"]
     found = placed.where(~F.col("old_shard").isin(affected)).select(columns)
