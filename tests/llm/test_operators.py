@@ -490,3 +490,14 @@ def test_revisits_of_odd_records(spark):
     for size in (1000, 7, 1):
         got = [(r["record_id"], r["ts"], r["response_id"], r["status"], r["headers"]) for r in revisits.resolve(df, size).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_line_dedup_of_a_common_phrase(spark, monkeypatch):
+    # More than four lines a group: only the second round meets the earlier match of the later ones.
+    phrase = " ".join(f"p{k}" for k in range(12))
+    rows = [(k, f"{phrase} " + " ".join(f"x{k % 9}y{i}" for i in range(10 + k % 3))) for k in range(40)]
+    docs = spark.createDataFrame([(d, t + f" z{d}") for d, t in rows], "doc_id long, text string")
+    want = linededup.brute_force([(d, t + f" z{d}") for d, t in rows])
+    for sample in (1, linededup.SAMPLE, 1 << 40):  # what is counted decides the order of tokens, not the result
+        monkeypatch.setattr(linededup, "SAMPLE", sample)
+        assert {r["doc_id"]: list(r["removed"]) for r in linededup.join(docs).collect()} == want and 20 < sum(map(len, want.values())) < 40
