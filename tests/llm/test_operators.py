@@ -492,6 +492,20 @@ def test_revisits_of_odd_records(spark):
         assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_line_dedup_shuffles_only_what_loses_lines(spark, docs, rows, monkeypatch):
+    want = linededup.brute_force(rows)
+    keys = spark.createDataFrame([(d,) for d in want if want[d]], "doc_id long").select(linededup.F.xxhash64("doc_id"))
+    ids = docs.select("doc_id")
+    may, rest = linededup._split(ids, linededup.F.xxhash64("doc_id"), keys)
+    may, rest = ({r["doc_id"] for r in x.collect()} for x in (may, rest))
+    assert may >= {d for d in want if want[d]} and may | rest == set(want) and not may & rest and len(rest) > 0.9 * sum(not g for g in want.values())
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", 1)  # the documents that lose lines are joined by shuffling, by a bitmap of one word
+    out = by_id(linededup.dedup_documents(docs))
+    assert out.keys() == want.keys() and linededup.dedup_documents(docs).columns == docs.columns
+    for d, t in rows:
+        assert out[d]["text"] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[d]))
+
+
 def test_line_dedup_of_a_common_phrase(spark, monkeypatch):
     # More than four lines a group: only the second round meets the earlier match of the later ones.
     phrase = " ".join(f"p{k}" for k in range(12))
