@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tailwise.llm.common import id_text
 
 BUCKETS = 65_536
+#: Values of a batch that are Python objects at a time; an idle worker keeps the memory for a minute.
+SLICE = 256
 #: Bound of the labelled sample that the trusted multinomial is fitted on.
 TARGET_DOCS = 20_000
 SMOOTHING = 1.0
@@ -37,6 +39,12 @@ CACHE = 400_000
 _hashes: dict[bytes, int] = {}
 
 
+def _each(column: pa.Array) -> Iterator:
+    """The column's values, SLICE of them in memory at a time."""
+    for k in range(0, len(column), SLICE):
+        yield from column.slice(k, SLICE).to_pylist()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """The first 32 bits of each word's MD5."""
     if len(_hashes) > CACHE:
@@ -134,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: f
         held: list[list[np.ndarray]] = [[], []]
         size = 0
         for batch in batches:
-            for text, trusted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, trusted in zip(_each(batch.column(0)), _each(batch.column(1)), strict=True):
                 words = text.encode().split()
                 if not words:
                     continue
@@ -186,7 +194,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for batch in batches:
-            rows = [_judge(t, w, threshold) for t in batch.column(1).to_pylist()]
+            rows = [_judge(t, w, threshold) for t in _each(batch.column(1))]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
@@ -203,7 +211,7 @@ def keep_documents(docs: DataFrame, weights: np.ndarray, threshold: float = THRE
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for batch in batches:
-            yield batch.filter(pa.array([_judge(t or "", w, threshold)[-2] for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([_judge(t or "", w, threshold)[-2] for t in _each(batch.column(at))], pa.bool_()))
 
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names with dots can't be passed
     return plain.mapInArrow(judge, plain.schema).toDF(*docs.columns)
