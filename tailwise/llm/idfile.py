@@ -27,7 +27,7 @@ from tailwise.llm.common import id_text, shared_dir
 from tailwise.llm.tokens import library_encoder
 
 #: Ids of a segment, about; its blocks are coded side by side.
-SEGMENT = 4_000_000
+SEGMENT = 8_000_000
 SCHEMA = "part int, part_start long, n_ids long, doc_ids array<bigint>, counts array<bigint>, blocks binary"
 
 
@@ -77,7 +77,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
         for batch in batches:
             for k in range(batch.num_rows):
                 part, start, _, doc_ids, counts, blocks = (c[k].as_py() for c in batch.columns)
-                ids = idcoder.decode_segment(blocks).astype("<u4").tobytes()
+                ids = idcoder.decode_segment(blocks).tobytes()
                 ends = np.cumsum(counts)
                 begins = ends - counts
                 own = [ids[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tailwise.llm import bytebpe, idcoder, idfile, linededup, ngramjoin, orderminhash, packing, quality, resharding, revisits
+from tailwise.llm import bytebpe, idcoder, idfile, linededup, ngramjoin, orderminhash, packing, quality, resharding, revisits, tokens
 from tailwise.llm.queries import tokenizer_file
 
 RNG = random.Random(11)
@@ -169,6 +169,77 @@ def test_id_coder_mixes_orders():
     assert 8 * len(idcoder.encode_segment(ids)) / len(ids) < 0.8 * order0
 
 
+def test_id_coder_keeps_to_its_size():
+    """Prose-like ids: mixing beats the order-0 table, and a step writes one word at most."""
+    rng = np.random.default_rng(3)
+    ids = np.where(np.arange(60_000) % 3 > 0, rng.zipf(1.2, 60_000) % 4000, np.arange(60_000) % 7)
+    segment = idcoder.encode_segment(ids, 500)
+    assert idcoder.decode_segment(segment).tolist() == ids.tolist()
+    for some in ([0], [1, 1], [(1 << 32) - 1, 0] * 300, list(range(20_000)) * 2):  # over 2**14 ids: wider entries
+        assert idcoder.decode_segment(idcoder.encode_segment(np.array(some), 1000)).tolist() == some
+    # Blocks of different lengths, out of order and without the others.
+    prior, at = idcoder.Prior.unpack(segment)
+    blocks = idcoder.split_blocks(segment[at:])
+    got = idcoder.decode_blocks(prior, [blocks[-1], blocks[7], blocks[0]])
+    assert [x.tolist() for x in got] == [ids[-500:].tolist(), ids[3500:4000].tolist(), ids[:500].tolist()]
+
+
+def test_id_coder_steps_are_few(monkeypatch):
+    """Shares are mixed once for many ids of a block, not at each."""
+    calls = []
+    learn = idcoder.Model.learn
+    monkeypatch.setattr(idcoder.Model, "learn", lambda self, log: calls.append(1) or learn(self, log))
+    ids = np.arange(8192) % 300
+    assert np.array_equal(idcoder.decode_segment(idcoder.encode_segment(ids)), ids)
+    assert 0 < len(calls) < 100
+
+
+def test_words_go_to_the_model_alone():
+    """Words of one pre-token need only the model; ids are the library's for these and for whatever else."""
+    rng = random.Random(5)
+    letters = "abcXYZzäßéÿÀØ×÷ªµºœŁжλ名\u0301'’0123_-.,=\n"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 24))) for _ in range(200)) for _ in range(30)]
+    encoder = tokens.library_encoder(tokenizer_file("byte_bpe_50k.json"))
+    for _ in range(2):  # learnt, and known
+        for got, want in zip(encoder.ids(texts), library_ids(texts), strict=True):
+            assert got.tolist() == list(want)
+    words = ["dieß", " Straße", "x", " ÿ", " of", "a×b", " 12", "\nthe", "the\n", "it's"]
+    ids, sizes = encoder.encode(words)
+    want = library_ids(words)
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert [w for w in words if tokens.ONE_WORD.fullmatch(w)] == words[:5]
+
+
+def test_chunks_met_again_are_not_encoded_again():
+    """A full table of chunks gives way to a new one, which takes over what is met again."""
+    asked = []
+
+    def encode(chunks):
+        asked.extend(chunks)
+        own = [list(c.encode()) for c in chunks]
+        return np.array([i for o in own for i in o], np.uint32), np.array([len(o) for o in own], np.int64)
+
+    encoder = tokens.BulkEncoder(encode, chunks=20)
+    common = "the of and a-longer-common-chunk another-longer-common-chunk-beyond-16"
+    for k in range(30):
+        text = f"{common} n{k} {k}-chunks-of-its-own x"
+        (got,) = encoder.ids([text])
+        assert got.tolist() == list(text.encode())
+    # As the first chunk of a text, and with a space: each once, though the table has been full several times.
+    assert all(asked.count(c) == 1 for c in ("the", *(" " + w for w in common.split()[1:])))
+    assert len(encoder.short) + len(encoder.long) < 40
+
+
+def test_chunks_on_the_same_row(monkeypatch):
+    """Chunks that fall on one row of the tables asked first are told apart by their bytes."""
+    monkeypatch.setattr(tokens, "ROW_BITS", 1)
+    encoder = tokens.BulkEncoder(lambda chunks: (np.array([i for c in chunks for i in c.encode()], np.uint32), np.array([len(c.encode()) for c in chunks])))
+    rng = random.Random(8)
+    for _ in range(5):
+        texts = [" ".join("".join(rng.choice("abß") for _ in range(rng.randint(1, 20))) for _ in range(100)) for _ in range(3)]
+        assert [x.tolist() for x in encoder.ids(texts)] == [list(t.encode()) for t in texts]
+
+
 def test_resharding(spark, docs, rows, none):
     from pyspark.sql import functions as F
 
