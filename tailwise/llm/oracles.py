@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tailwise.llm import quality
+from tailwise.llm import quality, resampling
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,5 +60,47 @@ select page_id * 2 + 1 as record_id, canonical, page_id + 500000 as ts, old * 2
 'content-length=' || case when ok then od[1:4] || ';content-type=text/html' else '0' end || ';date=' || (page_id + 500000) || case when page_id % 7 = 0 then case when ok then ';etag="' || od[1:16] || '"' else '' end when page_id % 5 = 0 then ';etag="changed"' else ';etag=W/"' || d[1:16] || '"' end || ';expires=never' as headers from s"""
 
 
+#: The 256 entries of the CRC's table, by its rule, and the CRC of a string by them.
+_CRC_TABLE = "crc as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as t)"
+
+
+def _crc(text: str) -> str:
+    octets = f"list_transform(range(length(hex({text})) // 2), lambda k: ('0x' || substr(hex({text}), 2 * k + 1, 2))::bigint)"
+    return f"xor(list_reduce({octets}, lambda c, o: xor(c >> 8, t[(xor(c, o) & 255) + 1]), 4294967295), 4294967295)"
+
+
+OP11 = f"""with {_CRC_TABLE},
+d as (select doc_id, {_words("coalesce(text, '')")} as w, {_crc('doc_id::varchar')} as h from documents, crc),
+f as (select doc_id, w, h, len(w) as n, case when len(w) > 0 then (h // 10) % len(w) end as a, h // 10 as g from d),
+e as (select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] end) else w end as w from f),
+p as (select doc_id, n, unnest(w) as x, unnest(range(n)) as i from e),
+m as (select a.doc_id, b.i - a.i as q, a.i from p a join p b on a.doc_id = b.doc_id and a.x = b.x and b.i > a.i and b.i - a.i <= a.n // 3),
+g as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as part from m),
+s as (select doc_id, min(i) as start, count(*) + q as length, q from g group by doc_id, q, part having count(*) + q >= greatest(24, 3 * q)),
+r as (select doc_id, start, length, min(q) as period from s group by 1, 2, 3),
+l as (select doc_id, count(*) as c, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as printed, first(struct_pack(start := start, length := length, period := period) order by length::double / period desc, start, period) as best from r group by 1),
+k as (select doc_id, string_agg(x, ' ' order by i) as kept from p where not exists (select 1 from r where r.doc_id = p.doc_id and p.i >= r.start + r.period and p.i < r.start + r.length) group by 1)
+select d.doc_id, coalesce(c, 0)::bigint as n_runs, best.start as start, best.length as length, best.period as period, (1000 * best.length // best.period)::bigint as exponent_milli, sha256(coalesce(printed, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256 from d left join l using (doc_id) left join k using (doc_id)"""
+
+_N = resampling.BUCKETS
+
+
+def _features(table: str) -> str:
+    between = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    return f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{between}'), lambda x: x <> '') as w from {table}"
+
+
+OP13 = f"""with {_CRC_TABLE},
+d as (select doc_id, {_features('documents')}), b as (select {_features('benchmark')}),
+v as (select x, {_crc('x')} % {_N} as k from (select distinct unnest(w) as x from (select w from d union all select w from b)), crc),
+u as (select doc_id, k from (select doc_id, unnest(w) as x from d) join v using (x)),
+s as (select k, count(*) as s from u group by 1), t as (select k, count(*) as t from (select unnest(w) as x from b) join v using (x) group by 1),
+g as (select k, floor(1000 * ln((coalesce(t, 0) + 1::double) * ((select coalesce(sum(s), 0) from s)::double + {_N}) / ((coalesce(s, 0) + 1::double) * ((select coalesce(sum(t), 0) from t)::double + {_N}))))::bigint as gain from s left join t using (k)),
+w as (select doc_id, sum(gain)::bigint as weight from u join g using (k) group by 1),
+r as (select d.doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resampling.SEED}:' || d.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score from d left join w using (doc_id)),
+o as (select *, row_number() over (partition by n_features >= {resampling.MIN_WORDS} order by score desc, doc_id) as place, count(*) filter (n_features >= {resampling.MIN_WORDS}) over () as n from r)
+select doc_id, n_features, weight, score, case when n_features >= {resampling.MIN_WORDS} and place <= n * {resampling.PERCENT} // 100 then place end as rank from o"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op4_line_dedup": OP4, "op8_warc_revisits": OP8, "op9_ngram_jaccard_join": OP9}
+    return {"op1_quality_rules": OP1, "op4_line_dedup": OP4, "op8_warc_revisits": OP8, "op9_ngram_jaccard_join": OP9, "op11_periodic_runs": OP11, "op13_importance_resampling": OP13}

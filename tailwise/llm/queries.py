@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tailwise.llm import bytebpe, idfile, linededup, ngramjoin, orderminhash, packing, quality, resharding, revisits, secrets
+from tailwise.llm import bytebpe, idfile, languages, linededup, ngramjoin, orderminhash, packing, periodic, quality, resampling, resharding, revisits, secrets
 from tailwise.llm.common import documents
 
 
@@ -65,5 +65,19 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.collapse(periodic.planted(documents(spark, sf_dir))))
+
+
+def op12_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = languages.predict(docs, *languages.learn(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_byte_level_bpe, op3_min_cost_flow_resharding, op4_line_dedup, op5_best_fit_packing, op6_order_minhash, op7_secret_scans, op8_warc_revisits, op9_ngram_jaccard_join, op10_token_id_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_byte_level_bpe, op3_min_cost_flow_resharding, op4_line_dedup, op5_best_fit_packing, op6_order_minhash, op7_secret_scans, op8_warc_revisits, op9_ngram_jaccard_join, op10_token_id_files, op11_periodic_runs, op12_language_mixtures, op13_importance_resampling)}
