@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,22 +10,36 @@ def col(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
+def _target(target) -> Column:
+    return target.cast("double") if isinstance(target, Column) else F.lit(float(target))
+
+
+def _beyond(gap: Column, degree: float) -> Column:
+    """max(0, gap) ** degree; NULL where gap is, NaN where it is NaN."""
+    d = F.when(gap > 0, gap).when(gap <= 0, F.lit(0.0))
+    return d if degree == 1 else d * d if degree == 2 else F.pow(d, F.lit(float(degree)))
+
+
 def lower_dev(x: Column | str, target, degree: float) -> Column:
-    """max(0, target - x) ** degree; degree 0 counts x <= target."""
-    x, t = col(x), target.cast("double") if isinstance(target, Column) else F.lit(float(target))
+    """max(0, target - x) ** degree; degree 0 counts x <= target. NULL, which no average counts, where x or target is NULL;
+    a NaN is on neither side in degree 0 and makes the others NaN."""
+    x, t = col(x), _target(target)
     if degree == 0:
-        return F.when(x <= t, 1.0).otherwise(0.0)
-    d = F.greatest(F.lit(0.0), t - x)
-    return d if degree == 1 else d * d if degree == 2 else F.pow(d, F.lit(float(degree)))
+        return F.when(F.isnan(x) | F.isnan(t), 0.0).when(x <= t, 1.0).when(x > t, 0.0)
+    return _beyond(t - x, degree)
 
 
 def upper_dev(x: Column | str, target, degree: float) -> Column:
-    """max(0, x - target) ** degree; degree 0 counts x > target."""
-    x, t = col(x), target.cast("double") if isinstance(target, Column) else F.lit(float(target))
+    """max(0, x - target) ** degree; degree 0 counts x > target. NULL and NaN as in lower_dev."""
+    x, t = col(x), _target(target)
     if degree == 0:
-        return F.when(x > t, 1.0).otherwise(0.0)
-    d = F.greatest(F.lit(0.0), x - t)
-    return d if degree == 1 else d * d if degree == 2 else F.pow(d, F.lit(float(degree)))
+        return F.when(F.isnan(x) | F.isnan(t), 0.0).when(x <= t, 0.0).when(x > t, 1.0)
+    return _beyond(x - t, degree)
+
+
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that have a value in every column."""
+    return df.dropna(subset=columns)
 
 
 def lpm(x, target, degree: float) -> Column:

@@ -13,7 +13,7 @@ from tailwise.operators.moments import with_group_means
 def gravity(df: DataFrame, column: str, groups: list[str] = (), discrete: bool = False) -> DataFrame:
     """Mean of the median, the modal bin's centre, the mean and the midhinge; bins by quartile width."""
     groups = list(groups)
-    rows = cumulative(df.where(finite(column)), column, groups, {"n": F.lit(1).cast("long"), "s": col(column)})
+    rows = cumulative(df.where(finite(column)), column, groups, powers=1)
     # Order statistics: the least value with enough values up to it.
     at = lambda k: F.min(F.when(F.col("n_le") >= k, F.col("v")))
     n = F.col("n_all")
@@ -21,7 +21,7 @@ def gravity(df: DataFrame, column: str, groups: list[str] = (), discrete: bool =
     lo = lambda q: F.greatest(F.lit(1), F.floor(n * q))
     hi = lambda q: F.least(F.greatest(F.lit(1), F.ceil(n * q)), n)
     stats = rows.groupBy(*groups).agg(
-        F.max("n_all").alias("n_all"), F.min("v").alias("low"), F.max("v").alias("high"), (F.max("s_all") / F.max("n_all")).alias("mean"),
+        F.max("n_all").alias("n_all"), F.min("v").alias("low"), F.max("v").alias("high"), (F.max("c") + F.max("s1_all") / F.max("n_all")).alias("mean"),
         *[at(f(q)).alias(f"{name}{int(q * 100)}") for q in (0.25, 0.5, 0.75) for name, f in (("f", lo), ("c", hi))],
     )
     part = lambda q: F.when(even, F.col(f"f{int(q * 100)}")).otherwise(F.col(f"f{int(q * 100)}") + (n * q - F.floor(n * q)) * (F.col(f"c{int(q * 100)}") - F.col(f"f{int(q * 100)}")))

@@ -1,59 +1,97 @@
-"""Running counts and sums over sorted values of groups, in parallel within a group too."""
+"""Running counts and centred power sums over sorted values of groups, in parallel within a group too."""
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailwise.functions.expr import col
 
-#: Value ranges of a group that are summed on their own.
-RANGES = 64
-#: With more groups than this, a window per group is parallel enough.
-FEW_GROUPS = 1000
+#: A group with more distinct values than this is cut into value ranges, whatever the number of groups.
+SPLIT = 100_000
+#: Value ranges of a large group: FANOUT times as many as are told apart first.
+FANOUT = 32
+RANGES = FANOUT * FANOUT
 
 
-def cumulative(df: DataFrame, value: str, groups: list[str], measures: dict[str, Column]) -> DataFrame:
-    """groups, v (distinct values), and for each measure <name> its sum at v, <name>_le up to v and <name>_all.
+def same(left: list[str], right: list[str]) -> Column:
+    """Null-safe equality of two lists of columns."""
+    out = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
 
-    Ties are one row, so frames are inclusive. A few large groups are cut into value ranges at approximate
-    quantiles; ranges are summed first and their totals carried, so no group's sort is one task's work."""
-    base = df.select(*groups, col(value).alias("v"), *[m.alias(k) for k, m in measures.items()]).where("v is not null")
-    base = base.groupBy(*groups, "v").agg(*[F.sum(k).alias(k) for k in measures])
-    keys = [F.col(g) for g in groups]
-    cuts = base.groupBy(*groups).agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 1000).alias("_cuts"))
-    if groups:
-        cuts = cuts.withColumnsRenamed({g: f"_g_{g}" for g in groups})
-        if cuts.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
-            base = base.join(F.broadcast(cuts), [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]).drop(*[f"_g_{g}" for g in groups])
-            part = F.size(F.filter("_cuts", lambda c: c < F.col("v")))
-        else:
-            part = F.lit(0)
-    else:
-        base = base.join(F.broadcast(cuts))
-        part = F.size(F.filter("_cuts", lambda c: c < F.col("v")))
-    base = base.withColumn("_part", part).drop("_cuts")
-    totals = base.groupBy(*groups, "_part").agg(*[F.sum(k).alias(f"_s_{k}") for k in measures])
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    totals = totals.select(*groups, "_part", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in measures], *[F.sum(f"_s_{k}").over(whole).alias(f"{k}_all") for k in measures])
-    inside = Window.partitionBy(*keys, "_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = base.select("*", *[F.sum(k).over(inside).alias(f"{k}_le") for k in measures])
-    totals = totals.withColumnsRenamed({c: f"_t_{c}" for c in [*groups, "_part"]})
-    on = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in [*groups, "_part"]]
-    run = run.join(totals, on)
-    return run.select(*groups, "v", *measures, *[(F.col(f"{k}_le") + F.col(f"_b_{k}")).alias(f"{k}_le") for k in measures], *[f"{k}_all" for k in measures])
-
-
-def power_sums(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
-    """cumulative with n (count), s1 (sum) and s2 (sum of squares)."""
+
+def beside(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """df with other's columns of the same keys; other has a row a key. Which side is sent is left to the optimizer, which
+    knows the sizes by then; a table of one row is sent."""
+    if not keys:
+        return df.join(F.broadcast(other))
+    other = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    return df.join(other, same(keys, [f"_k_{k}" for k in keys])).drop(*[f"_k_{k}" for k in keys])
+
+
+def powers_of(x: Column, most: int) -> list[Column]:
+    """x ** 1 .. x ** most."""
+    out = [x]
+    while len(out) < most:
+        out.append(out[-1] * x)
+    return out[:most]
+
+
+def _range_of(v: Column) -> Column:
+    """The number of cuts below v: among every FANOUT-th first, then among the ones between two of those."""
+    coarse = F.size(F.filter("_coarse", lambda c: c < v))
+    fine = F.size(F.filter(F.slice("_cuts", coarse * FANOUT + 1, FANOUT - 1), lambda c: c < v))
+    return F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(coarse * FANOUT + fine)
+
+
+def cumulative(df: DataFrame, value: str, groups: list[str] = (), measures: dict[str, Column] | None = None, powers: int = 0, centred: bool = True) -> DataFrame:
+    """groups, v (distinct values), v_after (the next one), c (the group's centre), and for each measure <name> its sum at
+    v, <name>_le up to v and <name>_all. Measures are n (rows, unless given), those given, d (1 for each distinct value),
+    and with powers s1, s2, ...: sums of (v - c) ** k, weighted by n, so that no digits are lost far from 0.
+
+    Ties are one row, so frames are inclusive. Groups with many values are cut into ranges at approximate quantiles;
+    ranges are summed first and their totals carried, so no group's sort is one task's work. NULL and NaN are left out."""
+    groups, measures = list(groups), {"n": F.lit(1).cast("long")} | (measures or {})
     x = col(value)
-    return cumulative(df, value, groups, {"n": F.lit(1).cast("long"), "s1": x, "s2": x * x})
+    base = df.select(*groups, x.alias("v"), *[m.alias(k) for k, m in measures.items()]).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    base = base.groupBy(*groups, "v").agg(*[F.sum(k).alias(k) for k in measures])
+    inner = F.when((F.col("n") > 0) & (F.abs("v") < float("inf")), F.col("v"))
+    stats = base.groupBy(*groups).agg(
+        (F.coalesce(F.avg(inner), F.lit(0.0)) if centred else F.lit(0.0)).alias("c"),
+        F.when(F.count("*") > SPLIT, F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 10_000)).alias("_cuts"),
+    )
+    stats = stats.withColumn("_coarse", F.transform(F.sequence(F.lit(FANOUT), F.lit(RANGES - FANOUT), F.lit(FANOUT)), lambda k: F.element_at("_cuts", k)))
+    base = beside(base, stats, groups).withColumn("_part", _range_of(F.col("v"))).drop("_cuts", "_coarse")
+    names = [*measures, "d", *[f"s{k}" for k in range(1, powers + 1)]]
+    own = {f"s{k + 1}": F.col("n") * p for k, p in enumerate(powers_of(F.col("v") - F.col("c"), powers))}
+    base = base.withColumns({"d": F.lit(1).cast("long")} | own)
+    totals = base.groupBy(*groups, "_part").agg(F.min("v").alias("_first"), *[F.sum(k).alias(f"_s_{k}") for k in names])
+    whole = Window.partitionBy(*[F.col(g) for g in groups])
+    ordered = whole.orderBy("_part")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*groups, "_part", F.lead("_first").over(ordered).alias("_first"), *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in names], *[F.sum(f"_s_{k}").over(whole).alias(f"{k}_all") for k in names])
+    inside = Window.partitionBy(*[F.col(g) for g in groups], "_part").orderBy("v")
+    run = base.select("*", F.lead("v").over(inside).alias("_after"), *[F.sum(k).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{k}_le") for k in names])
+    run = beside(run, totals, [*groups, "_part"])
+    return run.select(*groups, "v", F.coalesce("_after", "_first").alias("v_after"), "c", *names, *[(F.col(f"{k}_le") + F.col(f"_b_{k}")).alias(f"{k}_le") for k in names], *[f"{k}_all" for k in names])
+
+
+def side_sum(degree: int, at: Column, sums: list[Column], le: bool = True) -> Column:
+    """Sum of (at - x) ** degree (or (x - at) ** degree) from x's power sums of 0 .. degree; not below 0, which only
+    rounding gives."""
+    out, u = F.lit(0.0), [F.lit(1.0), *powers_of(at, degree)]
+    for k in range(degree + 1):
+        sign = (-1) ** (k if le else degree - k)
+        out = out + sign * comb(degree, k) * sums[k] * u[degree - k]
+    return F.when(out < 0, 0.0).otherwise(out) if degree else out
 
 
 def lpm_at(degree: int, le: bool = True) -> Column:
-    """Lower (or upper) partial moment of degree 0, 1 or 2 at v from power sums."""
-    n, s1, s2 = (F.col(f"{k}_le") if le else F.col(f"{k}_all") - F.col(f"{k}_le") for k in ("n", "s1", "s2"))
-    v = F.col("v")
-    terms = {0: n.cast("double"), 1: v * n - s1 if le else s1 - v * n, 2: v * v * n - 2 * v * s1 + s2}
-    return terms[degree] / F.col("n_all")
+    """Lower (or upper) partial moment of an integer degree at v from cumulative's power sums; NULL without rows."""
+    names = ["n", *[f"s{k}" for k in range(1, degree + 1)]]
+    sums = [F.col(f"{k}_le") if le else F.col(f"{k}_all") - F.col(f"{k}_le") for k in names]
+    return F.try_divide(side_sum(degree, F.col("v") - F.col("c"), sums, le), F.col("n_all").cast("double"))

@@ -1,74 +1,156 @@
-"""Stochastic superiority and dominance between the groups of a column."""
+"""Stochastic superiority and dominance between the groups of a column: names, and pairs of names, are rows."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailwise.functions.expr import col
-from tailwise.operators.cumulative import cumulative
+from tailwise.operators.cumulative import beside, cumulative, side_sum
+from tailwise.sources.staging import step
+
+#: Distinct values of a name in a block of the common grid, on average.
+BLOCK = 16
+STATE = ["n", "s1", "s2"]
+
+
+def _rows(df: DataFrame, group: str, value: str, names: list[str] | None, by: list[str]) -> DataFrame:
+    """by, name, x: values around one common centre, so that sums of squares keep their digits."""
+    if names is not None:
+        df = df.where(F.col(group).isin(names))
+    rows = df.select(*by, F.col(group).alias("name"), col(value).alias("x")).where(F.col("name").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x"))
+    middle = rows.agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("_m"))
+    return rows.join(F.broadcast(middle)).withColumn("x", F.col("x") - F.col("_m")).drop("_m")
+
+
+def chunks(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, block, name, n_all, least, mean, edge, before, own: the curve of each name in each block of the grid of all
+    names' values. own has the name's distinct values there (v, n_at, and n, s1, s2 up to v), before the sums up to the
+    block, edge is the block's first value. Blocks hold BLOCK values a name on average; equal values share one."""
+    sums = cumulative(rows, "x", [*by, "name"], powers=2, centred=False)
+    own = F.struct("v", F.col("n").alias("n_at"), *[F.col(f"{k}_le").alias(k) for k in STATE])
+    flat = step(sums.select(*by, "name", "v", "n_all", (F.col("s1_all") / F.col("n_all")).alias("mean"), own.alias("own")), "curves")
+    place = cumulative(flat.select(*by, "v"), "v", by)
+    many = flat.groupBy(*by).agg(F.count_distinct("name").alias("_many"))
+    place = beside(place.select(*by, "v", (F.col("n_le") - F.col("n")).alias("_rank")), many, by)
+    place = place.select(*by, "v", F.floor(F.col("_rank") / (BLOCK * F.col("_many"))).alias("block"))
+    placed = beside(flat, place, [*by, "v"])
+    held = placed.groupBy(*by, "block", "name").agg(F.sort_array(F.collect_list("own")).alias("own"))
+    each = placed.groupBy(*by, "name").agg(F.max("n_all").alias("n_all"), F.max("mean").alias("mean"), F.min("v").alias("least"))
+    edges = place.groupBy(*by, "block").agg(F.min("v").alias("edge"))
+    keys = [*by, "block", "name"]
+    every = each.join(edges, by) if by else each.join(F.broadcast(edges))  # names x blocks, of which there are rows / (BLOCK * names)
+    every = every.join(held.withColumnsRenamed({k: f"_k_{k}" for k in keys}), _equal(keys), "left").drop(*[f"_k_{k}" for k in keys])
+    earlier = Window.partitionBy(*[F.col(k) for k in [*by, "name"]]).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.element_at("own", -1), True).over(earlier)
+    nothing = F.struct(F.lit(None).cast("double").alias("v"), *[F.lit(0).cast("long").alias(k) for k in ("n_at", "n")], *[F.lit(0.0).alias(k) for k in ("s1", "s2")])
+    before = F.coalesce(last, nothing)
+    none = F.filter(F.array(F.element_at("own", -1)), lambda _: F.lit(False))
+    return step(every.select(*keys, "n_all", "mean", "least", "edge", before.alias("before"), F.coalesce("own", none).alias("own")), "chunks")
+
+
+def _equal(keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return out
 
 
-def panel(df: DataFrame, group: str, value: str, names: list[str]) -> DataFrame:
-    """Counts and sums of every named group on the common grid of values: one sort for all pairs."""
-    x, measures = col(value), {}
-    for k, name in enumerate(names):
-        own = F.col(group) == name
-        measures |= {f"n{k}": F.when(own, 1).otherwise(0).cast("long"), f"s{k}": F.when(own, x).otherwise(0.0), f"q{k}": F.when(own, x * x).otherwise(0.0)}
-    return cumulative(df.where(F.col(group).isin(names)), value, [], measures)
+def _sides(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Each unordered pair of names in each block, side by side as a and b."""
+    side = lambda s: parts.select(*[F.col(k).alias(f"_{s}_{k}") for k in [*by, "block"]], F.col("name").alias(s), F.struct("n_all", "mean", "least", "edge", "before", "own").alias(f"_{s}"))
+    on = F.col("_a_block") == F.col("_b_block")
+    for k in by:
+        on = on & (F.col(f"_a_{k}") == F.col(f"_b_{k}"))
+    return side("a").join(side("b"), on & (F.col("a") < F.col("b"))).select(*[F.col(f"_a_{k}").alias(k) for k in by], "a", "b", "_a", "_b")
 
 
-def _curve(k: int, degree: int):
-    """LPM of degree - 1 of group k at v."""
-    n, s, q, v = F.col(f"n{k}_le"), F.col(f"s{k}_le"), F.col(f"q{k}_le"), F.col("v")
-    up = {1: n.cast("double"), 2: v * n - s, 3: v * v * n - 2 * v * s + q}[degree]
-    return up / F.col(f"n{k}_all")
+def _at(curve: str, v: Column, use) -> Column:
+    """use applied to the sums of a chunk up to v. A one-element array binds them to a name: they are looked up once."""
+    found = F.coalesce(F.try_element_at(F.filter(F.col(f"{curve}.own"), lambda e: e["v"] <= v), F.lit(-1)), F.col(f"{curve}.before"))
+    return F.get(F.transform(F.array(found), use), F.lit(0))
 
 
-def _pairs(names: list[str]) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(names)) for j in range(len(names)) if i != j]
+def _height(state: Column, v: Column, n_all: Column, degree: int) -> Column:
+    """The curve of the degree (LPM of degree - 1) at v from the sums of the values up to it."""
+    return side_sum(degree - 1, v, [state[k] for k in STATE]) / n_all
 
 
-def superiority(df: DataFrame, group: str, value: str, names: list[str]) -> DataFrame:
+def superiority(df: DataFrame, group: str, value: str, names: list[str] | None = None) -> DataFrame:
     """x, y, p_gt = P(X > Y), p_tie, p_star = p_gt + p_tie / 2 for each ordered pair."""
-    grid = panel(df, group, value, names)
-    cells = []
-    for i, j in _pairs(names):
-        size = F.max(F.col(f"n{i}_all").cast("double") * F.col(f"n{j}_all"))
-        greater = F.sum(F.col(f"n{i}").cast("double") * (F.col(f"n{j}_le") - F.col(f"n{j}"))) / size
-        tie = F.sum(F.col(f"n{i}").cast("double") * F.col(f"n{j}")) / size
-        cells.append(F.struct(F.lit(names[i]).alias("x"), F.lit(names[j]).alias("y"), greater.alias("p_gt"), tie.alias("p_tie")))
-    return grid.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*", (F.col("c.p_gt") + 0.5 * F.col("c.p_tie")).alias("p_star"))
-
-
-def dominance(df: DataFrame, group: str, value: str, names: list[str], degree: int, tolerance: float = 0.0) -> DataFrame:
-    """x, y, dominates: x stands at or below y everywhere on the curve of the degree (1: ECDF, 2 and 3: LPM of
-    degree 1 and 2), with no lower minimum and, from degree 2, no lower mean. Samples may differ in size.
-    tolerance is what sums of doubles in another order may differ by, relative to the curve."""
-    grid = panel(df, group, value, names)
-    cells = []
-    for i, j in _pairs(names):
-        a, b = _curve(i, degree), _curve(j, degree)
-        above = F.max(F.when(a - b > tolerance * F.abs(b), 1).otherwise(0)) == 1
-        differ = F.max(F.when(F.abs(a - b) > tolerance * F.abs(b), 1).otherwise(0)) == 1
-        low = lambda k: F.min(F.when(F.col(f"n{k}") > 0, F.col("v")))
-        mean = lambda k: F.max(F.col(f"s{k}_all") / F.col(f"n{k}_all"))
-        ok = differ & ~above & (low(i) >= low(j))
-        if degree > 1:
-            ok = ok & (mean(i) >= mean(j))
-        cells.append(F.struct(F.lit(names[i]).alias("x"), F.lit(names[j]).alias("y"), ok.alias("dominates")))
-    return grid.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
-
-
-def efficient_order(df: DataFrame, group: str, value: str, names: list[str], degree: int) -> list[str]:
-    """Names in the order of their LPM at the greatest value, ties by place."""
-    x = col(value)
-    top = df.where(F.col(group).isin(names)).agg(F.max(x)).first()[0]
-    rows = df.where(F.col(group).isin(names)).groupBy(group).agg(F.avg(F.pow(top - x, F.lit(float(degree)))).alias("l")).collect()  # a row per name
-    at = {r[group]: r["l"] for r in rows}
-    return sorted(names, key=lambda n: (at[n], names.index(n)))
+    pairs = _sides(chunks(_rows(df, group, value, names, []), []), [])
+
+    def met(e: Column) -> Column:
+        n = _at("_b", e["v"], lambda s: s["n"])
+        tie = F.coalesce(F.get(F.filter(F.col("_b.own"), lambda f: f["v"] == e["v"]), F.lit(0))["n_at"], F.lit(0))
+        weight = e["n_at"].cast("double")
+        return F.struct((weight * (n - tie)).alias("more"), (weight * tie).alias("tie"))
+
+    add = lambda field: F.aggregate(F.col("_p"), F.lit(0.0), lambda t, m: t + m[field])
+    size = (F.col("_a.n_all").cast("double") * F.col("_b.n_all")).alias("size")
+    counted = pairs.select("a", "b", size, F.transform("_a.own", met).alias("_p")).select("a", "b", "size", add("more").alias("more"), add("tie").alias("tie"))
+    each = counted.groupBy("a", "b").agg((F.sum("more") / F.max("size")).alias("more"), (F.sum("tie") / F.max("size")).alias("tie"))
+    ways = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), F.col("more").alias("p_gt"), F.col("tie").alias("p_tie")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), (1 - F.col("more") - F.col("tie")).alias("p_gt"), F.col("tie").alias("p_tie")))
+    return each.select(F.explode(ways).alias("c")).select("c.*", (F.col("c.p_gt") + 0.5 * F.col("c.p_tie")).alias("p_star"))
+
+
+def dominance(df: DataFrame, group: str, value: str, names: list[str] | None = None, degree: int = 1, tolerance: float = 0.0, by: list[str] = ()) -> DataFrame:
+    """by, x, y, dominates: x stands at or below y at every value of the two on the curve of the degree (1: ECDF, 2 and 3:
+    LPM of degree 1 and 2), with no lower minimum and, from degree 2, no lower mean. Samples may differ in size; by gives
+    each value of those columns pairs of its own. tolerance is what sums of doubles in another order may differ by,
+    relative to the curve.
+
+    Pairs are rows: the plan has the same size for any number of names. Up to degree 2 a curve is linear between values,
+    so pairs that cross at the blocks' edges, neither of which can dominate, go before any value is compared."""
+    by = list(by)
+    parts = chunks(_rows(df, group, value, names, by), by)
+    pairs = _sides(parts, by)
+    over = lambda a, b: a - b > tolerance * F.abs(b)
+    if degree < 3:
+        edge = lambda s: _height(F.col(f"_{s}.before"), F.col("_a.edge"), F.col(f"_{s}.n_all"), degree)
+        crossed = pairs.select(*by, "a", "b", over(edge("a"), edge("b")).alias("_i"), over(edge("b"), edge("a")).alias("_j")).groupBy(*by, "a", "b").agg(F.bool_or("_i").alias("_i"), F.bool_or("_j").alias("_j"))
+        pairs = beside(pairs, crossed.where(~(F.col("_i") & F.col("_j"))).drop("_i", "_j"), [*by, "a", "b"])
+
+    def one(s: str, v: Column) -> Column:
+        return _at(f"_{s}", v, lambda state: _height(state, v, F.col(f"_{s}.n_all"), degree))
+
+    def both(e: Column) -> Column:
+        return F.struct(*[one(s, e["v"]).alias(s) for s in "ab"])
+
+    met = pairs.select(*by, "a", "b", "_a.mean", "_a.least", F.col("_b.mean").alias("mean_b"), F.col("_b.least").alias("least_b"), F.transform(F.concat("_a.own", "_b.own"), both).alias("_p"))
+    some = lambda test: F.exists("_p", test)
+    met = met.select(
+        *by, "a", "b", "mean", "least", "mean_b", "least_b",
+        some(lambda p: over(p["a"], p["b"])).alias("_i"), some(lambda p: over(p["b"], p["a"])).alias("_j"),
+        some(lambda p: F.abs(p["a"] - p["b"]) > tolerance * F.abs(p["b"])).alias("_di"), some(lambda p: F.abs(p["a"] - p["b"]) > tolerance * F.abs(p["a"])).alias("_dj"),
+    )
+    met = met.groupBy(*by, "a", "b").agg(*[F.bool_or(c).alias(c) for c in ("_i", "_j", "_di", "_dj")], *[F.max(c).alias(c) for c in ("mean", "least", "mean_b", "least_b")])
+    fits = lambda s, t: (F.col(f"least{s}") >= F.col(f"least{t}")) & ((F.col(f"mean{s}") >= F.col(f"mean{t}")) if degree > 1 else F.lit(True))
+    met = met.select(*by, "a", "b", (F.col("_di") & ~F.col("_i") & fits("", "_b")).alias("_i"), (F.col("_dj") & ~F.col("_j") & fits("_b", "")).alias("_j"))
+    found = met.select(*by, F.explode(F.array(*[F.struct(F.col(s).alias("x"), F.col(t).alias("y"), F.col(f).alias("dominates")) for s, t, f in (("a", "b", "_i"), ("b", "a", "_j"))])).alias("c")).select(*by, "c.*")
+    if degree > 2:
+        return found
+    lost = crossed.where(F.col("_i") & F.col("_j")).select(*by, F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("c")).select(*by, "c.*", F.lit(False).alias("dominates"))
+    return found.unionByName(lost)
+
+
+def _moments(df: DataFrame, group: str, value: str, names: list[str]) -> dict[str, dict]:
+    """n, greatest value and power sums of each name around the common centre: a row a name, in one job."""
+    x = F.col("x")
+    rows = _rows(df, group, value, names, [])
+    found = rows.groupBy("name").agg(F.count("*").alias("n"), F.max("x").alias("top"), F.sum(x).alias("s1"), F.sum(x * x).alias("s2"), F.sum(x * x * x).alias("s3")).collect()
+    return {r["name"]: r.asDict() for r in found}
+
+
+def _order(left: list[str], at: dict[str, dict], degree: int) -> list[str]:
+    """Names in the order of their LPM at the greatest value of those left, ties by place."""
+    t = max((at[n]["top"] for n in left), default=0.0)
+
+    def height(m: dict) -> float:
+        return {1: t * m["n"] - m["s1"], 2: t * t * m["n"] - 2 * t * m["s1"] + m["s2"], 3: t**3 * m["n"] - 3 * t * t * m["s1"] + 3 * t * m["s2"] - m["s3"]}[degree] / m["n"]
+
+    return sorted(left, key=lambda n: (height(at[n]), left.index(n)))
 
 
 def peel(order: list[str], edges: set[tuple[str, str]]) -> list[str]:
@@ -80,17 +162,23 @@ def peel(order: list[str], edges: set[tuple[str, str]]) -> list[str]:
     return kept
 
 
+def _edges(df: DataFrame, group: str, value: str, names: list[str], degree: int, tolerance: float) -> set[tuple[str, str]]:
+    return {(r["x"], r["y"]) for r in dominance(df, group, value, names, degree, tolerance).where("dominates").collect()}  # pairs of names
+
+
 def efficient_set(df: DataFrame, group: str, value: str, names: list[str], degree: int, tolerance: float = 0.0) -> list[str]:
-    edges = {(r["x"], r["y"]) for r in dominance(df, group, value, names, degree, tolerance).where("dominates").collect()}  # pairs of names
-    return peel(efficient_order(df, group, value, names, degree), edges)
+    """Names that no other dominates, in the order of their LPM at the greatest value."""
+    at = _moments(df, group, value, names)
+    return peel(_order([n for n in names if n in at], at, degree), _edges(df, group, value, names, degree, tolerance))
 
 
 def clusters(df: DataFrame, group: str, value: str, names: list[str], degree: int, min_cluster: int = 1, tolerance: float = 0.0) -> list[list[str]]:
-    """Efficient sets taken off one after another; a last part below min_cluster joins the one before."""
-    edges = {(r["x"], r["y"]) for r in dominance(df, group, value, names, degree, tolerance).where("dominates").collect()}
-    left, out = list(names), []
+    """Efficient sets taken off one after another; a last part below min_cluster joins the one before. Two jobs, whatever
+    the number of sets."""
+    at, edges = _moments(df, group, value, names), _edges(df, group, value, names, degree, tolerance)
+    left, out = [n for n in names if n in at], []
     while left:
-        own = peel(efficient_order(df, group, value, left, degree), edges)
+        own = peel(_order(left, at, degree), edges)
         left = [n for n in left if n not in own]
         if out and len(own) < min_cluster:
             out[-1] += own
@@ -99,43 +187,27 @@ def clusters(df: DataFrame, group: str, value: str, names: list[str], degree: in
     return out
 
 
-def _layers(names: list[str], samples: list[np.ndarray], degree: int, tolerance: float) -> list[list[str]]:
-    """clusters() of samples in memory."""
-    grid = np.unique(np.concatenate(samples))
-    curves = []
-    for v in samples:
-        s = np.sort(v)
-        k = np.searchsorted(s, grid, side="right")
-        n, a, b = k.astype(float), np.r_[0, np.cumsum(s)][k], np.r_[0, np.cumsum(s * s)][k]
-        curves.append({1: n, 2: grid * n - a, 3: grid * grid * n - 2 * grid * a + b}[degree] / len(s))
-    order = sorted(range(len(names)), key=lambda i: (float(np.mean((grid[-1] - samples[i]) ** degree)), i))
-
-    def dominates(i: int, j: int) -> bool:
-        gap = curves[i] - curves[j]
-        slack = tolerance * np.abs(curves[j])
-        ok = not (gap > slack).any() and (np.abs(gap) > slack).any() and samples[i].min() >= samples[j].min()
-        return ok and (degree == 1 or samples[i].mean() >= samples[j].mean())
-
-    edges = {(names[i], names[j]) for i in order for j in order if i != j and dominates(i, j)}
-    left, out = [names[i] for i in order], []
-    while left:
-        out.append(peel(left, edges))
-        left = [n for n in left if n not in out[-1]]
-    return out
-
-
 def rolling_clusters(df: DataFrame, window: str, group: str, value: str, degree: int, tolerance: float = 0.0) -> DataFrame:
-    """window, group, cluster (1: the efficient set) in each window; a task per window. Rows of overlapping windows come
-    once for each."""
+    """window, group, cluster (1: the efficient set) in each window: one more than the longest chain of names above it.
+    Curves and pairs of all windows are rows of one job; a task sees a window's names and their pairs, never its rows.
+    Rows of overlapping windows come once for each."""
     kinds = dict(df.dtypes)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = {n: v.to_numpy() for n, v in pdf.groupby("_g", sort=True)["_v"]}
-        found = _layers(list(parts), list(parts.values()), degree, tolerance)
-        return pd.DataFrame([(key[0], n, k + 1) for k, own in enumerate(found) for n in own], columns=[window, group, "cluster"])
-
-    rows = df.select(window, F.col(group).alias("_g"), col(value).alias("_v")).dropna()
-    return rows.groupBy(window).applyInPandas(run, f"`{window}` {kinds[window]}, `{group}` {kinds[group]}, cluster int")
+    rows = df.where(F.col(window).isNotNull())
+    edges = dominance(rows, group, value, None, degree, tolerance, [window]).where("dominates").select(window, "x", "y")
+    alone = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(window, F.col(group).alias("x"), F.lit(None).cast(kinds[group]).alias("y")).distinct()
+
+    def layers(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        names, pairs = set(pdf["x"]), set(pdf.dropna()[["x", "y"]].itertuples(index=False, name=None))
+        out, level = [], 0
+        while names:
+            level += 1
+            beaten = {y for x, y in pairs if x in names and y in names}
+            own = names - beaten or names
+            out += [(key[0], n, level) for n in sorted(own)]
+            names -= own
+        return pd.DataFrame(out, columns=[window, group, "cluster"])
+
+    return edges.unionByName(alone).groupBy(window).applyInPandas(layers, f"`{window}` {kinds[window]}, `{group}` {kinds[group]}, cluster int")
 
 
 def turnover(sets: DataFrame, window: str, group: str) -> DataFrame:

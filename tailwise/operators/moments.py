@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tailwise.functions.expr import col, lower_dev, lpm, lpm_ratio, safe_ratio, upm, upm_ratio, upper_dev
+from tailwise.functions.expr import col, complete, lower_dev, lpm, lpm_ratio, safe_ratio, upm, upm_ratio, upper_dev
 
 #: Groups up to this many are sent to all tasks when rows need their group's mean; else the join shuffles.
 BROADCAST_GROUPS = 100_000
@@ -53,7 +53,7 @@ def moments(df: DataFrame, column: str, groups: list[str] = (), population: bool
     m = F.col(f"mean_{column}")
     side = lambda d: (upm(column, m, d), lpm(column, m, d))
     (u2, l2), (u3, l3), (u4, l4) = side(2), side(3), side(4)
-    base = df.groupBy(*groups).agg((F.avg(F.greatest(F.lit(0.0), x)) - F.avg(F.greatest(F.lit(0.0), -x))).alias("mean"), (u2 + l2).alias("v"), (u3 - l3).alias("s"), (u4 + l4).alias("k"), F.count(x).cast("double").alias("n"))
+    base = df.groupBy(*groups).agg(F.avg(x).alias("mean"), (u2 + l2).alias("v"), (u3 - l3).alias("s"), (u4 + l4).alias("k"), F.count(x).cast("double").alias("n"))
     n, v, s, k = (F.col(c) for c in "nvsk")
     if population:
         skew, kurt, var = safe_ratio(s, F.pow(v, 1.5)), safe_ratio(k, v * v) - 3, v
@@ -67,7 +67,8 @@ def moments(df: DataFrame, column: str, groups: list[str] = (), population: bool
 
 def co_moments(df: DataFrame, x: str, y: str, degree_lpm: float, degree_upm: float, groups: list[str] = (), target_x=None, target_y=None, degree_y: float | None = None) -> DataFrame:
     """clpm, cupm, dlpm (x above, y below) and dupm (x below, y above); targets default to the group's means. degree_y is
-    y's degree in clpm and cupm where it isn't x's."""
+    y's degree in clpm and cupm where it isn't x's. Rows without an x or y count nowhere, nor in the means."""
+    df = complete(df, [x, y])
     if target_x is None or target_y is None:
         df = with_group_means(df, [x, y], list(groups))
     tx = F.col(f"mean_{x}") if target_x is None else target_x
@@ -78,15 +79,17 @@ def co_moments(df: DataFrame, x: str, y: str, degree_lpm: float, degree_upm: flo
 
 
 def nd_terms(columns: list[str], targets: list[Column], degree: float) -> tuple[Column, Column, Column]:
-    """Row terms of the d-dimensional lower, upper (both inclusive) and discordant moments."""
+    """Row terms of the d-dimensional lower, upper (both inclusive) and discordant moments; NULL where a column or target
+    is."""
     diff = [col(c) - t for c, t in zip(columns, targets, strict=True)]
     every = lambda tests: _all(list(tests))
     product = F.lit(1.0)
     for d in diff:
         product = product * (F.lit(1.0) if degree == 0 else F.pow(F.abs(d), F.lit(float(degree))))
-    low = F.when(every(d <= 0 for d in diff), product).otherwise(0.0)
-    high = F.when(every(d >= 0 for d in diff), product).otherwise(0.0)
-    discordant = F.when(~(every(d < 0 for d in diff) | every(d > 0 for d in diff)), product).otherwise(0.0)
+    known = every(d.isNotNull() for d in diff)
+    low = F.when(every(d <= 0 for d in diff), product).when(known, 0.0)
+    high = F.when(every(d >= 0 for d in diff), product).when(known, 0.0)
+    discordant = F.when(every(d < 0 for d in diff) | every(d > 0 for d in diff), 0.0).when(known, product)
     return low, high, discordant
 
 
@@ -99,7 +102,8 @@ def _all(tests: list[Column]) -> Column:
 
 def co_moments_nd(df: DataFrame, columns: list[str], degree: float, groups: list[str] = (), norm: bool = True, targets: list | None = None) -> DataFrame:
     """co_lpm_nd, co_upm_nd, dpm_nd around targets (numbers or columns), the group's means by default; norm divides
-    degrees above 0 by their sum."""
+    degrees above 0 by their sum. Rows that lack a column count nowhere."""
+    df = complete(df, columns)
     if targets is None:
         df = with_group_means(df, columns, list(groups))
         targets = [F.col(f"mean_{c}") for c in columns]
@@ -126,10 +130,9 @@ def _averages(df: DataFrame, low: dict, up: dict, columns: list[str], groups: li
 
 
 def _products(df: DataFrame, low: dict, up: dict, columns: list[str], groups: list[str]) -> DataFrame:
-    """The same from matrix products of each batch of rows, summed: the plan doesn't grow with the columns. Rows with a
-    null count as 0 where they have none."""
+    """The same from matrix products of each batch of rows, summed: the plan doesn't grow with the columns."""
     d, names = len(columns), [f"_g{k}" for k in range(len(groups))]
-    rows = df.select(*[F.col(g).alias(n) for g, n in zip(groups, names, strict=True)], F.array(*[F.coalesce(low[c], F.lit(0.0)) for c in columns]).alias("l"), F.array(*[F.coalesce(up[c], F.lit(0.0)) for c in columns]).alias("u"))
+    rows = df.select(*[F.col(g).alias(n) for g, n in zip(groups, names, strict=True)], F.array(*[low[c] for c in columns]).alias("l"), F.array(*[up[c] for c in columns]).alias("u"))
     fields = "".join(f"{n} {t}, " for n, t in zip(names, (dict(df.dtypes)[g] for g in groups), strict=True))
 
     def run(batches):
@@ -159,7 +162,9 @@ def _products(df: DataFrame, low: dict, up: dict, columns: list[str], groups: li
 
 def pm_matrix(df: DataFrame, columns: list[str], degree_lpm: float, degree_upm: float, pop_adj: bool = False, norm: bool = False, groups: list[str] = ()) -> DataFrame:
     """Long form of the partial-moment matrices: row and column names, clpm, cupm, dlpm, dupm, covariance. One
-    pass over the data whatever the number of columns; the d * d averages become rows afterwards."""
+    pass over the data whatever the number of columns; the d * d averages become rows afterwards. Rows that lack a column
+    count nowhere."""
+    df = complete(df, columns)
     df = with_group_means(df, columns, list(groups))
     low = {c: lower_dev(c, F.col(f"mean_{c}"), degree_lpm) for c in columns}
     up = {c: upper_dev(c, F.col(f"mean_{c}"), degree_upm) for c in columns}
@@ -174,8 +179,10 @@ def pm_matrix(df: DataFrame, columns: list[str], degree_lpm: float, degree_upm:
 
 
 def copula(df: DataFrame, columns: list[str], groups: list[str] = (), continuous: bool = True) -> DataFrame:
-    """Dependence in 0..1 of d columns from co-moments of degrees 0 and 1 against independence."""
+    """Dependence in 0..1 of d columns from co-moments of degrees 0 and 1 against independence. Rows that lack a column
+    count nowhere."""
     d = len(columns)
+    df = complete(df, columns)
     df = with_group_means(df, columns, list(groups))
     means = {c: F.col(f"mean_{c}") for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

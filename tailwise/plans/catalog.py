@@ -42,7 +42,7 @@ def events(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 def _sides(x: str, t: str, d: int) -> tuple[str, str]:
     if d == 0:
         return f"avg(case when {x} <= {t} then 1::double else 0::double end)", f"avg(case when {x} > {t} then 1::double else 0::double end)"
-    return f"avg(greatest(0::double, {t} - {x}) ** {d})", f"avg(greatest(0::double, {x} - {t}) ** {d})"
+    return f"avg(case when {x} < {t} then ({t} - {x})::double ** {d} when {x} >= {t} then 0::double end)", f"avg(case when {x} > {t} then ({x} - {t})::double ** {d} when {x} <= {t} then 0::double end)"
 
 
 def _pm_sql() -> str:
@@ -97,7 +97,7 @@ def _xyz(spark, d):
     return items(spark, d, "l_returnflag", "l_quantity", "l_extendedprice", "l_discount").select("l_returnflag", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z"))
 
 
-_L, _U = "greatest(0::double, m{0} - {0})", "greatest(0::double, {0} - m{0})"
+_L, _U = ("case when {0} < m{0} then m{0} - {0} when {0} >= m{0} then 0::double end", "case when {0} > m{0} then {0} - m{0} when {0} <= m{0} then 0::double end")
 
 
 def _co(a: str, b: str) -> str:
@@ -234,6 +234,55 @@ def survival_multivariate(spark, d):
     return rounded(quantile.cdf_nd(m, ["x", "y"], m, "id", 1, "survival"))
 
 
+def _cdf3_sql(degree: int) -> str:
+    u = lambda c: f"(b.{c} - a.{c})"
+    p = " * ".join(f"abs({u(c)}) ** {degree}" for c in "xyz") if degree else "1::double"
+    low = " and ".join(f"b.{c} <= a.{c}" for c in "xyz")
+    return f"with {_MONTHS}, z as (select id, x, y, x * ((id * 7) % 5) as z from k) select a.id, round(sum(case when {low} then {p} else 0 end) / sum({p}), 6) as value from z a, z b group by 1"
+
+
+def _months3(spark, d):
+    return _months(spark, d).withColumn("z", F.col("x") * ((F.col("id") * 7) % 5))
+
+
+@query(_cdf3_sql(0))
+def cdf_three_columns(spark, d):
+    m = _months3(spark, d)
+    return rounded(quantile.cdf_nd(m, ["x", "y", "z"], m, "id"))
+
+
+@query(_cdf3_sql(2))
+def cdf_three_columns_deg2(spark, d):
+    m = _months3(spark, d)
+    return rounded(quantile.cdf_nd(m, ["x", "y", "z"], m, "id", 2))
+
+
+_AT_TARGETS = """with t as (select distinct o_totalprice / 1e4 as target from orders), g as (select distinct l_returnflag as f from lineitem),
+b as (select l_returnflag as f, l_quantity::double - 25 as v, count(*)::double as n from lineitem group by 1, 2),
+c as (select f, v, sum(n) over w as n0, sum(n * v) over w as n1, sum(n * v * v) over w as n2, sum(n * v * v * v) over w as n3, sum(n) over p as t0, sum(n * v) over p as t1, sum(n * v * v) over p as t2, sum(n * v * v * v) over p as t3 from b window w as (partition by f order by v), p as (partition by f)),
+j as (select g.f, t.target, t.target - 25 as a, coalesce(n0, 0) as n0, coalesce(n1, 0) as n1, coalesce(n2, 0) as n2, coalesce(n3, 0) as n3 from t cross join g asof left join c on c.f = g.f and c.v <= t.target - 25),
+k as (select j.*, s.* exclude (f) from j join (select f, any_value(t0) as t0, any_value(t1) as t1, any_value(t2) as t2, any_value(t3) as t3 from c group by 1) s on s.f = j.f),
+r as (select f, target, t0, n0 / t0 as l0, (a * n0 - n1) / t0 as l1, (t1 - n1 - a * (t0 - n0)) / t0 as u1, greatest(0, a ** 3 * n0 - 3 * a * a * n1 + 3 * a * n2 - n3) / t0 as l3, greatest(0, t3 - n3 - 3 * a * (t2 - n2) + 3 * a * a * (t1 - n1) - a ** 3 * (t0 - n0)) / t0 as u3 from k)
+"""
+
+
+def _price_targets(spark, d):
+    flags = items(spark, d, "l_returnflag").distinct()
+    return flags.join(table(spark, d, "orders", ["o_totalprice"]).select((F.col("o_totalprice") / 1e4).alias("target")).distinct())
+
+
+@query(_AT_TARGETS + "select f as l_returnflag, round(target, 6) as target, round(l0, 6) as lpm0, round(l1, 5) as lpm1, round(u1, 5) as upm1, round(u3, 3) as upm3, round(l3 / (l3 + u3), 6) as lpm_ratio3 from r")
+def pm_target_table(spark, d):
+    """A table of targets (the orders' prices) for each flag, in one sort."""
+    found = quantile.partial_moments_at(items(spark, d, "l_returnflag", "l_quantity"), "l_quantity", _price_targets(spark, d), "target", [0, 1, 3], ["l_returnflag"])
+    return found.select("l_returnflag", F.round("target", 6).alias("target"), F.round("lpm0", 6).alias("lpm0"), *[F.round(c, 5).alias(c) for c in ("lpm1", "upm1")], F.round("upm3", 3).alias("upm3"), F.round("lpm_ratio3", 6).alias("lpm_ratio3"))
+
+
+@query(_AT_TARGETS + ", e as (select l_returnflag as f, min(l_quantity) as lo, max(l_quantity) as hi from lineitem group by 1) select r.f as l_returnflag, round(target, 6) as target, case when target between lo and hi then round(1 - l3 / (l3 + u3), 6) end as S from r join e on e.f = r.f")
+def survival_deg3_at_targets(spark, d):
+    return rounded(quantile.cdf_at(items(spark, d, "l_returnflag", "l_quantity"), "l_quantity", _price_targets(spark, d), "target", 3, ["l_returnflag"], "survival"))
+
+
 @query(_XY + f"select l_returnflag, round(avg({_L.format('x')} * case when y <= my then 1::double else 0 end), 5) as clpm, round(avg({_U.format('x')} * case when y > my then 1::double else 0 end), 5) as cupm from r group by 1")
 def co_moments_two_degrees(spark, d):
     return rounded(moments.co_moments(_xyz(spark, d), "x", "y", 1, 1, ["l_returnflag"], degree_y=0).select("l_returnflag", "clpm", "cupm"), 5)
