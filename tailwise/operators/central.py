@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tailwise.functions.expr import col, finite, half_up, safe_ratio
 from tailwise.operators.cumulative import cumulative
 from tailwise.operators.moments import with_group_means
+from tailwise.sources.staging import step
 
 
 def gravity(df: DataFrame, column: str, groups: list[str] = (), discrete: bool = False) -> DataFrame:
     """Mean of the median, the modal bin's centre, the mean and the midhinge; bins by quartile width."""
     groups = list(groups)
-    rows = cumulative(df.where(finite(column)), column, groups, powers=1)
+    rows = step(cumulative(df.where(finite(column)), column, groups, powers=1).select(*groups, "v", "c", "n", "n_le", "n_all", "s1_all"), "sorted")
     # Order statistics: the least value with enough values up to it.
     at = lambda k: F.min(F.when(F.col("n_le") >= k, F.col("v")))
     n = F.col("n_all")
@@ -29,11 +30,12 @@ def gravity(df: DataFrame, column: str, groups: list[str] = (), discrete: bool =
     width = (F.col("q3") - F.col("q1")) / F.sqrt(n.cast("double"))
     stats = stats.withColumn("width", F.when(width > 0, width).otherwise((F.col("high") - F.col("low")) / 128))
     bins = F.least(F.greatest(F.floor(F.try_divide(F.col("high") - F.col("low"), F.col("width")) + 1e-12) + 1, F.lit(1)), 4 * n)
-    stats = stats.withColumn("bins", F.coalesce(bins, F.lit(1)).cast("long"))
+    stats = step(stats.withColumn("bins", F.coalesce(bins, F.lit(1)).cast("long")), "quartiles")
     keyed = stats.withColumnsRenamed({g: f"_g_{g}" for g in groups}).drop("n_all")
     binned = rows.join(keyed, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]) if groups else rows.join(F.broadcast(keyed))
     index = F.least(F.greatest(F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("width"))), F.lit(0)), F.lit(0)), F.col("bins") - 1)
     counts = binned.withColumn("bin", index).groupBy(*groups, "bin").agg(F.sum("n").alias("c"), F.first("low").alias("low"), F.first("width").alias("width"))
+    counts = step(counts, "bins")
     most = counts.groupBy(*groups).agg(F.max("c").alias("top"), F.max(F.struct("c", "bin"))["bin"].alias("_bin")).withColumnsRenamed({g: f"_g_{g}" for g in groups})
     on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
     counts = counts.join(most, on) if groups else counts.join(F.broadcast(most))
@@ -72,21 +74,3 @@ def rescale_riskneutral(df: DataFrame, column: str, a: float, b: float, maturity
         raise ValueError("a must be positive")
     target = F.lit(float(a)) if kind == "Discounted" else a * F.exp(F.lit(float(b) * float(maturity)))
     return with_group_means(df, [column], list(groups)).withColumn("rescaled", col(column) * safe_ratio(target, F.col(f"mean_{column}"))).drop(f"mean_{column}")
-
-
-def norm_scales(df: DataFrame, columns: list[str], linear: bool = False) -> DataFrame:
-    """The factor of each column that brings them to a common scale: mean ratios, weighted by |correlation| unless
-    linear. One aggregation."""
-    aggs = [F.avg(col(c)).alias(f"m|{c}") for c in columns]
-    if not linear:
-        aggs += [F.abs(F.corr(col(a), col(b))).alias(f"r|{a}|{b}") for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = df.agg(*aggs)
-    mean = {c: F.when(F.col(f"`m|{c}`") == 0, 1e-10).otherwise(F.col(f"`m|{c}`")) for c in columns}
-    weight = lambda a, b: F.lit(1.0) if linear or a == b else F.col(f"`r|{min(a, b, key=columns.index)}|{max(a, b, key=columns.index)}`")
-    cells = []
-    for c in columns:
-        total = F.lit(0.0)
-        for a in columns:
-            total = total + mean[a] / mean[c] * weight(a, c)
-        cells.append(F.struct(F.lit(c).alias("column"), (total / len(columns)).alias("scale")))
-    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tailwise.functions.expr import col
 
 #: A group with more distinct values than this is cut into value ranges, whatever the number of groups.
-SPLIT = 100_000
-#: Value ranges of a large group: FANOUT times as many as are told apart first.
-FANOUT = 32
-RANGES = FANOUT * FANOUT
+SPLIT = 1_000_000
+#: Value ranges of a large group, found in three steps of FANOUT.
+FANOUT = 10
+RANGES = FANOUT**3
 
 
 def same(left: list[str], right: list[str]) -> Column:
@@ -42,10 +42,11 @@ def powers_of(x: Column, most: int) -> list[Column]:
 
 
 def _range_of(v: Column) -> Column:
-    """The number of cuts below v: among every FANOUT-th first, then among the ones between two of those."""
-    coarse = F.size(F.filter("_coarse", lambda c: c < v))
-    fine = F.size(F.filter(F.slice("_cuts", coarse * FANOUT + 1, FANOUT - 1), lambda c: c < v))
-    return F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(coarse * FANOUT + fine)
+    """The number of cuts below v: among every FANOUT ** 2-th first, then among the ones between two of those, ..."""
+    below = F.size(F.filter("_cuts_2", lambda c: c < v))
+    for k in (1, 0):
+        below = below * FANOUT + F.size(F.filter(F.slice(f"_cuts_{k}", below * FANOUT + 1, FANOUT - 1), lambda c: c < v))
+    return F.when(F.col("_cuts_0").isNull(), F.lit(0)).otherwise(below)
 
 
 def cumulative(df: DataFrame, value: str, groups: list[str] = (), measures: dict[str, Column] | None = None, powers: int = 0, centred: bool = True) -> DataFrame:
@@ -62,22 +63,27 @@ def cumulative(df: DataFrame, value: str, groups: list[str] = (), measures: dict
     inner = F.when((F.col("n") > 0) & (F.abs("v") < float("inf")), F.col("v"))
     stats = base.groupBy(*groups).agg(
         (F.coalesce(F.avg(inner), F.lit(0.0)) if centred else F.lit(0.0)).alias("c"),
-        F.when(F.count("*") > SPLIT, F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 10_000)).alias("_cuts"),
+        F.when(F.count("*") > SPLIT, F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 10_000)).alias("_cuts_0"),
     )
-    stats = stats.withColumn("_coarse", F.transform(F.sequence(F.lit(FANOUT), F.lit(RANGES - FANOUT), F.lit(FANOUT)), lambda k: F.element_at("_cuts", k)))
-    base = beside(base, stats, groups).withColumn("_part", _range_of(F.col("v"))).drop("_cuts", "_coarse")
+    # Every FANOUT-th and FANOUT ** 2-th; a slice between two of the coarser ones has FANOUT - 1 of the finer.
+    every = lambda step: F.transform(F.sequence(F.lit(step), F.lit(RANGES - step), F.lit(step)), lambda k: F.element_at("_cuts_0", k))
+    stats = stats.withColumns({"_cuts_1": every(FANOUT), "_cuts_2": every(FANOUT**2)})
+    base = beside(base, stats, groups).withColumn("_part", _range_of(F.col("v"))).drop("_cuts_0", "_cuts_1", "_cuts_2")
     names = [*measures, "d", *[f"s{k}" for k in range(1, powers + 1)]]
     own = {f"s{k + 1}": F.col("n") * p for k, p in enumerate(powers_of(F.col("v") - F.col("c"), powers))}
+    # Dealt once by one key, in which nulls are equal: the ranges' totals, the running sums and their join share it, so the
+    # rows are shuffled once; both read all its columns.
     base = base.withColumns({"d": F.lit(1).cast("long")} | own)
-    totals = base.groupBy(*groups, "_part").agg(F.min("v").alias("_first"), *[F.sum(k).alias(f"_s_{k}") for k in names])
-    whole = Window.partitionBy(*[F.col(g) for g in groups])
-    ordered = whole.orderBy("_part")
+    base = base.select("*", F.struct(*[F.col(g) for g in groups], F.col("_part")).alias("_key")).drop("_part").repartition("_key")
+    totals = base.groupBy("_key").agg(F.min("v").alias("_first"), F.max("c").alias("_c"), *[F.sum(k).alias(f"_s_{k}") for k in names])
+    whole = Window.partitionBy(*[F.col(f"_key.`{g}`") for g in groups])
+    ordered = whole.orderBy("_key._part")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*groups, "_part", F.lead("_first").over(ordered).alias("_first"), *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in names], *[F.sum(f"_s_{k}").over(whole).alias(f"{k}_all") for k in names])
-    inside = Window.partitionBy(*[F.col(g) for g in groups], "_part").orderBy("v")
+    totals = totals.select(F.col("_key").alias("_tkey"), "_c", F.lead("_first").over(ordered).alias("_first"), *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in names], *[F.sum(f"_s_{k}").over(whole).alias(f"{k}_all") for k in names])
+    inside = Window.partitionBy("_key").orderBy("v")
     run = base.select("*", F.lead("v").over(inside).alias("_after"), *[F.sum(k).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{k}_le") for k in names])
-    run = beside(run, totals, [*groups, "_part"])
-    return run.select(*groups, "v", F.coalesce("_after", "_first").alias("v_after"), "c", *names, *[(F.col(f"{k}_le") + F.col(f"_b_{k}")).alias(f"{k}_le") for k in names], *[f"{k}_all" for k in names])
+    run = run.join(totals, F.col("_key") == F.col("_tkey"))
+    return run.select(*groups, "v", F.coalesce("_after", "_first").alias("v_after"), F.coalesce("c", "_c").alias("c"), *names, *[(F.col(f"{k}_le") + F.col(f"_b_{k}")).alias(f"{k}_le") for k in names], *[f"{k}_all" for k in names])
 
 
 def side_sum(degree: int, at: Column, sums: list[Column], le: bool = True) -> Column:

@@ -27,15 +27,6 @@ def _xy(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
     return df.select(*groups, col(x).alias("x"), col(y).alias("y")).dropna(subset=["x", "y"])
 
 
-def dependence(df: DataFrame, x: str, y: str, groups: list[str], asym: bool = False) -> DataFrame:
-    """groups, correlation, dependence."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *stats.dependence(pdf["x"].to_numpy(), pdf["y"].to_numpy(), asym))], columns=[*groups, "correlation", "dependence"])
-
-    return _xy(df, x, y, groups).groupBy(*groups).applyInPandas(run, _fields(df, groups) + "correlation double, dependence double")
-
-
 def causation(df: DataFrame, x: str, y: str, order: str, groups: list[str], tau: int = 0) -> DataFrame:
     """groups, x_given_y, y_given_x, direction, net; rows in the order of order."""
 
@@ -47,38 +38,21 @@ def causation(df: DataFrame, x: str, y: str, order: str, groups: list[str], tau:
     return rows.groupBy(*groups).applyInPandas(run, _fields(df, groups) + "x_given_y double, y_given_x double, direction string, net double")
 
 
-def pair_matrix(df: DataFrame, columns: list[str], tau: int | None = None, order: str | None = None) -> DataFrame:
-    """a, b, value for each pair of columns, a task per pair: dependence, or with tau net causation of a on b."""
+def causal_matrix(df: DataFrame, columns: list[str], tau: int, order: str) -> DataFrame:
+    """a, b, value for each pair of columns, a task per pair: net causation of a on b."""
     pairs = list(itertools.combinations(columns, 2))
     cells = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), col(a).alias("x"), col(b).alias("y")) for a, b in pairs]))
-    rows = df.select(F.col(order).alias("_o") if order else F.lit(0).alias("_o"), cells.alias("c")).select("_o", "c.*").dropna(subset=["x", "y"])
+    rows = df.select(F.col(order).alias("_o"), cells.alias("c")).select("_o", "c.*").dropna(subset=["x", "y"])
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_o", kind="stable")
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        if tau is None:
-            value = stats.dependence(x, y)[1]
-        else:
-            *_, way, net = stats.causation(x, y, tau)
-            value = (-net if way == "x->y" else net) if np.isfinite(net) else 0.0
+        *_, way, net = stats.causation(pdf["x"].to_numpy(), pdf["y"].to_numpy(), tau)
+        value = (-net if way == "x->y" else net) if np.isfinite(net) else 0.0
         return pd.DataFrame([(*key, value)], columns=["a", "b", "value"])
 
     return rows.groupBy("a", "b").applyInPandas(run, "a string, b string, value double")
 
 
-def partition(df: DataFrame, x: str, y: str, groups: list[str], points: bool = False, **how) -> DataFrame:
-    """groups, x, y, quadrant, prior of each row, or the regression points: groups, prior, x, y."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, label, prior, found = stats.partition(pdf["x"].to_numpy(), pdf["y"].to_numpy(), **how)
-        if points:
-            return pd.DataFrame([(*key, q, float(a), float(b)) for q, a, b in found], columns=[*groups, "prior", "x", "y"])
-        return pdf.assign(quadrant=label, prior=prior)[[*groups, "x", "y", "quadrant", "prior"]]
-
-    tail = "prior string, x double, y double" if points else "x double, y double, quadrant string, prior string"
-    return _xy(df, x, y, groups).groupBy(*groups).applyInPandas(run, _fields(df, groups) + tail)
-
-
 def mode(df: DataFrame, column: str, groups: list[str]) -> DataFrame:
     """groups, mode: the highest smoothed peak of each group."""
 

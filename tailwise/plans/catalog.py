@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tailwise.operators import categorical, central, dominance, grouped, hypothesis, moments, quantile, timeseries
+from tailwise.operators import categorical, cells, central, dominance, grouped, hypothesis, moments, quantile, timeseries
 from tailwise.sources.tables import table
 from tailwise.streaming.windows import windowed_moments
 
@@ -336,12 +336,12 @@ def _norm_sql(linear: bool) -> str:
 
 @query(_norm_sql(True))
 def norm_linear(spark, d):
-    return rounded(central.norm_scales(_xyz(spark, d), ["x", "y", "z"], True))
+    return rounded(cells.norm_scales(_xyz(spark, d), ["x", "y", "z"], True))
 
 
 @query(_norm_sql(False))
 def norm_corr(spark, d):
-    return rounded(central.norm_scales(_xyz(spark, d), ["x", "y", "z"]))
+    return rounded(cells.norm_scales(_xyz(spark, d), ["x", "y", "z"]))
 
 
 _PAIRS = "p as (select a.event_type as x, b.event_type as y from (select distinct event_type from events) a, (select distinct event_type from events) b where a.event_type <> b.event_type)"
@@ -509,7 +509,7 @@ def windowed_pm(spark, d):
 
 @query()
 def dependence(spark, d):
-    return rounded(grouped.dependence(_xyz(spark, d), "x", "y", ["l_returnflag"]))
+    return rounded(cells.dependence(_xyz(spark, d), "x", "y", ["l_returnflag"]))
 
 
 @query()
@@ -519,12 +519,12 @@ def causation(spark, d):
 
 @query()
 def dependence_matrix(spark, d):
-    return rounded(grouped.pair_matrix(_xyz(spark, d), ["x", "y", "z"]))
+    return rounded(cells.pair_matrix(_xyz(spark, d), ["x", "y", "z"]))
 
 
 @query()
 def partition_map(spark, d):
-    return rounded(grouped.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], centre="mean"))
+    return rounded(cells.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], centre="mean"))
 
 
 def _partition_sql(rounds: int) -> str:
@@ -540,12 +540,12 @@ def _partition_sql(rounds: int) -> str:
 
 @query(_partition_sql(4))
 def partition_map_order4(spark, d):
-    return rounded(grouped.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], centre="mean", order=4))
+    return rounded(cells.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], centre="mean", order=4))
 
 
 @query()
 def partition_points(spark, d):
-    return rounded(grouped.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], points=True))
+    return rounded(cells.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], points=True))
 
 
 @query()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tailwise.kernels import derivative, forecasts, multivariate, regression, series, stats
-from tailwise.operators import categorical, central, dominance, grouped, hypothesis, moments, quantile, timeseries
+from tailwise.operators import categorical, cells, central, dominance, grouped, hypothesis, moments, quantile, timeseries
 
 
 @pytest.fixture(scope="module")
@@ -242,7 +242,6 @@ def test_var_of_higher_degrees(xy, degree):
 def test_multivariate_cdf_in_blocks(xy, monkeypatch):
     rows = [(r["x"], r["y"]) for r in xy.select("x", "y").collect()]
     points = xy.sparkSession.createDataFrame([(k, *rows[k]) for k in range(40)] + [(40, None, 1.0)], "id int, x double, y double")
-    monkeypatch.setattr(quantile, "BLOCK", 15)
     got = {r["id"]: r["value"] for r in quantile.cdf_nd(xy, ["x", "y"], points, "id").collect()}
     assert got == pytest.approx({k: np.mean([x <= rows[k][0] and y <= rows[k][1] for x, y in rows]) for k in range(40)})
     hazard = quantile.cdf_nd(xy, ["x", "y"], points, "id", 1, "cumulative hazard").collect()
