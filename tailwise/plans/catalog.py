@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tailwise.operators import categorical, cells, central, dominance, grouped, hypothesis, moments, quantile, timeseries
+from tailwise.operators import categorical, cells, central, dominance, grouped, hypothesis, moments, neighbours, quantile, timeseries
 from tailwise.sources.tables import table
 from tailwise.streaming.windows import windowed_moments
 
@@ -563,12 +563,27 @@ def monte_carlo(spark, d):
     return grouped.monte_carlo(_monthly(spark, d), "x", "t", ["g"], 10, [-1.0, 0.0, 0.5, 1.0])
 
 
+_GAP = "abs(c.{0} - s.{0}) / nullif(greatest(hi_{0}, c.{0}) - least(lo_{0}, c.{0}), 0)"
+_GAPS = [f"coalesce({_GAP.format(f)}, 0)" for f in "ab"]
+
+
+@query(
+    "with s as (select s_suppkey, s_acctbal::double as a, s_nationkey::double as b from supplier), c as (select c_custkey, c_acctbal::double as a, c_nationkey::double as b from customer), r as (select min(a) as lo_a, max(a) as hi_a, min(b) as lo_b, max(b) as hi_b from s), "
+    f"d as (select c_custkey, s_suppkey, {' + '.join(f'{g} * {g} + {g}' for g in _GAPS)} as d from c, s, r) select c_custkey, arg_min(s_suppkey, struct_pack(d := d, k := s_suppkey))::double as prediction from d group by 1"
+)
+def nearest_supplier(spark, d):
+    """For each customer the supplier nearest by balance and nation; ties to the smaller number."""
+    s = table(spark, d, "supplier", ["s_suppkey", "s_acctbal", "s_nationkey"]).select("s_suppkey", F.col("s_acctbal").alias("a"), F.col("s_nationkey").alias("b"))
+    c = table(spark, d, "customer", ["c_custkey", "c_acctbal", "c_nationkey"]).select("c_custkey", F.col("c_acctbal").alias("a"), F.col("c_nationkey").alias("b"))
+    return neighbours.nearest(s, c, ["a", "b"], "s_suppkey", "c_custkey", 1, order="s_suppkey")
+
+
 @query()
 def nearest_points(spark, d):
     li = _xyz(spark, d)
     points = li.where("l_returnflag = 'A'").groupBy("x").agg(F.avg("z").alias("z"), F.avg("y").alias("y"))
     asked = li.where("l_returnflag <> 'A'").groupBy("x").agg(F.avg("z").alias("z")).withColumn("id", F.col("x").cast("long"))
-    return rounded(grouped.nearest(points, asked, ["x", "z"], "y", "id", 5))
+    return rounded(neighbours.nearest(points, asked, ["x", "z"], "y", "id", 5))
 
 
 @query()
