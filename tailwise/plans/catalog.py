@@ -522,11 +522,6 @@ def dependence_matrix(spark, d):
     return rounded(cells.pair_matrix(_xyz(spark, d), ["x", "y", "z"]))
 
 
-@query()
-def partition_map(spark, d):
-    return rounded(cells.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], centre="mean"))
-
-
 def _partition_sql(rounds: int) -> str:
     """Unrolled rounds of the partition at means; a group stops after a round that leaves a cell of 8 rows or fewer."""
     ctes = ["r0 as (select row_number() over () as id, l_returnflag as g, l_quantity as x, l_extendedprice / 1000 as y, 'q' as c, 'pq' as p, true as go from lineitem)"]
@@ -538,6 +533,11 @@ def _partition_sql(rounds: int) -> str:
     return "with " + ", ".join(ctes) + f" select g as l_returnflag, round(x, 6) as x, round(y, 6) as y, c as quadrant, p as prior from r{rounds}"
 
 
+@query(_partition_sql(16))
+def partition_map(spark, d):
+    return rounded(cells.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], centre="mean"))
+
+
 @query(_partition_sql(4))
 def partition_map_order4(spark, d):
     return rounded(cells.partition(_xyz(spark, d), "x", "y", ["l_returnflag"], centre="mean", order=4))
@@ -655,13 +655,23 @@ def overall_slope(spark, d):
     return rounded(grouped.mean_slope(m, "i", grouped.fit_regression(m, "i", "x", ["g"]), ["g"]))
 
 
-@query()
+_WEEKS = (
+    "e as (select date_trunc('week', ts) as week, event_type as t, value as v from events), n as (select week, t, count(*)::double as n, min(v) as lo from e group by 1, 2), g as (select distinct week, v from e), "
+    "c as (select g.week, n.t, g.v, count(e.v) / n.n as f from g join n using (week) left join e on e.week = g.week and e.t = n.t and e.v <= g.v group by g.week, n.t, g.v, n.n), "
+    "dom as (select a.week, a.t as x, b.t as y from c a join c b on a.week = b.week and a.v = b.v and a.t <> b.t join n p on p.week = a.week and p.t = a.t join n q on q.week = b.week and q.t = b.t group by 1, 2, 3 having bool_or(abs(a.f - b.f) > 1e-9 * abs(b.f)) and not bool_or(a.f - b.f > 1e-9 * abs(b.f)) and any_value(p.lo >= q.lo)), "
+    "rv(week, t, depth) as (select week, t, 1 from n union select dom.week, dom.y, depth + 1 from rv join dom on dom.week = rv.week and dom.x = rv.t), sets as (select week, t as event_type, max(depth)::int as cluster from rv group by 1, 2)"
+)
+
+
+@query(f"with recursive {_WEEKS} select * from sets")
 def rolling_sets(spark, d):
     e = events(spark, d, "ts", "event_type", "value").withColumn("week", F.date_trunc("week", "ts").cast("timestamp_ntz"))
     return dominance.rolling_clusters(e, "week", "event_type", "value", 1, 1e-9)
 
 
-@query()
+@query(
+    f"with recursive {_WEEKS}, s as (select week, list(event_type) as own from sets where cluster = 1 group by 1), b as (select week, own, lag(own) over (order by week) as old from s) select week, len(own)::int as size, round(1 - len(list_intersect(own, old)) / len(list_distinct(own || old)), 6) as turnover from b"
+)
 def set_turnover(spark, d):
     return rounded(dominance.turnover(rolling_sets(spark, d).where("cluster = 1"), "week", "event_type"))
 
