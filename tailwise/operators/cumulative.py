@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailwise.functions.expr import col
+from tailwise.sources.staging import step
 
 #: A group with more distinct values than this is cut into value ranges, whatever the number of groups.
-SPLIT = 1_000_000
+SPLIT = 100_000
 #: Value ranges of a large group, found in three steps of FANOUT.
 FANOUT = 10
 RANGES = FANOUT**3
@@ -68,7 +69,8 @@ def cumulative(df: DataFrame, value: str, groups: list[str] = (), measures: dict
     # Every FANOUT-th and FANOUT ** 2-th; a slice between two of the coarser ones has FANOUT - 1 of the finer.
     every = lambda step: F.transform(F.sequence(F.lit(step), F.lit(RANGES - step), F.lit(step)), lambda k: F.element_at("_cuts_0", k))
     stats = stats.withColumns({"_cuts_1": every(FANOUT), "_cuts_2": every(FANOUT**2)})
-    base = beside(base, stats, groups).withColumn("_part", _range_of(F.col("v"))).drop("_cuts_0", "_cuts_1", "_cuts_2")
+    # Written, so that the join knows its size: rows meet a small table where they are, instead of by their group.
+    base = beside(base, step(stats, "ranges") if groups else stats, groups).withColumn("_part", _range_of(F.col("v"))).drop("_cuts_0", "_cuts_1", "_cuts_2")
     names = [*measures, "d", *[f"s{k}" for k in range(1, powers + 1)]]
     own = {f"s{k + 1}": F.col("n") * p for k, p in enumerate(powers_of(F.col("v") - F.col("c"), powers))}
     # Dealt once by one key, in which nulls are equal: the ranges' totals, the running sums and their join share it, so the
