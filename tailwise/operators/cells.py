@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailwise.functions.expr import col, safe_ratio
-from tailwise.operators.central import gravity
-from tailwise.operators.cumulative import beside
+from tailwise.operators.central import SORTED, gravity, gravity_of
+from tailwise.operators.cumulative import beside, cumulative
 from tailwise.operators.quantile import lpm_var
 from tailwise.sources.staging import step
 
@@ -40,13 +40,19 @@ def split(rows: DataFrame, groups: list[str], x_only: bool = False, order: int |
     or, with stop, has a cell of least rows or fewer; without constants, cells with one x are left as they are.
 
     A level is an aggregate of the cells, which is written; the rows meet the tables of split cells on their next way, and
-    are written every LEVELS levels, so plans stay small and lost executors cost little."""
-    keys = [*groups, "_cell"]
-    own = step(rows.select(*groups, "x", "y", F.lit("q").alias("_cell"), F.lit("pq").alias("_prior")), "rows")
+    are written every LEVELS levels, so plans stay small and lost executors cost little. Cells of x alone, split at
+    gravities, are intervals of it: its distinct values are sorted once, and every level only adds up intervals."""
+    keys, sides = [*groups, "_cell"], "x" if x_only else "xy"
+    start = [F.lit("q").alias("_cell"), F.lit("pq").alias("_prior")]
+    own = step(rows.select(*groups, "x", "y", *start), "rows")
+    values = None
+    if x_only and centre == "off":
+        values = step(cumulative(own, "x", groups).select(*groups, F.col("v").alias("x"), "c", "n", "n_le", *start), "values")
+    means = [F.avg(c).alias(f"_c{c}") for c in sides if centre == "mean"]
     depth = 0
     while True:
-        means = [F.avg(c).alias(f"_c{c}") for c in ("x" if x_only else "xy") if centre == "mean"]
-        cells = own.groupBy(*keys).agg(F.count("*").alias("_rows"), (F.min("x") < F.max("x")).alias("_wide"), *means)
+        held, count, facts = (own, F.count("*"), means) if values is None else (values, F.sum("n"), _interval())
+        cells = held.groupBy(*keys).agg(count.alias("_rows"), (F.min("x") < F.max("x")).alias("_wide"), *facts)
         whole = Window.partitionBy(*[F.col(g) for g in groups])
         cells = cells.withColumns({"n": F.sum("_rows").over(whole), "_smallest": F.min("_rows").over(whole)})
         low, high = _logs(F.col("n"))
@@ -57,23 +63,42 @@ def split(rows: DataFrame, groups: list[str], x_only: bool = False, order: int |
             ready = ready & (F.col("_smallest") > bound)
         if not constants:
             ready = ready & F.col("_wide")
-        at = step(cells.where(ready).select(*keys, *[f"_c{c}" for c in ("x" if x_only else "xy") if means]), "cells")
+        at = step(cells.where(ready).drop("_rows", "_wide", "n", "_smallest"), "cells")
         if at.isEmpty():
             return own
-        if not means:
+        if values is not None:
+            met = values.where(F.abs("x") < float("inf")).join(at.withColumnsRenamed({k: f"_k_{k}" for k in keys}), _same(keys))
+            sorted_ = met.select(*keys, F.col("x").alias("v"), "c", "n", (F.col("n_le") - F.col("_before")).alias("n_le"), "n_all", "s1_all")
+            at = step(gravity_of(sorted_.select(*keys, *SORTED), keys).withColumnRenamed("gravity", "_cx"), "centres")
+        elif not means:
             inside = own.join(at.withColumnsRenamed({k: f"_k_{k}" for k in keys}), _same(keys), "left_semi")
             at = _centre_of(inside, "x", keys, centre).withColumnRenamed("_centre", "_cx")
             if not x_only:
                 at = beside(at, _centre_of(inside, "y", keys, centre).withColumnRenamed("_centre", "_cy"), keys)
             at = step(at, "centres")
-        at = at.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-        right, up = F.col("x") <= F.col("_cx"), (F.lit(False) if x_only else F.col("y") <= F.col("_cy"))
-        digit = F.when(F.col("x") > F.col("_cx"), 2).otherwise(1) if x_only else 1 + right.cast("int") + 2 * up.cast("int")
-        met = own.join(at, _same(keys), "left")
-        own = met.select(*groups, "x", "y", F.when(F.col("_cx").isNull(), F.col("_cell")).otherwise(F.concat("_cell", digit.cast("string"))).alias("_cell"), F.when(F.col("_cx").isNull(), F.col("_prior")).otherwise(F.col("_cell")).alias("_prior"))
+        own = _routed(own, at, keys, x_only)
+        values = None if values is None else _routed(values, at, keys, x_only)
         depth += 1
         if depth % LEVELS == 0:
             own = step(own, "rows")
+            values = None if values is None else step(values, "values")
+
+
+def _interval() -> list[Column]:
+    """Of an interval of distinct values: finite values before it, in it, and the sum of their distances from c."""
+    finite = lambda v: F.when(F.abs("x") < float("inf"), v)
+    return [F.min(finite(F.col("n_le") - F.col("n"))).alias("_before"), F.sum(finite(F.col("n"))).alias("n_all"), F.sum(finite(F.col("n") * (F.col("x") - F.col("c")))).alias("s1_all")]
+
+
+def _routed(rows: DataFrame, at: DataFrame, keys: list[str], x_only: bool) -> DataFrame:
+    """rows in the cells below those that at gives a centre; the others stay where they are."""
+    kept = [c for c in rows.columns if c not in ("_cell", "_prior")]
+    met = rows.join(at.withColumnsRenamed({k: f"_k_{k}" for k in keys}), _same(keys), "left")
+    digit = F.when(F.col("x") > F.col("_cx"), 2).otherwise(1)
+    if not x_only:
+        digit = 1 + (F.col("x") <= F.col("_cx")).cast("int") + 2 * (F.col("y") <= F.col("_cy")).cast("int")
+    stays = F.col("_cx").isNull()
+    return met.select(*kept, F.when(stays, F.col("_cell")).otherwise(F.concat("_cell", digit.cast("string"))).alias("_cell"), F.when(stays, F.col("_prior")).otherwise(F.col("_cell")).alias("_prior"))
 
 
 def _same(keys: list[str]) -> Column:
@@ -119,27 +144,31 @@ def _signed_copula() -> Column:
     return F.when(F.col("size") < 2, 0.0).when(F.col("co0").isin(0.0, 1.0), 1.0).otherwise(size * F.signum("slope"))
 
 
-def dependence(df: DataFrame, x: str, y: str, groups: list[str] = (), asym: bool = False) -> DataFrame:
-    """groups, correlation, dependence: the mean signed and absolute copula of the cells of x, weighted by rows, and unless
-    asym that of the cells of y where it is larger. Both ways are split side by side, as groups of one table. 0 and 0 where
-    x or y is constant; columns of few values take their discrete copula in. Rows without an x or y are left out."""
+def ways(df: DataFrame, x: str, y: str, groups: list[str] = (), asym: bool = False) -> DataFrame:
+    """groups, _way, correlation, dependence: the mean signed and absolute copula of the cells of x (_way 0) and, unless
+    asym, of y (1), weighted by rows. Both ways are split side by side, as groups of one table. 0 and 0 where x or y is
+    constant; columns of few values take their discrete copula in. Rows without an x or y are left out."""
     groups = list(groups)
     rows = step(_pairs_of(df, x, y, groups), "pairs")
-    ways = [F.struct(F.lit(0).alias("_way"), "x", "y")] + [F.struct(F.lit(1).alias("_way"), F.col("y").alias("x"), F.col("x").alias("y"))] * (not asym)
-    both = rows.select(*groups, F.explode(F.array(*ways)).alias("_r")).select(*groups, "_r.*")
+    both = [F.struct(F.lit(0).alias("_way"), "x", "y")] + [F.struct(F.lit(1).alias("_way"), F.col("y").alias("x"), F.col("x").alias("y"))] * (not asym)
+    both = rows.select(*groups, F.explode(F.array(*both)).alias("_r")).select(*groups, "_r.*")
     own = split(both, [*groups, "_way"], True, None, F.greatest(F.lit(LEAST), F.floor(F.col("n") / LEAST)), False, "off", False)
     cells = _concordance(step(own, "rows"), [*groups, "_way", "_cell"]).withColumn("_v", _signed_copula())
     mean = lambda v: F.sum(v * F.col("size")) / F.sum("size")
     each = cells.groupBy(*groups, "_way").agg(mean(F.col("_v")).alias("correlation"), mean(F.abs("_v")).alias("dependence"))
-    each = each.groupBy(*groups).agg(F.max("correlation").alias("correlation"), F.max("dependence").alias("dependence"))
     facts = rows.groupBy(*groups).agg(F.count("*").alias("_n"), *[F.count_distinct(c).alias(f"_d{c}") for c in "xy"])
     discrete = _concordance(rows.withColumn("_one", F.lit(1)), [*groups, "_one"]).select(*groups, "co0", "d0")
-    each = beside(beside(each, facts, groups), discrete, groups)
+    each = beside(each, step(beside(facts, discrete, groups), "facts"), groups)
     few = (F.col("_dx") < F.sqrt("_n")) & (F.col("_dy") < F.sqrt("_n"))
     rough = F.sqrt((F.least(F.abs(F.col("co0") - 0.5) * 2, F.lit(1.0)) + F.abs(F.col("d0") - 0.75) / 0.75) / 2)
     flat = (F.col("_dx") == 1) | (F.col("_dy") == 1)
     value = F.when(few, (F.col("dependence") + rough) / 2).otherwise(F.col("dependence"))
-    return each.select(*groups, F.when(flat, 0.0).otherwise(F.col("correlation")).alias("correlation"), F.when(flat, 0.0).otherwise(value).alias("dependence"))
+    return each.select(*groups, "_way", F.when(flat, 0.0).otherwise(F.col("correlation")).alias("correlation"), F.when(flat, 0.0).otherwise(value).alias("dependence"))
+
+
+def dependence(df: DataFrame, x: str, y: str, groups: list[str] = (), asym: bool = False) -> DataFrame:
+    """groups, correlation, dependence: that of the cells of x, unless asym that of the cells of y where it is larger."""
+    return ways(df, x, y, groups, asym).groupBy(*groups).agg(F.max("correlation").alias("correlation"), F.max("dependence").alias("dependence"))
 
 
 def pair_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -14,7 +14,15 @@ from tailwise.sources.staging import step
 def gravity(df: DataFrame, column: str, groups: list[str] = (), discrete: bool = False) -> DataFrame:
     """Mean of the median, the modal bin's centre, the mean and the midhinge; bins by quartile width."""
     groups = list(groups)
-    rows = step(cumulative(df.where(finite(column)), column, groups, powers=1).select(*groups, "v", "c", "n", "n_le", "n_all", "s1_all"), "sorted")
+    return gravity_of(step(cumulative(df.where(finite(column)), column, groups, powers=1).select(*groups, *SORTED), "sorted"), groups, discrete)
+
+
+#: What gravity_of reads of each distinct value.
+SORTED = ["v", "c", "n", "n_le", "n_all", "s1_all"]
+
+
+def gravity_of(rows: DataFrame, groups: list[str], discrete: bool = False) -> DataFrame:
+    """The gravity of groups from their distinct finite values (SORTED, by cumulative), which are read twice."""
     # Order statistics: the least value with enough values up to it.
     at = lambda k: F.min(F.when(F.col("n_le") >= k, F.col("v")))
     n = F.col("n_all")
