@@ -73,3 +73,8 @@ def half_up(x: Column) -> Column:
 def finite(x: Column | str) -> Column:
     x = col(x)
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's; NULL where a column is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tailwise.functions.expr import col, safe_ratio
+from tailwise.functions.expr import col, correlation, safe_ratio
 from tailwise.operators.central import SORTED, gravity, gravity_of
 from tailwise.operators.cumulative import beside, cumulative
 from tailwise.operators.quantile import lpm_var
@@ -188,7 +188,7 @@ def norm_scales(df: DataFrame, columns: list[str], linear: bool = False) -> Data
     1). A mean of 0 counts as 1e-10. Rows that lack a column are left out."""
     df = df.select(*[col(c).alias(c) for c in columns]).dropna()
     if linear or len(columns) < MANY:
-        cells = [] if linear else [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(F.corr(a, b)).alias("value")) for a, b in itertools.combinations(columns, 2)]
+        cells = [] if linear else [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.abs(correlation(a, b)), F.lit(float("nan"))).alias("value")) for a, b in itertools.combinations(columns, 2)]
         wide = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.avg(c).alias("m")) for c in columns]).alias("m"), (F.array(*cells) if cells else F.lit(None)).alias("w"))
         means = wide.select(F.explode("m").alias("c")).select("c.*")
         pairs = wide.select(F.explode("w").alias("c")).select("c.*") if cells else None

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import zlib
 
 import numpy as np
@@ -27,32 +26,6 @@ def _xy(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
     return df.select(*groups, col(x).alias("x"), col(y).alias("y")).dropna(subset=["x", "y"])
 
 
-def causation(df: DataFrame, x: str, y: str, order: str, groups: list[str], tau: int = 0) -> DataFrame:
-    """groups, x_given_y, y_given_x, direction, net; rows in the order of order."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o", kind="stable")
-        return pd.DataFrame([(*key, *stats.causation(pdf["x"].to_numpy(), pdf["y"].to_numpy(), tau))], columns=[*groups, "x_given_y", "y_given_x", "direction", "net"])
-
-    rows = df.select(*groups, F.col(order).alias("_o"), col(x).alias("x"), col(y).alias("y")).dropna(subset=["x", "y"])
-    return rows.groupBy(*groups).applyInPandas(run, _fields(df, groups) + "x_given_y double, y_given_x double, direction string, net double")
-
-
-def causal_matrix(df: DataFrame, columns: list[str], tau: int, order: str) -> DataFrame:
-    """a, b, value for each pair of columns, a task per pair: net causation of a on b."""
-    pairs = list(itertools.combinations(columns, 2))
-    cells = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), col(a).alias("x"), col(b).alias("y")) for a, b in pairs]))
-    rows = df.select(F.col(order).alias("_o"), cells.alias("c")).select("_o", "c.*").dropna(subset=["x", "y"])
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o", kind="stable")
-        *_, way, net = stats.causation(pdf["x"].to_numpy(), pdf["y"].to_numpy(), tau)
-        value = (-net if way == "x->y" else net) if np.isfinite(net) else 0.0
-        return pd.DataFrame([(*key, value)], columns=["a", "b", "value"])
-
-    return rows.groupBy("a", "b").applyInPandas(run, "a string, b string, value double")
-
-
 def mode(df: DataFrame, column: str, groups: list[str]) -> DataFrame:
     """groups, mode: the highest smoothed peak of each group."""
 

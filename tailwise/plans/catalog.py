@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tailwise.operators import categorical, cells, central, dominance, grouped, hypothesis, moments, neighbours, quantile, timeseries
+from tailwise.operators import causation as causes
 from tailwise.sources.tables import table
 from tailwise.streaming.windows import windowed_moments
 
@@ -514,7 +515,19 @@ def dependence(spark, d):
 
 @query()
 def causation(spark, d):
-    return rounded(grouped.causation(_monthly(spark, d).withColumn("y", F.col("x") * F.month("t")), "x", "y", "t", ["g"], 1))
+    return rounded(causes.causation(_monthly(spark, d).withColumn("y", F.col("x") * F.month("t")), "x", "y", "t", ["g"], 1))
+
+
+@query()
+def causal_matrix(spark, d):
+    li = items(spark, d, "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+    rows = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), (F.col("l_quantity") + 0.5).alias("quantity"), F.col("l_extendedprice").alias("price"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("paid"))
+    return rounded(causes.causal_matrix(rows, ["quantity", "price", "paid"], 0, "o"))
+
+
+@query()
+def causation_permutations(spark, d):
+    return rounded(causes.permutation_test(_monthly(spark, d).withColumn("y", F.col("x") * F.month("t")), "x", "y", "t", ["g"], 1, 20))
 
 
 @query()
