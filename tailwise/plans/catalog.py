@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tailwise.operators import categorical, cells, central, dominance, grouped, hypothesis, moments, neighbours, quantile, timeseries
+from tailwise.operators import categorical, cells, central, dominance, gaps, grouped, hypothesis, moments, neighbours, quantile, timeseries
 from tailwise.operators import causation as causes
 from tailwise.sources.tables import table
 from tailwise.streaming.windows import windowed_moments
@@ -530,6 +530,13 @@ def causation_permutations(spark, d):
     return rounded(causes.permutation_test(_monthly(spark, d).withColumn("y", F.col("x") * F.month("t")), "x", "y", "t", ["g"], 1, 20))
 
 
+@query()
+def filled_gaps(spark, d):
+    m, month = _monthly(spark, d), F.month("t")
+    series = m.select("g", "t", F.when(month % 5 != 3, F.col("x")).alias("x"), F.when(month % 4 != 1, F.col("x") * month).alias("y"))
+    return rounded(gaps.fill_gaps(series, ["x", "y"], "t", ["g"]).withColumn("t", F.col("t").cast("timestamp_ntz")))
+
+
 @query()
 def dependence_matrix(spark, d):
     return rounded(cells.pair_matrix(_xyz(spark, d), ["x", "y", "z"]))
