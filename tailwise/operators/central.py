@@ -34,7 +34,7 @@ def gravity_of(rows: DataFrame, groups: list[str], discrete: bool = False) -> Da
         *[at(f(q)).alias(f"{name}{int(q * 100)}") for q in (0.25, 0.5, 0.75) for name, f in (("f", lo), ("c", hi))],
     )
     part = lambda q: F.when(even, F.col(f"f{int(q * 100)}")).otherwise(F.col(f"f{int(q * 100)}") + (n * q - F.floor(n * q)) * (F.col(f"c{int(q * 100)}") - F.col(f"f{int(q * 100)}")))
-    stats = stats.select(*groups, "n_all", "low", "high", "mean", part(0.25).alias("q1"), F.when(even, F.col("f50")).otherwise((F.col("f50") + F.col("c50")) / 2).alias("q2"), part(0.75).alias("q3"), ((F.col("f50") + F.col("c50")) / 2).alias("_mid"))
+    stats = stats.select(*groups, "n_all", "low", "high", "mean", part(0.25).alias("q1"), F.when(even, F.col("f50")).otherwise((F.col("f50") + F.col("c50")) / 2).alias("q2"), part(0.75).alias("q3"), F.col("c50").alias("_second"))
     width = (F.col("q3") - F.col("q1")) / F.sqrt(n.cast("double"))
     stats = stats.withColumn("width", F.when(width > 0, width).otherwise((F.col("high") - F.col("low")) / 128))
     bins = F.least(F.greatest(F.floor(F.try_divide(F.col("high") - F.col("low"), F.col("width")) + 1e-12) + 1, F.lit(1)), 4 * n)
@@ -55,7 +55,7 @@ def gravity_of(rows: DataFrame, groups: list[str], discrete: bool = False) -> Da
     modal = modal.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.when(F.col("ties") == 1, F.col("near_w") / F.col("near_c")).otherwise(F.col("all_w") / F.col("all_c")).alias("mode"))
     both = stats.join(modal, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]) if groups else stats.join(F.broadcast(modal))
     value = 0.25 * (F.col("q2") + F.col("mode") + F.col("mean") + 0.5 * (F.col("q1") + F.col("q3")))
-    small = F.when(n == 2, (F.col("low") + F.col("high")) / 2).otherwise(F.col("_mid"))
+    small = F.when(n == 2, (F.col("low") + F.col("high")) / 2).otherwise(F.col("_second"))
     value = F.when(F.col("low") == F.col("high"), F.col("low")).when(n <= 3, small).otherwise(value)
     return both.select(*groups, (half_up(value).cast("double") if discrete else value).alias("gravity"))
 

@@ -44,6 +44,13 @@ def test_var_inverts_the_ratio(xy):
             assert moments.partial_moments(xy, "x", [degree], target=F.lit(t)).first()[f"lpm_ratio{degree}"] == pytest.approx(p, abs=1e-9)
 
 
+def test_gravity_of_few_values(spark):
+    """Up to three values: their median, ties counted."""
+    own = {"one": [4.0], "two": [1.0, 4.0], "three": [135.0, 141.5, 141.5], "apart": [9.0, 1.0, 2.0], "same": [5.0, 5.0, 5.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in own.items() for v in vs], "g string, y double")
+    assert {r["g"]: r["gravity"] for r in central.gravity(df, "y", ["g"]).collect()} == {"one": 4.0, "two": 2.5, "three": 141.5, "apart": 2.0, "same": 5.0}
+
+
 def test_gravity_equals_kernel(xy):
     for r in central.gravity(xy, "y", ["g"]).collect():
         own = np.array([s["y"] for s in xy.where(F.col("g") == r["g"]).collect()])
