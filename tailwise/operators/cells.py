@@ -34,10 +34,10 @@ def _centre_of(rows: DataFrame, column: str, keys: list[str], how: str) -> DataF
     return gravity(rows, column, keys).withColumnRenamed("gravity", "_centre")
 
 
-def split(rows: DataFrame, groups: list[str], x_only: bool = False, order: int | None = None, least: Column | int = LEAST, stop: bool = True, centre: str = "off", constants: bool = True) -> DataFrame:
+def split(rows: DataFrame, groups: list[str], x_only: bool = False, order: int | DataFrame | None = None, least: Column | int = LEAST, stop: bool = True, centre: str = "off", constants: bool = True) -> DataFrame:
     """rows (groups, x, y) with _cell and _prior, the cell before its last split. Each level splits the cells with more
-    than least rows (a number, or a column of the group's rows n) at their centre, until a group has reached its depth,
-    or, with stop, has a cell of least rows or fewer; without constants, cells with one x are left as they are.
+    than least rows (a number, or a column of the group's rows n) at their centre, until a group has reached its depth
+    (order, or each group's in a table of groups and _order), or, with stop, has a cell of least rows or fewer; without constants, cells with one x are left as they are.
 
     A level is an aggregate of the cells, which is written; the rows meet the tables of split cells on their next way, and
     are written every LEVELS levels, so plans stay small and lost executors cost little. Cells of x alone, split at
@@ -55,15 +55,18 @@ def split(rows: DataFrame, groups: list[str], x_only: bool = False, order: int |
         cells = held.groupBy(*keys).agg(count.alias("_rows"), (F.min("x") < F.max("x")).alias("_wide"), *facts)
         whole = Window.partitionBy(*[F.col(g) for g in groups])
         cells = cells.withColumns({"n": F.sum("_rows").over(whole), "_smallest": F.min("_rows").over(whole)})
+        if isinstance(order, DataFrame):
+            cells = beside(cells, order, groups)
         low, high = _logs(F.col("n"))
+        wanted = F.col("_order") if isinstance(order, DataFrame) else high if order is None else F.lit(order)
         bound = least if isinstance(least, Column) else F.lit(least)
-        deepest = F.least(F.greatest(F.lit(1), high if order is None else F.lit(order)), low)
+        deepest = F.least(F.greatest(F.lit(1), wanted), low)
         ready = (F.lit(depth) < deepest) & (F.col("_rows") > bound)
         if stop and depth:
             ready = ready & (F.col("_smallest") > bound)
         if not constants:
             ready = ready & F.col("_wide")
-        at = step(cells.where(ready).drop("_rows", "_wide", "n", "_smallest"), "cells")
+        at = step(cells.where(ready).drop("_rows", "_wide", "n", "_smallest", "_order"), "cells")
         if at.isEmpty():
             return own
         if values is not None:
@@ -112,7 +115,7 @@ def _pairs_of(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
     return df.select(*groups, col(x).alias("x"), col(y).alias("y")).dropna(subset=["x", "y"])
 
 
-def partition(df: DataFrame, x: str, y: str, groups: list[str], points: bool = False, x_only: bool = False, order: int | None = None, least: int = LEAST, stop: bool = True, centre: str = "off") -> DataFrame:
+def partition(df: DataFrame, x: str, y: str, groups: list[str], points: bool = False, x_only: bool = False, order: int | DataFrame | None = None, least: int = LEAST, stop: bool = True, centre: str = "off") -> DataFrame:
     """groups, x, y, quadrant, prior of each row, or the regression points: groups, prior, x, y, the centres of the rows by
     their prior quadrant, whole numbers where the group's xs all are. Rows without an x or y are left out."""
     own = split(_pairs_of(df, x, y, groups), list(groups), x_only, order, least, stop, centre)

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from tailwise.functions.expr import col, half_up
 from tailwise.operators.causation import ranked
-from tailwise.operators.cells import dependence
 from tailwise.operators.central import gravity
 from tailwise.operators.cumulative import beside
-from tailwise.operators.moments import copula
+from tailwise.operators.regression import strength
 from tailwise.sources.staging import step
 
 #: From this dependence on, an end keeps its observed value.
@@ -41,10 +40,7 @@ def three_points(known: DataFrame, groups: list[str]) -> DataFrame:
     facts = known.groupBy(*groups).agg(F.min("x").alias("_low"), F.max("x").alias("_high"), F.min_by("y", "x").alias("_ylow"), F.max_by("y", "x").alias("_yhigh"), F.min("y").alias("_least"), F.max("y").alias("_most"))
     at = beside(facts, gravity(known, "x", groups).select(*groups, half_up(F.col("gravity")).cast("double").alias("_cx")), groups)
     at = beside(at, gravity(known, "y", groups).withColumnRenamed("gravity", "_cy"), groups)
-    at = beside(at, dependence(known, "x", "y", groups, True).select(*groups, F.col("dependence").alias("_d")), groups)
-    at = beside(at, copula(known.select(*groups, "x", F.col("x").alias("_x"), "y"), ["x", "_x", "y"], groups), groups)
-    strength = (F.col("_d") + F.col("copula")) / 2
-    at = step(at.withColumn("_dep", F.coalesce(F.nanvl(strength, F.lit(0.1)), F.lit(0.1))).drop("_d", "copula"), "centres")
+    at = step(beside(at, strength(known, groups), groups), "centres")
     ends = beside(known, at, groups).groupBy(*groups).agg(_end("low").alias("_elow"), _end("high").alias("_ehigh"))
     at = beside(at, step(ends, "ends"), groups)
     inside = lambda c: F.least(F.greatest(c, F.col("_least")), F.col("_most"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tailwise.operators import categorical, cells, central, dominance, gaps, grouped, hypothesis, moments, neighbours, quantile, timeseries
+from tailwise.operators import categorical, cells, central, dominance, gaps, grouped, hypothesis, moments, neighbours, quantile, regression, smoothing, timeseries
 from tailwise.operators import causation as causes
 from tailwise.sources.tables import table
 from tailwise.streaming.windows import windowed_moments
@@ -608,13 +608,26 @@ def nearest_points(spark, d):
 
 @query()
 def regression_segments(spark, d):
-    return grouped.fit_regression(_monthly(spark, d).withColumn("i", F.month("t")), "i", "x", ["g"])
+    return rounded(regression.fit_regression(_monthly(spark, d).withColumn("i", F.month("t")), "i", "x", ["g"]))
 
 
 @query()
 def regression_fit(spark, d):
     m = _monthly(spark, d).withColumn("i", F.month("t"))
-    return rounded(grouped.score_regression(m, "i", grouped.fit_regression(m, "i", "x", ["g"]), ["g"]))
+    return rounded(grouped.score_regression(m, "i", regression.fit_regression(m, "i", "x", ["g"]), ["g"]))
+
+
+@query()
+def smoothing_spline(spark, d):
+    li = items(spark, d, "l_returnflag", "l_quantity", "l_extendedprice")
+    at = li.select("l_returnflag", "l_quantity").distinct()
+    return rounded(smoothing.score_pieces(at, "l_quantity", smoothing.smoothing_spline(li, "l_quantity", "l_extendedprice", ["l_returnflag"], 0.6), ["l_returnflag"]), 4)
+
+
+@query()
+def smooth_regression(spark, d):
+    m = _monthly(spark, d).withColumn("i", F.months_between("t", F.lit("1990-01-01")))
+    return rounded(smoothing.score_pieces(m, "i", regression.fit_smooth(m, "i", "x", ["g"]), ["g"]), 4)
 
 
 @query()
@@ -666,13 +679,13 @@ def arma_best(spark, d):
 @query()
 def regression_intervals(spark, d):
     m = _monthly(spark, d).withColumn("i", F.month("t"))
-    return rounded(grouped.regression_table(m, "i", "x", grouped.fit_regression(m, "i", "x", ["g"]), ["g"]))
+    return rounded(grouped.regression_table(m, "i", "x", regression.fit_regression(m, "i", "x", ["g"]), ["g"]))
 
 
 @query()
 def overall_slope(spark, d):
     m = _monthly(spark, d).withColumn("i", F.month("t"))
-    return rounded(grouped.mean_slope(m, "i", grouped.fit_regression(m, "i", "x", ["g"]), ["g"]))
+    return rounded(grouped.mean_slope(m, "i", regression.fit_regression(m, "i", "x", ["g"]), ["g"]))
 
 
 _WEEKS = (
