@@ -94,11 +94,11 @@ def fit_regression(df: DataFrame, x: str, y: str, groups: list[str], **how) -> D
 
 
 def score_regression(points: DataFrame, x: str, model: DataFrame, groups: list[str]) -> DataFrame:
-    """points with estimate. A group's segments, few whatever its rows, are one sorted array; rows pick theirs
-    without Python."""
+    """points with estimate, NULL where x is. A group's segments, few whatever its rows, are one sorted array; rows pick
+    theirs without Python."""
     keyed = model.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups]).agg(F.sort_array(F.collect_list(F.struct("start", "at_x", "at_y", "slope"))).alias("_s"))
     out = points.join(keyed, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups], "left") if groups else points.join(F.broadcast(keyed))
-    own = F.element_at(F.filter("_s", lambda s: s["start"] <= col(x)), -1)
+    own = F.try_element_at(F.filter("_s", lambda s: s["start"] <= col(x)), F.lit(-1))
     return out.withColumn("_s", own).withColumn("estimate", F.col("_s.at_y") + (col(x) - F.col("_s.at_x")) * F.col("_s.slope")).drop("_s", *[f"_g_{g}" for g in groups])
 
 
@@ -190,7 +190,7 @@ def regression_table(points: DataFrame, x: str, y: str, model: DataFrame, groups
     alpha = (1 - confidence) / 2
     keyed = model.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups]).agg(F.sort_array(F.collect_list(F.struct("start", "at_x", "at_y", "slope"))).alias("_s"))
     rows = points.join(keyed, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]) if groups else points.join(F.broadcast(keyed))
-    rows = rows.withColumn("_s", F.element_at(F.filter("_s", lambda s: s["start"] <= col(x)), -1)).drop(*[f"_g_{g}" for g in groups])
+    rows = rows.withColumn("_s", F.try_element_at(F.filter("_s", lambda s: s["start"] <= col(x)), F.lit(-1))).drop(*[f"_g_{g}" for g in groups])
     rows = rows.withColumn("estimate", F.col("_s.at_y") + (col(x) - F.col("_s.at_x")) * F.col("_s.slope")).withColumn("slope", F.col("_s.slope")).drop("_s")
     rows = rows.withColumn("residual", F.col("estimate") - col(y))
     parts = [*groups, "slope"]
@@ -208,5 +208,5 @@ def mean_slope(points: DataFrame, x: str, model: DataFrame, groups: list[str]) -
     """groups, slope: the mean slope of the fitted regression over the points, its overall derivative."""
     keyed = model.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups]).agg(F.sort_array(F.collect_list(F.struct("start", "slope"))).alias("_s"))
     rows = points.join(keyed, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]) if groups else points.join(F.broadcast(keyed))
-    own = F.element_at(F.filter("_s", lambda s: s["start"] <= col(x)), -1)["slope"]
+    own = F.try_element_at(F.filter("_s", lambda s: s["start"] <= col(x)), F.lit(-1))["slope"]
     return rows.groupBy(*groups).agg(F.avg(own).alias("slope"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tailwise.operators import categorical, cells, central, dominance, gaps, grouped, hypothesis, moments, neighbours, quantile, regression, smoothing, timeseries
+from tailwise.operators import categorical, cells, central, dominance, gaps, grouped, hazard, hypothesis, moments, neighbours, quantile, regression, smoothing, timeseries
 from tailwise.operators import causation as causes
 from tailwise.sources.tables import table
 from tailwise.streaming.windows import windowed_moments
@@ -617,6 +617,11 @@ def regression_fit(spark, d):
     return rounded(grouped.score_regression(m, "i", regression.fit_regression(m, "i", "x", ["g"]), ["g"]))
 
 
+@query()
+def hazard_by_type(spark, d):
+    return rounded(hazard.hazard(events(spark, d, "event_type", "value"), "value", 1, ["event_type"]), 5)
+
+
 @query()
 def smoothing_spline(spark, d):
     li = items(spark, d, "l_returnflag", "l_quantity", "l_extendedprice")
