@@ -50,10 +50,11 @@ def _range_of(v: Column) -> Column:
     return F.when(F.col("_cuts_0").isNull(), F.lit(0)).otherwise(below)
 
 
-def cumulative(df: DataFrame, value: str, groups: list[str] = (), measures: dict[str, Column] | None = None, powers: int = 0, centred: bool = True) -> DataFrame:
+def cumulative(df: DataFrame, value: str, groups: list[str] = (), measures: dict[str, Column] | None = None, powers: int = 0, centred: bool | str = True) -> DataFrame:
     """groups, v (distinct values), v_after (the next one), c (the group's centre), and for each measure <name> its sum at
     v, <name>_le up to v and <name>_all. Measures are n (rows, unless given), those given, d (1 for each distinct value),
     and with powers s1, s2, ...: sums of (v - c) ** k, weighted by n, so that no digits are lost far from 0.
+    The centre is the mean of the finite distinct values, with centred="least" the least of them, without centred 0.
 
     Ties are one row, so frames are inclusive. Groups with many values are cut into ranges at approximate quantiles;
     ranges are summed first and their totals carried, so no group's sort is one task's work. NULL and NaN are left out."""
@@ -63,7 +64,7 @@ def cumulative(df: DataFrame, value: str, groups: list[str] = (), measures: dict
     base = base.groupBy(*groups, "v").agg(*[F.sum(k).alias(k) for k in measures])
     inner = F.when((F.col("n") > 0) & (F.abs("v") < float("inf")), F.col("v"))
     stats = base.groupBy(*groups).agg(
-        (F.coalesce(F.avg(inner), F.lit(0.0)) if centred else F.lit(0.0)).alias("c"),
+        (F.coalesce((F.min if centred == "least" else F.avg)(inner), F.lit(0.0)) if centred else F.lit(0.0)).alias("c"),
         F.when(F.count("*") > SPLIT, F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 10_000)).alias("_cuts_0"),
     )
     # Every FANOUT-th and FANOUT ** 2-th; a slice between two of the coarser ones has FANOUT - 1 of the finer.

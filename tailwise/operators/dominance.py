@@ -16,28 +16,29 @@ STATE = ["n", "s1", "s2"]
 
 
 def _rows(df: DataFrame, group: str, value: str, names: list[str] | None, by: list[str]) -> DataFrame:
-    """by, name, x: values around one common centre, so that sums of squares keep their digits."""
+    """by, name, x, _m: values and their common mean."""
     if names is not None:
         df = df.where(F.col(group).isin(names))
     rows = df.select(*by, F.col(group).alias("name"), col(value).alias("x")).where(F.col("name").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x"))
     middle = rows.agg(F.coalesce(F.avg("x"), F.lit(0.0)).alias("_m"))
-    return rows.join(F.broadcast(middle)).withColumn("x", F.col("x") - F.col("_m")).drop("_m")
+    return rows.join(F.broadcast(middle))
 
 
 def chunks(rows: DataFrame, by: list[str]) -> DataFrame:
-    """by, block, name, n_all, least, mean, edge, before, own: the curve of each name in each block of the grid of all
-    names' values. own has the name's distinct values there (v, n_at, and n, s1, s2 up to v), before the sums up to the
+    """by, block, name, n_all, least, mean, c, edge, before, own: the curve of each name in each block of the grid of all
+    names' values. Sums are around c, the name's least value: each is then as large as the curve's terms, so a curve is 0
+    where it begins and the sums of whole numbers are exact. mean is around the common mean, rounded to a whole number. own has the name's distinct values there (v, n_at, and n, s1, s2 up to v), before the sums up to the
     block, edge is the block's first value. Blocks hold BLOCK values a name on average; equal values share one."""
-    sums = cumulative(rows, "x", [*by, "name"], powers=2, centred=False)
+    sums = cumulative(rows, "x", [*by, "name"], {"t": F.col("x") - F.rint("_m")}, 2, "least")
     own = F.struct("v", F.col("n").alias("n_at"), *[F.col(f"{k}_le").alias(k) for k in STATE])
-    flat = step(sums.select(*by, "name", "v", "n_all", (F.col("s1_all") / F.col("n_all")).alias("mean"), own.alias("own")), "curves")
+    flat = step(sums.select(*by, "name", "v", "n_all", (F.col("t_all") / F.col("n_all")).alias("mean"), "c", own.alias("own")), "curves")
     place = cumulative(flat.select(*by, "v"), "v", by)
     many = flat.groupBy(*by).agg(F.count_distinct("name").alias("_many"))
     place = beside(place.select(*by, "v", (F.col("n_le") - F.col("n")).alias("_rank")), many, by)
     place = place.select(*by, "v", F.floor(F.col("_rank") / (BLOCK * F.col("_many"))).alias("block"))
     placed = beside(flat, place, [*by, "v"])
     held = placed.groupBy(*by, "block", "name").agg(F.sort_array(F.collect_list("own")).alias("own"))
-    each = placed.groupBy(*by, "name").agg(F.max("n_all").alias("n_all"), F.max("mean").alias("mean"), F.min("v").alias("least"))
+    each = placed.groupBy(*by, "name").agg(F.max("n_all").alias("n_all"), F.max("mean").alias("mean"), F.max("c").alias("c"), F.min("v").alias("least"))
     edges = place.groupBy(*by, "block").agg(F.min("v").alias("edge"))
     keys = [*by, "block", "name"]
     every = each.join(edges, by) if by else each.join(F.broadcast(edges))  # names x blocks, of which there are rows / (BLOCK * names)
@@ -47,7 +48,7 @@ def chunks(rows: DataFrame, by: list[str]) -> DataFrame:
     nothing = F.struct(F.lit(None).cast("double").alias("v"), *[F.lit(0).cast("long").alias(k) for k in ("n_at", "n")], *[F.lit(0.0).alias(k) for k in ("s1", "s2")])
     before = F.coalesce(last, nothing)
     none = F.filter(F.array(F.element_at("own", -1)), lambda _: F.lit(False))
-    return step(every.select(*keys, "n_all", "mean", "least", "edge", before.alias("before"), F.coalesce("own", none).alias("own")), "chunks")
+    return step(every.select(*keys, "n_all", "mean", "least", "c", "edge", before.alias("before"), F.coalesce("own", none).alias("own")), "chunks")
 
 
 def _equal(keys: list[str]) -> Column:
@@ -59,7 +60,7 @@ def _equal(keys: list[str]) -> Column:
 
 def _sides(parts: DataFrame, by: list[str]) -> DataFrame:
     """Each unordered pair of names in each block, side by side as a and b."""
-    side = lambda s: parts.select(*[F.col(k).alias(f"_{s}_{k}") for k in [*by, "block"]], F.col("name").alias(s), F.struct("n_all", "mean", "least", "edge", "before", "own").alias(f"_{s}"))
+    side = lambda s: parts.select(*[F.col(k).alias(f"_{s}_{k}") for k in [*by, "block"]], F.col("name").alias(s), F.struct("n_all", "mean", "least", "c", "edge", "before", "own").alias(f"_{s}"))
     on = F.col("_a_block") == F.col("_b_block")
     for k in by:
         on = on & (F.col(f"_a_{k}") == F.col(f"_b_{k}"))
@@ -73,7 +74,7 @@ def _at(curve: str, v: Column, use) -> Column:
 
 
 def _height(state: Column, v: Column, n_all: Column, degree: int) -> Column:
-    """The curve of the degree (LPM of degree - 1) at v from the sums of the values up to it."""
+    """The curve of the degree (LPM of degree - 1) at v, from the name's c on, by the sums of the values up to it."""
     return side_sum(degree - 1, v, [state[k] for k in STATE]) / n_all
 
 
@@ -108,12 +109,12 @@ def dominance(df: DataFrame, group: str, value: str, names: list[str] | None = N
     pairs = _sides(parts, by)
     over = lambda a, b: a - b > tolerance * F.abs(b)
     if degree < 3:
-        edge = lambda s: _height(F.col(f"_{s}.before"), F.col("_a.edge"), F.col(f"_{s}.n_all"), degree)
+        edge = lambda s: _height(F.col(f"_{s}.before"), F.col("_a.edge") - F.col(f"_{s}.c"), F.col(f"_{s}.n_all"), degree)
         crossed = pairs.select(*by, "a", "b", over(edge("a"), edge("b")).alias("_i"), over(edge("b"), edge("a")).alias("_j")).groupBy(*by, "a", "b").agg(F.bool_or("_i").alias("_i"), F.bool_or("_j").alias("_j"))
         pairs = beside(pairs, crossed.where(~(F.col("_i") & F.col("_j"))).drop("_i", "_j"), [*by, "a", "b"])
 
     def one(s: str, v: Column) -> Column:
-        return _at(f"_{s}", v, lambda state: _height(state, v, F.col(f"_{s}.n_all"), degree))
+        return _at(f"_{s}", v, lambda state: _height(state, v - F.col(f"_{s}.c"), F.col(f"_{s}.n_all"), degree))
 
     def both(e: Column) -> Column:
         return F.struct(*[one(s, e["v"]).alias(s) for s in "ab"])
@@ -138,7 +139,7 @@ def dominance(df: DataFrame, group: str, value: str, names: list[str] | None = N
 def _moments(df: DataFrame, group: str, value: str, names: list[str]) -> dict[str, dict]:
     """n, greatest value and power sums of each name around the common centre: a row a name, in one job."""
     x = F.col("x")
-    rows = _rows(df, group, value, names, [])
+    rows = _rows(df, group, value, names, []).withColumn("x", x - F.col("_m"))
     found = rows.groupBy("name").agg(F.count("*").alias("n"), F.max("x").alias("top"), F.sum(x).alias("s1"), F.sum(x * x).alias("s2"), F.sum(x * x * x).alias("s3")).collect()
     return {r["name"]: r.asDict() for r in found}
 
