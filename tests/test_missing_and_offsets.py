@@ -166,3 +166,14 @@ def test_multivariate_cdf_of_three_columns(gaps):
             size = np.abs(u**degree).prod(axis=1)
             want[k] = size[(u >= 0).all(axis=1)].sum() / size.sum()
         assert got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("order", ["y", "y desc", "rand(1)", "rand(2)"])
+def test_rows_on_a_cell_mean(spark, order):
+    """A row that equals its cell's mean lies at or below it, in whatever order the mean is added up: seven prices, six
+    times, around the third, under a cell of one price."""
+    y = [38.24864, 38.26518, 38.27714, 38.27871, 38.284819999999996, 38.289339999999996, 38.296150000000004]
+    rows = [(0, 35.0, v) for v in y * 6 + [100.1] * 42]
+    df = spark.createDataFrame(rows, "g int, x double, y double").repartition(1).sortWithinPartitions(F.expr(order.split()[0]).desc() if "desc" in order else F.expr(order))
+    got = {(r["y"], r["quadrant"]) for r in cells.partition(df, "x", "y", ["g"], order=2, stop=False, centre="mean").collect()}
+    assert got == {(v, "q44" if v <= y[2] else "q42") for v in y} | {(100.1, "q24")}
