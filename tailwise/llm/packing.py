@@ -28,6 +28,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length that are numbered together.
 BUCKET_ROWS = 50_000
+#: Documents of a batch that are encoded together: what a Python worker holds at once, beside the encoder's tables.
+ENCODED_ROWS = 500
 
 
 class CapacityTree:
@@ -97,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
-        for batch in batches:
+        for batch in (b.slice(at, ENCODED_ROWS) for b in batches for at in range(0, b.num_rows, ENCODED_ROWS)):
             cols: list[list] = [[], [], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist()), strict=True):
                 ids = np.concatenate((ids.astype("<u4"), end)).tobytes()

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tailwise.llm import bytebpe, idcoder, idfile, linededup, ngramjoin, orderminhash, packing, quality, resharding, revisits, tokens
@@ -586,3 +587,24 @@ def test_line_dedup_of_a_common_phrase(spark, monkeypatch):
     for sample in (1, linededup.SAMPLE, 1 << 40):  # what is counted decides the order of tokens, not the result
         monkeypatch.setattr(linededup, "SAMPLE", sample)
         assert {r["doc_id"]: list(r["removed"]) for r in linededup.join(docs).collect()} == want and 20 < sum(map(len, want.values())) < 40
+
+
+def test_batches_are_encoded_in_parts(monkeypatch):
+    """However many documents a batch has, a worker holds the ids of ENCODED_ROWS of them."""
+    held, made = [], []
+
+    class Encoder:
+        def ids(self, texts):
+            held.append(len(texts))
+            return [np.arange(len(t), dtype=np.uint32) for t in texts]
+
+    class Docs:
+        def mapInArrow(self, encode, schema):
+            made.append(encode)
+
+    monkeypatch.setattr(packing, "id_text", lambda docs: Docs())
+    monkeypatch.setattr(packing, "library_encoder", lambda path: Encoder())
+    packing.pieces(None, "", 10)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1300)), "text": ["abc"] * 1300})
+    out = pa.Table.from_batches(made[0](iter([batch, batch.slice(0, 0)])))
+    assert max(held) <= packing.ENCODED_ROWS and out.column("doc_id").to_pylist() == list(range(1300)) and set(out.column("length").to_pylist()) == {4}
