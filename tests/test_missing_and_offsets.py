@@ -177,3 +177,15 @@ def test_rows_on_a_cell_mean(spark, order):
     df = spark.createDataFrame(rows, "g int, x double, y double").repartition(1).sortWithinPartitions(F.expr(order.split()[0]).desc() if "desc" in order else F.expr(order))
     got = {(r["y"], r["quadrant"]) for r in cells.partition(df, "x", "y", ["g"], order=2, stop=False, centre="mean").collect()}
     assert got == {(v, "q44" if v <= y[2] else "q42") for v in y} | {(100.1, "q24")}
+
+
+def test_equal_rows_are_one(spark):
+    """Rows equal in x and y go through the levels once, with their number; results are those of the rows one by one."""
+    rng = np.random.default_rng(8)
+    rows = [(float(a), float(b)) for a, b in rng.normal(size=(40, 2))] * 5
+    df = spark.createDataFrame([(0, *r) for r in rows], "g int, x double, y double")
+    merged = cells._merged(cells._pairs_of(df, "x", "y", ["g"]), ["g"])
+    assert merged.count() == 40 and merged.agg(F.sum("_times")).first()[0] == 200
+    key = [*"g", "_c"]
+    one, many = (cells._concordance(r.withColumn("_c", F.lit(1)), key).first().asDict() for r in (df, merged))
+    assert one == pytest.approx(many)
