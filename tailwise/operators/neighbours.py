@@ -15,15 +15,21 @@ from tailwise.sources.staging import step
 #: Rows of a box at most, and the features whose quantiles cut the space.
 ROWS = 256
 CUT_FEATURES = 3
+#: Rows of both sides that a task gets where boxes meet: it sorts them, and AQE would join partitions by their compressed
+#: size, which repeated rows keep small.
+TASK_ROWS = 100_000
 #: What a distance of 0 counts as.
 NOTHING = 1e-10
 
 
 def _boxed(rows: DataFrame, cuts: DataFrame, names: list[str], near: int) -> DataFrame:
     """rows with _box: their place among the cuts of the first features, and a part by hash where a place has too many."""
+    own = names[:CUT_FEATURES]
     below = lambda k, n: F.size(F.filter(f"_cut{k}", lambda c: c < F.col(n)))
-    place = F.array(*[below(k, n) for k, n in enumerate(names[:CUT_FEATURES])])
-    return _parted(rows.join(F.broadcast(cuts)).withColumn("_place", place).drop(*[f"_cut{k}" for k in range(len(names[:CUT_FEATURES]))]), near)
+    place = F.lit(0).cast("long")
+    for k, n in enumerate(own):
+        place = place * (F.size(f"_cut{k}") + 1) + below(k, n)
+    return _parted(rows.join(F.broadcast(cuts)).withColumn("_place", place).drop(*[f"_cut{k}" for k in range(len(own))]), near)
 
 
 def _parted(rows: DataFrame, near: int) -> DataFrame:
@@ -50,14 +56,15 @@ def nearest(train: DataFrame, points: DataFrame, features: list[str], y: str, ke
 
     Space is cut at quantiles of the first features into boxes of ROWS rows or so, of training rows and of points. For a
     box of points, the boxes of rows that hold k rows surely within some distance bound the k-th distance of all its
-    points; only boxes whose nearest corner lies within that bound are met. Both sides of a meeting have ROWS rows."""
+    points; only boxes whose nearest corner lies within that bound are met. Both sides of a meeting have ROWS rows, and
+    the meetings are dealt to as many tasks as their rows need. Equal points are looked up once."""
     names = [f"_f{j}" for j in range(len(features))]
     most = range(len(names))
     rows = train.select(*[col(f).alias(n) for f, n in zip(features, names, strict=True)], col(y).alias("_y"), (col(order) if order else F.lit(0.0)).alias("_o")).dropna()
     alike = Window.partitionBy(*names).orderBy("_o", "_y")  # beyond the first k of equal rows none is ever used
     rows = rows.withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= k).withColumn("_id", F.struct(*names, "_r"))
     rows = step(rows.drop("_r"), "training")
-    asked = step(points.select(F.col(key).alias("_key"), *[col(f).alias(n) for f, n in zip(features, names, strict=True)]).withColumn("_id", F.monotonically_increasing_id()), "points")
+    asked = step(points.select(F.col(key).alias("_key"), *[col(f).alias(n) for f, n in zip(features, names, strict=True)]), "points")
     facts = rows.agg(F.count("*").alias("n"), *[f(n).alias(f"{s}{j}") for j, n in enumerate(names) for s, f in (("lo", F.min), ("hi", F.max))]).first()  # one row
     if not facts["n"]:
         return asked.select(F.col("_key").alias(key), F.lit(None).cast("double").alias("prediction"))
@@ -66,7 +73,7 @@ def nearest(train: DataFrame, points: DataFrame, features: list[str], y: str, ke
     shares = [j / slices for j in range(1, slices)]
     cuts = step(rows.agg(*[(F.array_distinct(F.percentile_approx(n, shares, 10_000)) if shares else F.array().cast("array<double>")).alias(f"_cut{j}") for j, n in enumerate(own)]), "cuts")
     rows = step(_boxed(rows, cuts, names, ROWS), "training-boxes")
-    known = asked.dropna(subset=names)
+    known = step(asked.select(*names).dropna().distinct().withColumn("_id", F.monotonically_increasing_id()), "known")
     known = step(_boxed(known, cuts, names, ROWS), "point-boxes")
 
     low, high = [facts[f"lo{j}"] for j in most], [facts[f"hi{j}"] for j in most]
@@ -76,14 +83,15 @@ def nearest(train: DataFrame, points: DataFrame, features: list[str], y: str, ke
     met = _boxes(known, names, "q").join(_boxes(rows, names, "p"))  # boxes, of which there are rows / ROWS
     apart = [F.greatest(c("plo", j) - c("qhi", j), c("qlo", j) - c("phi", j), F.lit(0.0)) / whole(range_of(c("qlo", j), c("qhi", j), j)) for j in most]
     across = [F.greatest(c("phi", j) - c("qlo", j), c("qhi", j) - c("plo", j)) / whole(F.lit(high[j] - low[j])) for j in most]
-    met = met.select("qbox", "pbox", F.col("pn"), _size(apart).alias("_least"), _size(across).alias("_most"))
+    met = met.select("qbox", "pbox", "qn", "pn", _size(apart).alias("_least"), _size(across).alias("_most"))
     reach = Window.partitionBy("qbox")
     met = met.withColumn("_held", F.sum("pn").over(reach.orderBy("_most").rangeBetween(Window.unboundedPreceding, 0)))
     met = met.withColumn("_bound", F.min(F.when(F.col("_held") >= k, F.col("_most"))).over(reach))
-    met = step(met.where(F.col("_bound").isNull() | (F.col("_least") <= F.col("_bound") * (1 + 1e-9))).select("qbox", "pbox"), "meetings")
+    met = step(met.where(F.col("_bound").isNull() | (F.col("_least") <= F.col("_bound") * (1 + 1e-9))).select("qbox", "pbox", "qn", "pn"), "meetings")
 
-    left = known.join(met, F.col("_box") == F.col("qbox")).select("qbox", "pbox", "_id", *names)
-    right = rows.join(met, F.col("_box") == F.col("pbox")).select(F.col("qbox").alias("_rq"), F.col("pbox").alias("_rp"), "_y", "_o", *[F.col(n).alias(n) for n in names])
+    tasks = max(1, -(-(met.agg(F.sum(F.col("qn") + F.col("pn"))).first()[0] or 0) // TASK_ROWS))
+    left = known.join(met, F.col("_box") == F.col("qbox")).select("qbox", "pbox", "_id", *names).repartition(tasks, "qbox", "pbox")
+    right = rows.join(met, F.col("_box") == F.col("pbox")).select(F.col("qbox").alias("_rq"), F.col("pbox").alias("_rp"), "_y", "_o", *[F.col(n).alias(n) for n in names]).repartition(tasks, "_rq", "_rp")
 
     def best(_, at: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
         """Each point's k nearest of a box's rows."""
@@ -102,9 +110,9 @@ def nearest(train: DataFrame, points: DataFrame, features: list[str], y: str, ke
     near = left.groupBy("qbox", "pbox").cogroup(right.groupBy("_rq", "_rp")).applyInPandas(best, "_id long, d double, o double, y double")
     near = near.groupBy("_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "o", "y"))), 1, k).alias("_n"))  # k of each box met
     weighed = F.pandas_udf(_weighed(k, classes), "double")
-    found = near.select("_id", weighed(F.col("_n.d"), F.col("_n.y")).alias("prediction"))
-    out = asked.select("_id", "_key").join(found.withColumnRenamed("_id", "_i"), F.col("_id") == F.col("_i"), "left")
-    return out.select(F.col("_key").alias(key), "prediction")
+    found = near.select(F.col("_id").alias("_i"), weighed(F.col("_n.d"), F.col("_n.y")).alias("prediction"))
+    found = known.join(found, F.col("_id") == F.col("_i")).select(*names, "prediction")
+    return asked.join(found, names, "left").select(F.col("_key").alias(key), "prediction")
 
 
 def _weighed(k: int, classes: bool):

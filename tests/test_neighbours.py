@@ -31,3 +31,24 @@ def test_nearest_without_rows(spark):
     one = spark.createDataFrame([(1.0, 7.0)], "a double, y double")
     assert neighbours.nearest(one, points, ["a"], "y", "id", 3).first()["prediction"] == 7
     assert neighbours.nearest(one, points.limit(0), ["a"], "y", "id", 3).collect() == []
+
+
+def test_nearest_meets_equal_points_once_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS", 20)
+    monkeypatch.setattr(neighbours, "TASK_ROWS", 100, raising=False)
+    meetings, write = [], neighbours.step
+
+    def step(df, name):
+        out = write(df, name)
+        if name == "meetings":
+            meetings.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "step", step)
+    train = spark.createDataFrame([(float(k % 30), float(k)) for k in range(120)], "a double, y double")
+    for copies in (1, 40):
+        points = spark.createDataFrame([(k, float(k % 30) + 0.25) for k in range(30 * copies)], "id int, a double")
+        out = neighbours.nearest(train, points, ["a"], "y", "id", 1)
+        assert sorted(map(tuple, out.collect())) == [(k, float(k % 30)) for k in range(30 * copies)]
+        assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert meetings[0] == meetings[1]
