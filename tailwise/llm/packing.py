@@ -29,7 +29,7 @@ END_ID = 2
 #: Pieces of one length that are numbered together.
 BUCKET_ROWS = 50_000
 #: Documents of a batch that are encoded together: what a Python worker holds at once, beside the encoder's tables.
-ENCODED_ROWS = 500
+ENCODED_ROWS = 250
 
 
 class CapacityTree:

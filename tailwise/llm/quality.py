@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tailwise.llm.common import id_text
+from tailwise.llm.common import id_text, keep_tables
 
 BUCKETS = 65_536
 #: Values of a batch that are Python objects at a time; an idle worker keeps the memory for a minute.
@@ -138,6 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: f
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_tables("quality", _hashes.clear)
         total = np.zeros((2, buckets), dtype=np.int64)
         held: list[list[np.ndarray]] = [[], []]
         size = 0
@@ -192,6 +193,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_tables("quality", _hashes.clear)
         w = sent.value
         for batch in batches:
             rows = [_judge(t, w, threshold) for t in _each(batch.column(1))]
@@ -209,6 +211,7 @@ def keep_documents(docs: DataFrame, weights: np.ndarray, threshold: float = THRE
     at = docs.columns.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_tables("quality", _hashes.clear)
         w = sent.value
         for batch in batches:
             yield batch.filter(pa.array([_judge(t or "", w, threshold)[-2] for t in _each(batch.column(at))], pa.bool_()))

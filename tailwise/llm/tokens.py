@@ -16,6 +16,8 @@ from itertools import repeat
 
 import numpy as np
 
+from tailwise.llm.common import keep_tables
+
 #: White space other than space and line feed; texts with any of it are cut by the general rule.
 RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ASCII_RARE = RARE_SPACE[:8]
@@ -245,6 +247,7 @@ _encoders: dict[str, BulkEncoder] = {}
 
 def library_encoder(path: str) -> BulkEncoder:
     """One per process and tokenizer file; as the library does by default, it reads strings of added tokens as these."""
+    keep_tables("tokens", _encoders.clear)
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer

@@ -608,3 +608,34 @@ def test_batches_are_encoded_in_parts(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1300)), "text": ["abc"] * 1300})
     out = pa.Table.from_batches(made[0](iter([batch, batch.slice(0, 0)])))
     assert max(held) <= packing.ENCODED_ROWS and out.column("doc_id").to_pylist() == list(range(1300)) and set(out.column("length").to_pylist()) == {4}
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    """The tables that quality fills go when the encoder's are filled, and the other way round."""
+    made = []
+
+    class Docs:
+        class sparkSession:
+            class sparkContext:
+                @staticmethod
+                def broadcast(value):
+                    return type("Sent", (), {"value": value})
+
+        columns = ["doc_id", "text"]
+        schema = None
+
+        def toDF(self, *names):
+            return self
+
+        def mapInArrow(self, judge, schema):
+            made.append(judge)
+            return self
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some few words"]})
+    quality.keep_documents(Docs(), np.zeros(64))
+    path = tokenizer_file("byte_bpe_50k.json")
+    tokens.library_encoder(path)
+    list(made[0](iter([batch])))
+    assert quality._hashes and not tokens._encoders
+    tokens.library_encoder(path)
+    assert tokens._encoders and not quality._hashes
