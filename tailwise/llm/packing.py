@@ -30,6 +30,8 @@ END_ID = 2
 BUCKET_ROWS = 50_000
 #: Documents of a batch that are encoded together: what a Python worker holds at once, beside the encoder's tables.
 ENCODED_ROWS = 250
+#: Bound of the encoder's tables of chunks, below its own: two workers share an executor's memory with a full heap.
+TABLE_CHUNKS = 300_000
 
 
 class CapacityTree:
@@ -99,6 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
+        encoder.bound = TABLE_CHUNKS
         for batch in (b.slice(at, ENCODED_ROWS) for b in batches for at in range(0, b.num_rows, ENCODED_ROWS)):
             cols: list[list] = [[], [], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist()), strict=True):

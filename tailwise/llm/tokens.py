@@ -16,7 +16,7 @@ from itertools import repeat
 
 import numpy as np
 
-from tailwise.llm.common import keep_tables
+from tailwise.llm.common import give_back, keep_tables
 
 #: White space other than space and line feed; texts with any of it are cut by the general rule.
 RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -57,12 +57,15 @@ class BulkEncoder:
 
     def _age(self) -> None:
         """Begin a new table. The one before stays to look up what the new one lacks, the one before that goes."""
-        self.before = (self.short, self.long, self.pool, self.start, self.size) if self.n else None
+        aged = self.n > 0
+        self.before = (self.short, self.long, self.pool, self.start, self.size) if aged else None
         self.short: dict[int, int] = {}
         self.long: dict[bytes, int] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.recent = [np.zeros((1 << ROW_BITS, 2), np.int64), np.zeros((1 << ROW_BITS, 3), np.int64)]
         self.start, self.size, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        if aged:
+            give_back()
 
     def _add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
         """Places of new chunks with these ids."""

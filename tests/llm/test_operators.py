@@ -639,3 +639,26 @@ def test_a_worker_keeps_the_tables_of_one_operator():
     assert quality._hashes and not tokens._encoders
     tokens.library_encoder(path)
     assert tokens._encoders and not quality._hashes
+
+
+def test_packing_bounds_the_encoders_tables(monkeypatch):
+    """However many distinct words a worker meets, packing's encoder keeps TABLE_CHUNKS of them at most (but for two
+    parts), and gives back the memory of those that go."""
+    made, given = [], []
+
+    class Docs:
+        def mapInArrow(self, encode, schema):
+            made.append(encode)
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    monkeypatch.setattr(packing, "id_text", lambda docs: Docs())
+    monkeypatch.setattr(tokens, "give_back", lambda: given.append(1), raising=False)
+    packing.pieces(None, path)
+    tokens._encoders.clear()
+    texts = [" ".join(f"w{k}" for k in range(at, at + 1250)) for at in range(0, 450_000, 1250)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(360)), "text": texts})
+    out = pa.Table.from_batches(made[0](batch.slice(k, 10) for k in range(0, 360, 10)))
+    (encoder,) = tokens._encoders.values()
+    tables = (encoder.short, encoder.long, *(encoder.before[:2] if encoder.before else ()))
+    assert sum(map(len, tables)) <= 300_000 and len(given) == 2
+    assert sum(out.column("length").to_pylist()) == sum(map(len, encoder.ids(texts))) + 360
