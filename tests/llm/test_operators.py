@@ -589,6 +589,23 @@ def test_line_dedup_of_a_common_phrase(spark, monkeypatch):
         assert {r["doc_id"]: list(r["removed"]) for r in linededup.join(docs).collect()} == want and 20 < sum(map(len, want.values())) < 40
 
 
+def test_line_dedup_puts_common_tokens_last(spark, monkeypatch):
+    # Only lines with a common token among their least hashes are put in order; all others keep the order by hash.
+    rng = random.Random(5)
+    phrase = [f"p{k}" for k in range(12)]
+    rows = [(k, " ".join(phrase + [f"w{rng.randrange(10**6)}" for _ in range(30)] if k % 2 else [f"w{rng.randrange(10**6)}" for _ in range(42)])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(linededup, "SAMPLE", 1)
+    common = linededup.common_slots(docs)
+    got = linededup.with_prefix(linededup.with_tokens(docs, "text"), common).collect()
+    shared = set.intersection(*(set(r["tokens"]) for r in got if r["doc_id"] % 2))
+    assert len(shared) == 8 and {t % linededup.SLOTS for t in shared} == set(common)
+    for r in got:
+        want = sorted(r["tokens"], key=lambda t: (common.index(t % linededup.SLOTS) if t % linededup.SLOTS in common else -1, t))
+        n = len(want)
+        assert r["tokens"] == sorted(want) and r["prefix"] == want[: n // 4 + 1 + n // linededup.MORE] and not shared & set(r["prefix"])
+
+
 def test_batches_are_encoded_in_parts(monkeypatch):
     """However many documents a batch has, a worker holds the ids of ENCODED_ROWS of them."""
     held, made = [], []
