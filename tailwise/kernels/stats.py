@@ -39,6 +39,76 @@ def gravity(x: np.ndarray, discrete: bool = False) -> float:
     return math.floor(out + 0.5) if discrete else out
 
 
+def gravities(v: np.ndarray, n: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The gravity of each run of v that begins at one of start: finite values, ascending in a run, n times each."""
+    runs = np.arange(len(start))
+    of = np.repeat(runs, np.diff(np.r_[start, len(v)]))
+    total = np.add.reduceat(n, start)
+    upto = np.cumsum(n)
+    before = (upto - n)[start]
+    low, high = v[start], v[np.r_[start[1:], len(v)] - 1]
+    at = lambda k: v[np.searchsorted(upto, before + k)]  # noqa: E731  the least value with k rows up to it
+    new = np.r_[True, (v[1:] != v[:-1]) | (of[1:] != of[:-1])]  # distinct values, around whose mean rows are added up
+    centre = np.add.reduceat(np.where(new, v, 0.0), start) / np.add.reduceat(new.astype(np.int64), start)
+    mean = centre + np.add.reduceat(n * (v - centre[of]), start) / total
+    down, up = {}, {}
+    for q in (0.25, 0.5, 0.75):
+        down[q], up[q] = at(np.maximum(1, np.floor(total * q).astype(np.int64))), at(np.clip(np.ceil(total * q).astype(np.int64), 1, total))
+    even = total % 2 == 0
+    part = lambda q: np.where(even, down[q], down[q] + (total * q - np.floor(total * q)) * (up[q] - down[q]))
+    q1, q2, q3 = part(0.25), np.where(even, down[0.5], (down[0.5] + up[0.5]) / 2), part(0.75)
+    width = (q3 - q1) / np.sqrt(total)
+    width = np.where(width > 0, width, (high - low) / 128)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bins = np.where(width > 0, np.floor((high - low) / width + 1e-12) + 1, 1)
+        place = np.where(width[of] > 0, np.floor((v - low[of]) / width[of]), 0)
+    place = np.clip(place, 0, np.minimum(np.maximum(bins, 1), 4 * total)[of] - 1)
+    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (of[1:] != of[:-1])])  # bins ascend in a run
+    count, bin_, run = np.add.reduceat(n, first), place[first], of[first]
+    begin = np.searchsorted(run, runs)
+    top = np.maximum.reduceat(count, begin)
+    most = count == top[run]
+    ties, mode_bin = np.add.reduceat(most.astype(np.int64), begin), np.maximum.reduceat(np.where(most, bin_, -1.0), begin)
+    counted = np.where((ties[run] > 1) | (np.abs(bin_ - mode_bin[run]) <= 1), count, 0)
+    modal = np.add.reduceat((low[run] + bin_ * width[run]) * counted, begin) / np.add.reduceat(counted, begin)
+    out = 0.25 * (q2 + modal + mean + 0.5 * (q1 + q3))
+    out = np.where(total <= 3, np.where(total == 2, (low + high) / 2, up[0.5]), out)
+    return np.where(low == high, low, out)
+
+
+def levels(x: np.ndarray, y: np.ndarray, times: np.ndarray, depth: int, least: int, stop: bool) -> tuple[np.ndarray, int]:
+    """The digits of each row (x and y, so many times) as its cell is split at gravities level by level, at most depth, while it
+    has more than least rows, and the last level; with stop that is the first after which a cell has least rows or fewer."""
+    digits, cell = np.zeros((len(x), max(1, depth)), np.uint8), np.zeros(len(x), np.int64)
+    sorted_ = [np.argsort(v, kind="stable") for v in (x, y)]
+    level = 0
+    while level < depth:
+        size = np.bincount(cell, weights=times)
+        if stop and level and size.min() <= least:
+            break
+        centre = []
+        for v, by in zip((x, y), sorted_, strict=True):
+            own = by[np.isfinite(v[by]) & (size[cell[by]] > least)]
+            own = own[np.argsort(cell[own], kind="stable")]
+            c, at = cell[own], np.full(len(size), np.nan)
+            if len(own):
+                start = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+                at[c[start]] = gravities(v[own], times[own], start)
+            centre.append(at[cell])
+        ready = ~(np.isnan(centre[0]) | np.isnan(centre[1]))
+        if not ready.any():
+            return _words(digits), depth
+        digit = 1 + (x <= centre[0]) + 2 * (y <= centre[1])
+        digits[ready, level] = 48 + digit[ready]
+        cell = np.unique(cell * 5 + np.where(ready, digit, 0), return_inverse=True)[1]
+        level += 1
+    return _words(digits), level
+
+
+def _words(digits: np.ndarray) -> np.ndarray:
+    return digits.view(f"S{digits.shape[1]}")[:, 0].astype(str)
+
+
 def _co_moments(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
     """Concordant share of degree 0 and 1, discordant share of degree 0 and 1, around the means."""
     a, b = x - x.mean(), y - y.mean()

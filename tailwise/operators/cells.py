@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tailwise.functions.expr import col, correlation, safe_ratio
+from tailwise.kernels import stats
 from tailwise.operators.central import SORTED, gravity, gravity_of
-from tailwise.operators.cumulative import beside, cumulative
+from tailwise.operators.cumulative import SPLIT, beside, cumulative
 from tailwise.operators.quantile import lpm_var
 from tailwise.sources.staging import step
 
@@ -17,6 +20,8 @@ from tailwise.sources.staging import step
 LEAST = 8
 #: Levels whose tables of cells the rows meet on the way before they are written again.
 LEVELS = 4
+#: Once no cell has more rows than this, each goes down its further levels in one task, whatever the group's size.
+LOCAL = SPLIT
 
 
 def _logs(n: Column) -> tuple[Column, Column]:
@@ -44,6 +49,46 @@ def _centre_of(rows: DataFrame, column: str, keys: list[str], how: str) -> DataF
     return gravity(rows, column, keys, times="_times" if "_times" in rows.columns else None).withColumnRenamed("gravity", "_centre")
 
 
+def _centres(rows: DataFrame, keys: list[str], how: str, sides: str = "xy") -> DataFrame:
+    """keys, _cx and _cy (those of sides) of each cell. Gravities of both are found side by side, as groups of one table."""
+    if how != "off" or len(sides) == 1:
+        at = [_centre_of(rows, c, keys, how).withColumnRenamed("_centre", f"_c{c}") for c in sides]
+        return at[0] if len(at) == 1 else beside(*at, keys)
+    both = F.array(*[F.struct(F.lit(c).alias("_side"), F.col(c).alias("_v")) for c in sides])
+    long = rows.select(*keys, _times(rows).alias("_times"), F.explode(both).alias("_r")).select(*keys, "_times", "_r.*")
+    at = gravity(long, "_v", [*keys, "_side"], times="_times")
+    at = at.groupBy(*keys).agg(*[F.max(F.when(F.col("_side") == c, F.col("gravity"))).alias(f"_c{c}") for c in sides])
+    return at.dropna(subset=[f"_c{c}" for c in sides])
+
+
+def _below(stop: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A cell's rows with the digits of its further levels, and the level at which it would stop its group."""
+
+    def go(own: pd.DataFrame) -> pd.DataFrame:
+        digits, last = stats.levels(own["x"].to_numpy(), own["y"].to_numpy(), own["_times"].to_numpy(), int(own["_left"].iloc[0]), int(own["_bound"].iloc[0]), stop)
+        return own.drop(columns=["_left", "_bound"]).assign(_digits=digits, _last=last)
+
+    return go
+
+
+def _finished(rows: DataFrame, at: DataFrame, groups: list[str], stop: bool) -> DataFrame:
+    """rows with the cells of at (keys, _left levels, _bound) split to the end, side by side, each in one task. With stop, a
+    group's levels end with the first that leaves any of its cells with few rows: digits below that are cut off."""
+    keys = [*groups, "_cell"]
+    met = rows.withColumn("_times", _times(rows)).join(at.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_left", "_bound"), _same(keys), "left").drop(*[f"_k_{k}" for k in keys])
+    inner, rest = met.where(F.col("_left").isNotNull()), met.where(F.col("_left").isNull()).drop("_left", "_bound")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
+    split_ = inner.groupBy(*keys).applyInPandas(_below(stop), f"{kind}, _digits string, _last int")
+    if stop:
+        split_ = step(split_, "levels")
+        ends = split_.groupBy(*groups).agg(F.min("_last").alias("_last"))
+        split_ = beside(split_.drop("_last"), step(ends, "ends"), groups).withColumn("_digits", F.expr("substring(_digits, 1, _last)"))
+    label, far = F.concat("_cell", "_digits"), F.length("_digits") > 0
+    split_ = split_.select(*[c for c in rest.columns if c not in ("_cell", "_prior")], label.alias("_cell"), F.when(far, label.substr(F.lit(1), F.length(label) - 1)).otherwise(F.col("_prior")).alias("_prior"))
+    both = split_.unionByName(rest)
+    return both if "_times" in rows.columns else both.drop("_times")
+
+
 def split(rows: DataFrame, groups: list[str], x_only: bool = False, order: int | DataFrame | None = None, least: Column | int = LEAST, stop: bool = True, centre: str = "off", constants: bool = True) -> DataFrame:
     """rows (groups, x, y, and where centres are gravities _times, from _merged) with _cell and _prior, the cell before its last split. Each level splits the cells with more
     than least rows (a number, or a column of the group's rows n) at their centre, until a group has reached its depth
@@ -51,7 +96,8 @@ def split(rows: DataFrame, groups: list[str], x_only: bool = False, order: int |
 
     A level is an aggregate of the cells, which is written; the rows meet the tables of split cells on their next way, and
     are written every LEVELS levels, so plans stay small and lost executors cost little. Cells of x alone, split at
-    gravities, are intervals of it: its distinct values are sorted once, and every level only adds up intervals."""
+    gravities, are intervals of it: its distinct values are sorted once, and every level only adds up intervals. Cells of x
+    and y, split at gravities, go down their further levels in a task each once none has more than LOCAL rows."""
     keys, sides = [*groups, "_cell"], "x" if x_only else "xy"
     start = [F.lit("q").alias("_cell"), F.lit("pq").alias("_prior")]
     own = step(rows.select(*groups, "x", "y", *[c for c in rows.columns if c == "_times"], *start), "rows")
@@ -59,10 +105,11 @@ def split(rows: DataFrame, groups: list[str], x_only: bool = False, order: int |
     if x_only and centre == "off":
         values = step(cumulative(own, "x", groups, {"n": _times(own)}).select(*groups, F.col("v").alias("x"), "c", "n", "n_le", *start), "values")
     means = [_mean(c).alias(f"_c{c}") for c in sides if centre == "mean"]
+    local = centre == "off" and not x_only and constants
     depth = 0
     while True:
         held, count, facts = (own, F.sum(_times(own)), means) if values is None else (values, F.sum("n"), _interval())
-        cells = held.groupBy(*keys).agg(count.alias("_rows"), (F.min("x") < F.max("x")).alias("_wide"), *facts)
+        cells = held.groupBy(*keys).agg(count.alias("_rows"), F.count("*").alias("_held"), (F.min("x") < F.max("x")).alias("_wide"), *facts)
         whole = Window.partitionBy(*[F.col(g) for g in groups])
         cells = cells.withColumns({"n": F.sum("_rows").over(whole), "_smallest": F.min("_rows").over(whole)})
         if isinstance(order, DataFrame):
@@ -76,19 +123,21 @@ def split(rows: DataFrame, groups: list[str], x_only: bool = False, order: int |
             ready = ready & (F.col("_smallest") > bound)
         if not constants:
             ready = ready & F.col("_wide")
+        cells = cells.withColumns({"_left": (deepest - depth).cast("int"), "_bound": bound.cast("long")})
         at = step(cells.where(ready).drop("_rows", "_wide", "n", "_smallest", "_order"), "cells")
-        if at.isEmpty():
+        most = at.agg(F.max("_held")).first()[0]
+        if most is None:
             return own
+        if local and most <= LOCAL:
+            return _finished(own, at, groups, stop)
+        at = at.drop("_held", "_left", "_bound")
         if values is not None:
             met = values.where(F.abs("x") < float("inf")).join(at.withColumnsRenamed({k: f"_k_{k}" for k in keys}), _same(keys))
             sorted_ = met.select(*keys, F.col("x").alias("v"), "c", "n", (F.col("n_le") - F.col("_before")).alias("n_le"), "n_all", "s1_all")
             at = step(gravity_of(sorted_.select(*keys, *SORTED), keys).withColumnRenamed("gravity", "_cx"), "centres")
         elif not means:
             inside = own.join(at.withColumnsRenamed({k: f"_k_{k}" for k in keys}), _same(keys), "left_semi")
-            at = _centre_of(inside, "x", keys, centre).withColumnRenamed("_centre", "_cx")
-            if not x_only:
-                at = beside(at, _centre_of(inside, "y", keys, centre).withColumnRenamed("_centre", "_cy"), keys)
-            at = step(at, "centres")
+            at = step(_centres(inside, keys, centre, sides), "centres")
         own = _routed(own, at, keys, x_only)
         values = None if values is None else _routed(values, at, keys, x_only)
         depth += 1
@@ -143,7 +192,7 @@ def partition(df: DataFrame, x: str, y: str, groups: list[str], points: bool = F
     if not points:
         return own.select(*groups, "x", "y", F.col("_cell").alias("quadrant"), F.col("_prior").alias("prior"))
     own, keys = step(own, "rows"), [*groups, "_prior"]
-    at = beside(*[_centre_of(own, c, keys, centre).withColumnRenamed("_centre", f"_c{c}") for c in "xy"], keys)
+    at = _centres(own, keys, centre)
     whole = own.groupBy(*groups).agg(F.bool_and(F.col("x") == F.floor("x")).alias("_whole"))
     at = beside(at, whole, groups)
     return at.select(*groups, F.col("_prior").alias("prior"), F.when(F.col("_whole"), F.floor(F.col("_cx") + 0.5).cast("double")).otherwise(F.col("_cx")).alias("x"), F.col("_cy").alias("y"))

@@ -189,3 +189,22 @@ def test_equal_rows_are_one(spark):
     key = [*"g", "_c"]
     one, many = (cells._concordance(r.withColumn("_c", F.lit(1)), key).first().asDict() for r in (df, merged))
     assert one == pytest.approx(many)
+
+
+@pytest.mark.parametrize("how", [{"order": 3}, {"stop": False, "order": 3, "points": True}])
+def test_small_cells_are_split_to_the_end_at_once(spark, monkeypatch, how):
+    """Once cells are small, one table of cells is written instead of one a level; rows and points stay those of the levels.
+    Group 1 is eleven points six times each, so cells of one point are split on; one row has an infinite x."""
+    rng = np.random.default_rng(6)
+    rows = [(None, float(a), float(b)) for a, b in rng.normal(size=(90, 2))] + [(None, float("inf"), 0.5)]
+    rows += [(1, float(a), float(b)) for a, b in rng.normal(size=(11, 2))] * 6
+    df, made = spark.createDataFrame(rows, "g int, x double, y double").repartition(3), []
+    real = cells.step
+    monkeypatch.setattr(cells, "step", lambda df, name: made.append(name) or real(df, name))
+    found = {}
+    for most in (100, 0):
+        monkeypatch.setattr(cells, "LOCAL", most)
+        made.clear()
+        found[most] = sorted(map(repr, cells.partition(df, "x", "y", ["g"], **how).select(*[F.round(c, 9).alias(c) if c in "xy" else c for c in ("g", "prior", "x", "y")]).collect()))
+        assert (made.count("cells") == 1) == (most > 0)
+    assert found[100] == found[0]
